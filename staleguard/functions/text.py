@@ -85,15 +85,14 @@ def bullets(arr) -> Column:
 
 
 def numbered_qa(qa_arr, starred: bool = False) -> Column:
-    """Numbered ``question_i: …\\nanswer_i: …`` blocks from an array of
-    ``struct(question, answer)`` (1-based numbering)."""
+    """``question_i: q\nanswer_i: a\n`` blocks (1-based) from an array of
+    ``struct(question, answer)``; ``starred`` gives ``*question_i*: …``."""
+    l, r = ("*", "*") if starred else ("", "")
+
     def one(x, i):
         n = (i + 1).cast("string")
-        if starred:
-            return F.concat(F.lit("*question_"), n, F.lit(":* "), x["question"], F.lit("\n*answer_"), n,
-                            F.lit(":* "), x["answer"], F.lit("\n\n"))
-        return F.concat(F.lit("question_"), n, F.lit(": "), x["question"], F.lit("\nanswer_"), n,
-                        F.lit(": "), x["answer"], F.lit("\n\n"))
+        return F.concat(F.lit(f"{l}question_"), n, F.lit(f"{r}: "), x["question"], F.lit(f"\n{l}answer_"), n,
+                        F.lit(f"{r}: "), x["answer"], F.lit("\n"))
     return F.array_join(F.transform(_c(qa_arr), one), "")
 
 

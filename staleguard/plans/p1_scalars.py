@@ -106,8 +106,8 @@ FROM n""")
 def l1_l2(spark, d):
     v = TD.vectors(spark, d)
     return v.select("vec_id", r6(V.l1_norm("embedding")).alias("l1"), r6(V.l2_norm("embedding")).alias("l2"),
-                    r6(V.l1_normalize("embedding")[0]).alias("l1_first"),
-                    r6(V.l2_normalize("embedding")[0]).alias("l2_first"))
+                    r6(F.get(V.l1_normalize("embedding"), 0)).alias("l1_first"),
+                    r6(F.get(V.l2_normalize("embedding"), 0)).alias("l2_first"))
 
 
 @query("bool_array_mean", f"""

@@ -125,7 +125,7 @@ def conflicts(docs_with_lineage: DataFrame) -> DataFrame:
     emitted, never all pairs inside a group of copies.
     """
     copies = docs_with_lineage.where(F.size("original_doc_ids") > 0) \
-        .select(F.col("doc_id").alias("id2"), F.col("original_doc_ids")[0].alias("id1"),
+        .select(F.col("doc_id").alias("id2"), F.get(F.col("original_doc_ids"), 0).alias("id1"),
                 last_line(F.col("content")).alias("conflicting_passage_doc2"))
     orig = docs_with_lineage.select(F.col("doc_id").alias("id1"),
                                     first_line(F.col("content")).alias("conflicting_passage_doc1"))

@@ -132,8 +132,7 @@ def _label_subsets(docs: DataFrame, cluster_col: str, id_col: str) -> DataFrame:
     """(id, subset, sign) for every non-empty subset of a document's distinct labels."""
     s = docs.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(cluster_col)).alias("s"))
     s = s.where(F.size("s") > 0)
-    masks = F.sequence(F.lit(1), F.shiftleft(F.lit(1), F.size("s")) - 1)
-    sub = F.transform(masks, lambda m: F.filter(F.col("s"), lambda x, i: F.shiftright(m, i).bitwiseAND(1) == 1))
+    sub = F.expr("transform(sequence(1, (1 << size(s)) - 1), m -> filter(s, (x, i) -> ((m >> i) & 1) = 1))")
     return s.select("id", F.explode(sub).alias("subset")).select(
         "id", "subset", F.when(F.size("subset") % 2 == 1, F.lit(1)).otherwise(F.lit(-1)).alias("sign"))
 

@@ -1 +1,158 @@
-"""Query plans."""
+"""Phase 6: request/response jobs with deterministic response tables.
+
+The response of a request is derived from its ids with md5 so both engines
+agree; in production the response table comes from the model batch.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from staleguard.functions import json as J
+from staleguard.functions import text as T
+from staleguard.operators import lineage as LN
+from staleguard.operators import requests as RQ
+from staleguard.plans import sqlutil as S
+from staleguard.plans.p0_pairs import _PAIRS_SQL, THRESHOLD
+from staleguard.plans.p2_joins import _TRUTH_SQL, _vec_pairs
+from staleguard.plans.p3_windows import select_for_alteration
+from staleguard.plans.registry import query, r6
+from staleguard.sources import testdata as TD
+from staleguard.sources.tables import load
+
+MODELS = ("m1", "m2")
+
+
+def _flag(model_col, a, b, cut="8"):
+    return F.substring(F.md5(F.concat(model_col, F.lit(":"), F.col(a).cast("string"), F.lit("-"),
+                                      F.col(b).cast("string"))), 1, 1) < F.lit(cut)
+
+
+@query("pair_check", TD.ctes("vecs", "vecs_lin") + _PAIRS_SQL + f"""
+, p AS (SELECT id1, id2 FROM allp WHERE dist > 0 AND dist <= {THRESHOLD})""" + _TRUTH_SQL + """
+, req AS (SELECT c.id1, c.id2, m.model, c.expected FROM cand c, (SELECT 'm1' AS model UNION ALL SELECT 'm2') m
+          WHERE c.id1 < c.id2 AND c.id1 IN (SELECT doc_id FROM documents) AND c.id2 IN (SELECT doc_id FROM documents))
+, v AS (SELECT model, expected,
+               substr(md5(model || ':' || CAST(id1 AS VARCHAR) || '-' || CAST(id2 AS VARCHAR)), 1, 1) < '8' AS conflicts
+        FROM req)
+SELECT model, round(avg(CAST(conflicts = expected AS DOUBLE)), 6) AS accuracy, count(*) AS count FROM v
+GROUP BY model""")
+def pair_check(spark, d):
+    """K9: related pairs -> requests (both texts rendered) -> responses -> verdicts -> accuracy per model."""
+    docs = TD.documents(spark, d)
+    vl = TD.with_vector_lineage(TD.vectors(spark, d))
+    pairs = _vec_pairs(spark, d).select("id1", "id2")
+    reqs = None
+    for m in MODELS:
+        r = RQ.pair_requests(pairs, docs, "comparison/check_for_contradictions", m)
+        reqs = r if reqs is None else reqs.unionByName(r)
+    flag = _flag(F.col("model"), "id1", "id2")
+    responses = reqs.select("request_id", F.to_json(F.struct(flag.alias("contradictory_info_found"))).alias("response"))
+    verdicts = RQ.verdict_rows(RQ.decode_responses(reqs, responses, "check"))
+    truth = LN.with_ground_truth(verdicts, vl)
+    return truth.groupBy("model").agg(
+        r6(F.avg((F.col("conflicts") == F.col("ground_truth")).cast("double"))).alias("accuracy"),
+        F.count("*").alias("count"))
+
+
+@query("extract_conflicts", TD.ctes("docs", "docs_lin") + f"""
+, kp AS (SELECT doc_id AS id1, unnest(original_doc_ids) AS id2 FROM docs_lin
+         UNION ALL
+         SELECT s.doc_id AS id1, t.doc_id AS id2 FROM docs_lin s
+         JOIN docs_lin t ON list_contains(t.original_doc_ids, s.original_doc_ids[1])
+         WHERE s.kind = 'single_textual' AND len(s.original_doc_ids) > 0 AND t.kind = 'tabular')
+, r AS (SELECT kp.id1, kp.id2,
+               substr(md5('x:' || CAST(kp.id1 AS VARCHAR) || '-' || CAST(kp.id2 AS VARCHAR)), 1, 1) < 'c' AS found,
+               string_split(trim(a.content, {S.WS}), chr(10))[1] AS q1,
+               string_split(trim(b.content, {S.WS}), chr(10))[-1] AS q2
+        FROM kp JOIN docs a ON a.doc_id = kp.id1 JOIN docs b ON b.doc_id = kp.id2)
+SELECT id1, id2, CASE WHEN found THEN 1 ELSE 0 END AS n_contradictions,
+       CASE WHEN found THEN md5(q1) END AS passage1_md5, CASE WHEN found THEN md5(q2) END AS passage2_md5,
+       found AS conflicts_found FROM r""")
+def extract_conflicts(spark, d):
+    """Known-conflict pairs -> extraction requests -> responses -> one row per contradiction."""
+    docs = TD.documents(spark, d)
+    dl = TD.with_text_lineage(docs)
+    pairs = LN.known_conflict_pairs(dl).select("id1", "id2")
+    reqs = RQ.pair_requests(pairs, docs, "comparison/extract_contradictions", "x")
+    t = reqs.join(docs.select(F.col("doc_id").alias("id1"), TD.first_line(F.col("content")).alias("q1")), "id1") \
+        .join(docs.select(F.col("doc_id").alias("id2"), TD.last_line(F.col("content")).alias("q2")), "id2")
+    found = _flag(F.col("model"), "id1", "id2", "c")
+    quotes = F.when(found, F.array(F.struct(F.col("q1").alias("quote_from_document1"),
+                                            F.col("q2").alias("quote_from_document2"))))
+    resp = t.select("request_id", F.to_json(F.struct(found.alias("contradictory_info_found"),
+                                                     F.coalesce(quotes, F.array()).alias("contradictions")))
+                    .alias("response"))
+    rows = RQ.conflict_rows(RQ.decode_responses(reqs, resp, "extract"))
+    return rows.select("id1", "id2", F.col("n_contradictions").cast("bigint").alias("n_contradictions"),
+                       F.md5("conflicting_passage_doc1").alias("passage1_md5"),
+                       F.md5("conflicting_passage_doc2").alias("passage2_md5"), "conflicts_found")
+
+
+@query("keypoints", TD.ctes("queries") + """
+SELECT query_id, len(string_split(content, '. ')) AS n_keypoints,
+       md5(array_to_string(list_transform(string_split(content, '. '), lambda x: '- ' || x), chr(10))) AS keypoints_md5
+FROM queries""")
+def keypoints(spark, d):
+    """Overwrite ``keypoints`` from a response table joined on the query id."""
+    q = TD.queries(spark, d)
+    resp = q.select("query_id", F.to_json(F.struct(F.split("content", r"\. ").alias("keypoints"))).alias("response"))
+    dec = resp.select("query_id", J.decode("response", "keypoints")["keypoints"].alias("keypoints"))
+    out = q.join(dec, "query_id", "left")
+    return out.select("query_id", F.size("keypoints").cast("bigint").alias("n_keypoints"),
+                      F.md5(T.bullets("keypoints")).alias("keypoints_md5"))
+
+
+@query("manipulate_textual", TD.ctes("docs") + """
+SELECT CAST('1' || lpad(CAST(doc_id AS VARCHAR), CAST(greatest(5, length(CAST(doc_id AS VARCHAR))) AS INTEGER), '0')
+            AS BIGINT) AS new_doc_id, doc_id AS original_doc_id,
+       md5(content || chr(10) || 'Revised on 2005-01-01.') AS content_md5
+FROM docs WHERE kind = 'single_textual'""")
+def manipulate_textual(spark, d):
+    """K5: altered copies of single-textual documents with lineage."""
+    docs = TD.documents(spark, d).where(F.col("kind") == "single_textual")
+    resp = docs.select("doc_id", F.to_json(F.struct(
+        F.concat("content", F.lit("\nRevised on 2005-01-01.")).alias("text_new"),
+        F.lit("").alias("answer_new"), F.array().cast("array<string>").alias("references_new"))).alias("response"))
+    dec = resp.select("doc_id", J.decode("response", "single_textual").alias("decoded"))
+    new = RQ.altered_documents(docs, dec, 1)
+    return new.select(F.col("doc_id").alias("new_doc_id"), F.get(F.col("original_doc_ids"), 0).alias("original_doc_id"),
+                      F.md5("content").alias("content_md5"))
+
+
+@query("manipulate_tabular", TD.ctes("docs") + f"""
+, cand AS (SELECT doc_id, domain FROM docs WHERE kind = 'original' AND domain IN ('en', 'de', 'fr'))
+, rk AS (SELECT doc_id, domain, row_number() OVER (PARTITION BY domain ORDER BY md5('42-' || CAST(doc_id AS VARCHAR)),
+                doc_id) AS rank FROM cand)
+, st AS (SELECT doc_id FROM rk WHERE rank <= 10)
+, tb AS (SELECT doc_id FROM st ORDER BY md5('43-' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 15)
+, rows AS (SELECT d.domain, d.doc_id, d.doc_id AS ord,
+                  'fact of ' || CAST(d.doc_id AS VARCHAR) || ' | ' || d.source AS content,
+                  CASE WHEN d.domain <> 'fr' THEN 'company-' || d.source END AS company_name
+           FROM docs d JOIN tb USING (doc_id))
+, dom AS (SELECT 'en' AS domain, 300001 AS tabular_id UNION ALL SELECT 'de', 300002 UNION ALL SELECT 'fr', 300003)
+SELECT r.domain, dom.tabular_id, md5(string_agg(content, chr(10) ORDER BY ord)) AS content_md5,
+       CASE WHEN count(company_name) = 0 THEN '' ELSE
+         array_to_string(list_transform(list(company_name ORDER BY ord), lambda x: coalesce(x, '<null>')), ',') END
+         AS company_names,
+       array_to_string(list_sort(list(doc_id)), ',') AS original_doc_ids
+FROM rows r LEFT JOIN dom USING (domain) GROUP BY r.domain, dom.tabular_id""")
+def manipulate_tabular(spark, d):
+    """K6: one fact row per sampled document ('description | value', H10), then one tabular
+    document per domain with ordered content, entity lists (nulls kept) and lineage (D9, D10)."""
+    docs = TD.documents(spark, d)
+    tb = select_for_alteration(spark, d).where("single_tabular_manipulation").select("doc_id")
+    rows = docs.join(tb, "doc_id").select(
+        "domain", "doc_id", F.col("doc_id").alias("ord"),
+        T.table_row_text(F.concat(F.lit("fact of "), F.col("doc_id").cast("string")), F.col("source")).alias("content"),
+        F.when(F.col("domain") != "fr", F.concat(F.lit("company-"), F.col("source"))).alias("company_name"),
+        F.lit(None).cast("string").alias("court_name"), F.lit(None).cast("string").alias("hospital_patient_name"))
+    dom = spark.createDataFrame([("en", 300001), ("de", 300002), ("fr", 300003)], "domain string, tabular_id bigint")
+    t = RQ.tabular_documents(rows, dom)
+    names = F.when(F.size("company_names") == 0, F.lit("")).otherwise(
+        F.array_join(F.transform("company_names", lambda x: F.coalesce(x, F.lit("<null>"))), ","))
+    return t.select("domain", F.col("tabular_id").cast("int").alias("tabular_id"), F.md5("content").alias("content_md5"),
+                    names.alias("company_names"), F.array_join("original_doc_ids", ",").alias("original_doc_ids"))
+
+
+del load

@@ -14,34 +14,83 @@ def tokens(c):
     return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"(\w+)"), 1))
 
 
+MAX_QUERIES_PER_PASS = 4096
+CHUNK_BATCH = 2048
+
+
+def _query_sets(queries: DataFrame) -> list[tuple[int, list[str]]]:
+    """Query token sets, streamed to the driver (the query set is bounded per pass)."""
+    rows = queries.select("query_id", tokens(F.col("content")).alias("t")).toLocalIterator()
+    return [(int(r["query_id"]), list(r["t"] or [])) for r in rows]
+
+
+def _score_partitions(qsets: list[tuple[int, list[str]]], k: int):
+    import numpy as np
+
+    qids = np.array([q for q, _ in qsets], dtype=np.int64)
+    vocab: dict[str, int] = {}
+    for _, ts in qsets:
+        for t in ts:
+            vocab.setdefault(t, len(vocab))
+    Qm = np.zeros((max(len(vocab), 1), len(qsets)), dtype=np.float32)
+    for j, (_, ts) in enumerate(qsets):
+        for t in ts:
+            Qm[vocab[t], j] = 1.0
+    nq = Qm.sum(axis=0).astype(np.float64)
+
+    def run(it):
+        import pandas as pd
+        best_ids = [np.empty(0, dtype=np.int64) for _ in qsets]
+        best_sc = [np.empty(0) for _ in qsets]
+        for pdf in it:
+            for s0 in range(0, len(pdf), CHUNK_BATCH):
+                part = pdf.iloc[s0:s0 + CHUNK_BATCH]
+                ids = part["chunk_id"].to_numpy(dtype=np.int64)
+                nc = part["nc"].to_numpy(dtype=np.float64)
+                M = np.zeros((len(part), Qm.shape[0]), dtype=np.float32)
+                for i, ts in enumerate(part["qt"]):
+                    for t in ts if ts is not None else ():
+                        M[i, vocab[t]] = 1.0
+                shared = (M @ Qm).astype(np.float64)  # chunks x queries
+                denom = nq[None, :] + nc[:, None] - shared
+                score = np.where(shared > 0, shared / np.where(denom > 0, denom, 1.0), 0.0)
+                for j in range(len(qsets)):
+                    cand_ids = np.concatenate([best_ids[j], ids])
+                    cand_sc = np.concatenate([best_sc[j], score[:, j]])
+                    order = np.lexsort((cand_ids, -cand_sc))[:k]
+                    best_ids[j], best_sc[j] = cand_ids[order], cand_sc[order]
+        rows = [pd.DataFrame({"query_id": qids[j], "chunk_id": best_ids[j], "score": best_sc[j]})
+                for j in range(len(qsets)) if len(best_ids[j])]
+        if rows:
+            yield pd.concat(rows, ignore_index=True)
+    return run
+
+
 def lexical_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """Top-``k`` chunks per query by token Jaccard, ties by smaller ``chunk_id``.
 
-    Inverted-index plan: (query, token) and (chunk, token) rows are
-    equi-joined on the token, so only pairs that share a token are ever
-    scored; shared counts come from a partial aggregate. Chunks sharing
-    nothing score 0 and are only needed when a query has fewer than ``k``
-    positive chunks: the ``k`` smallest chunk ids are appended per query as
-    zero-score candidates. Result: (query_id, rank, chunk_id, score).
+    Exact brute-force scoring without a join: the query token sets (bounded
+    per pass by ``MAX_QUERIES_PER_PASS``) travel with the task; each chunk
+    partition keeps only the chunk tokens that occur in some query, scores a
+    batch of chunks against all queries with one incidence-matrix product,
+    and emits its ``k`` best per query. A final window over at most
+    ``k x partitions`` rows per query keeps the global top ``k``.
+    Result: (query_id, rank, chunk_id, score).
     """
-    qt = queries.select("query_id", tokens(F.col("content")).alias("t"))
-    qn = qt.select("query_id", F.size("t").alias("nq"))
-    qx = qt.select("query_id", F.explode("t").alias("tok"))
+    qsets = _query_sets(queries)
+    if not qsets:
+        return queries.sparkSession.createDataFrame([], "query_id long, rank int, chunk_id long, score double")
+    vocab = sorted({t for _, ts in qsets for t in ts})
     ct = chunks.select("chunk_id", tokens(F.col("text")).alias("t"))
-    cn = ct.select("chunk_id", F.size("t").alias("nc"))
-    cx = ct.select("chunk_id", F.explode("t").alias("tok"))
-    shared = qx.join(cx, "tok").groupBy("query_id", "chunk_id").agg(F.count("*").alias("s"))
-    scored = shared.join(qn, "query_id").join(cn, "chunk_id").select(
-        "query_id", "chunk_id", (F.col("s") / (F.col("nq") + F.col("nc") - F.col("s"))).alias("score"))
+    ct = ct.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.size("t").cast("double").alias("nc"),
+                   F.filter("t", lambda x: x.isin(vocab) if vocab else F.lit(False)).alias("qt"))
+    out = None
+    for i in range(0, len(qsets), MAX_QUERIES_PER_PASS):
+        part = ct.mapInPandas(_score_partitions(qsets[i:i + MAX_QUERIES_PER_PASS], k),
+                              "query_id long, chunk_id long, score double")
+        out = part if out is None else out.unionByName(part)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    top = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    smallest = [r["chunk_id"] for r in chunks.select("chunk_id").orderBy("chunk_id").limit(k).collect()]
-    if smallest:
-        fill = queries.select("query_id", F.explode(F.array(*[F.lit(int(c)) for c in smallest])).alias("chunk_id"),
-                              F.lit(0.0).alias("score"))
-        cand = top.select("query_id", "chunk_id", "score").unionByName(fill) \
-            .groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
-        top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    top = out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return top.select("query_id", "rank", "chunk_id", "score")
 
 
@@ -58,7 +107,7 @@ def newer_closure(seeds: DataFrame, chunks: DataFrame, max_rounds: int | None =
     """
     edges = chunks.select("chunk_id", F.explode("outdated_by").alias("nid"))
     known = chunks.select(F.col("chunk_id").alias("nid"))
-    edges = edges.join(known, "nid", "left_semi")
+    edges = edges.join(known, "nid", "left_semi").checkpoint()
     seen = seeds.select("query_id", "chunk_id", F.lit(0).alias("round")).distinct().checkpoint()
     frontier = seen
     r = 0
@@ -69,7 +118,7 @@ def newer_closure(seeds: DataFrame, chunks: DataFrame, max_rounds: int | None =
             .select("query_id", "chunk_id", F.lit(r).alias("round")).checkpoint()
         if nxt.isEmpty():
             break
-        seen = seen.unionByName(nxt).checkpoint()
+        seen = seen.unionByName(nxt)  # a union of checkpointed rounds: shallow lineage
         frontier = nxt
     return seen
 
@@ -93,9 +142,8 @@ def ordered_context(retrieved: DataFrame, chunks: DataFrame, with_dq: bool) -> D
                                                                    "outdated_by")
 
 
-def retrieve_context(queries: DataFrame, chunks: DataFrame, k: int, with_dq: bool) -> DataFrame:
-    """K3: top-k, optional expansion to newer chunks, ordering. Long form, one row per context chunk."""
-    top = lexical_topk(queries, chunks, k)
+def contexts_from_top(top: DataFrame, chunks: DataFrame, with_dq: bool) -> DataFrame:
+    """Context rows from a retrieved top-k table (query_id, rank, chunk_id, ...)."""
     if with_dq:
         cl = newer_closure(top.select("query_id", "chunk_id"), chunks.select("chunk_id", "outdated_by"))
         ret = cl.join(top.select("query_id", "chunk_id", "rank"), ["query_id", "chunk_id"], "left")
@@ -104,6 +152,17 @@ def retrieve_context(queries: DataFrame, chunks: DataFrame, k: int, with_dq: boo
     return ordered_context(ret, chunks, with_dq)
 
 
+def retrieve_context(queries: DataFrame, chunks: DataFrame, k: int, with_dq: bool) -> DataFrame:
+    """K3: top-k, optional expansion to newer chunks, ordering. Long form, one row per context chunk.
+
+    The chunk table and the top-k are checkpointed once (shared checkpoint
+    folder): the closure loop and the ordering read them several times.
+    """
+    chunks = chunks.checkpoint()
+    top = lexical_topk(queries, chunks, k).checkpoint()
+    return contexts_from_top(top, chunks, with_dq)
+
+
 def context_strings(ctx: DataFrame, delimiter: str = CONTEXT_DELIMITER) -> DataFrame:
     """(query_id, n_chunks, context): texts joined in position order (H9); group = one query's context."""
     g = ctx.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("position", "text"))).alias("_c"))

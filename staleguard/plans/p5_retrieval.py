@@ -27,10 +27,17 @@ def contexts(spark, d, with_dq: bool):
     return RT.retrieve_context(TD.queries(spark, d), _chunks(spark, d), K, with_dq)
 
 
+def contexts_both(spark, d) -> dict:
+    """Both modes from one checkpointed chunk table and one top-k."""
+    ch = _chunks(spark, d).checkpoint()
+    top = RT.lexical_topk(TD.queries(spark, d), ch, K).checkpoint()
+    return {name: RT.contexts_from_top(top, ch, dq) for name, dq in MODES}
+
+
 def _both(spark, d, fn):
     out = None
-    for name, dq in MODES:
-        part = fn(contexts(spark, d, dq)).withColumn("mode", F.lit(name))
+    for name, ctx in contexts_both(spark, d).items():
+        part = fn(ctx).withColumn("mode", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -71,8 +78,8 @@ def _sql(body: str) -> str:
 @query("newer_closure", _sql("""
 SELECT query_id, chunk_id, round FROM cl"""))
 def newer_closure(spark, d):
-    ch = _chunks(spark, d)
-    top = RT.lexical_topk(TD.queries(spark, d), ch, K)
+    ch = _chunks(spark, d).checkpoint()
+    top = RT.lexical_topk(TD.queries(spark, d), ch, K).checkpoint()
     return RT.newer_closure(top.select("query_id", "chunk_id"), ch.select("chunk_id", "outdated_by")) \
         .select("query_id", "chunk_id", F.col("round").cast("bigint").alias("round"))
 
@@ -131,9 +138,10 @@ FROM cs2 JOIN queries q USING (query_id)"""))
 def qa_requests(spark, d):
     q = TD.queries(spark, d).select("query_id", "content")
     out = None
+    both = contexts_both(spark, d)
     for name, dq in MODES:
         tmpl = _QA_DQ if dq else _QA_NO
-        cs = RT.context_strings(contexts(spark, d, dq)).join(q, "query_id")
+        cs = RT.context_strings(both[name]).join(q, "query_id")
         part = cs.select(F.lit(name).alias("mode"), "query_id",
                          F.lit("qa/qa_with_dq" if dq else "qa/qa_without_dq").alias("prompt_name"),
                          F.md5(T.render(tmpl[1], context="context", question="content")).alias("user_prompt_md5"))

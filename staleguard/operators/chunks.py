@@ -136,16 +136,17 @@ def flag_outdated(chunks: DataFrame, conflicts: DataFrame, docs: DataFrame, mode
     """
     oc = orient_conflicts(conflicts.where(F.col("conflicting_passage_doc1").isNotNull() &
                                           F.col("conflicting_passage_doc2").isNotNull()), docs)
-    sides = oc.select("ord", "p_old", "p_new", F.explode(F.array("old_id", "new_id")).alias("doc_id")).distinct()
+    sides = oc.select("ord", T.normalize("p_old").alias("p_old"), T.normalize("p_new").alias("p_new"),
+                      F.explode(F.array_distinct(F.array("old_id", "new_id"))).alias("doc_id"))
     cn = chunks.select("doc_id", "chunk_id", T.normalize("text").alias("_nt"))
     j = sides.join(cn, "doc_id")
-    is_old = F.contains(F.col("_nt"), T.normalize("p_old"))
-    is_new = ~is_old & F.contains(F.col("_nt"), T.normalize("p_new"))
-    m = j.select("ord", "chunk_id", is_old.alias("old"), is_new.alias("new"))
-    per_conflict = m.groupBy("ord").agg(
-        F.array_sort(F.collect_set(F.when(F.col("new"), F.col("chunk_id")))).alias("new_ids"))
-    olds = m.where("old").select("ord", "chunk_id").distinct()
-    a = olds.join(per_conflict, "ord")
+    is_old = F.contains(F.col("_nt"), F.col("p_old"))
+    is_new = ~is_old & F.contains(F.col("_nt"), F.col("p_new"))
+    # one pass: per conflict the old and the new chunk ids (bounded by the chunks of two documents)
+    per_conflict = j.groupBy("ord").agg(
+        F.collect_set(F.when(is_old, F.col("chunk_id"))).alias("old_ids"),
+        F.array_sort(F.collect_set(F.when(is_new, F.col("chunk_id")))).alias("new_ids"))
+    a = per_conflict.select("ord", "new_ids", F.explode("old_ids").alias("chunk_id"))
     if mode == "last":
         out = a.groupBy("chunk_id").agg(F.max_by("new_ids", "ord").alias("outdated_by"))
     elif mode == "union":

@@ -97,3 +97,22 @@ def test_sampling_is_reproducible_and_stratified(spark):
     b = {r.id for r in SM.stratified_sample(df, "id", "domain", 30, 7).collect()}
     assert a == b and len(a) == 30
     assert SM.round_robin_quota(30) == {"Finance": 10, "Medical": 10, "Law": 10}
+
+
+def test_pairs_on_bench_scale_vectors_match_numpy(spark):
+    """The sf0.1 embeddings (2,000 vectors): exact pair counts at several thresholds."""
+    import os
+
+    import pyarrow.parquet as pq
+    path = "/root/testdata/sf0.1/embeddings.parquet"
+    if not os.path.exists(path):
+        return
+    t = pq.read_table(path).to_pydict()
+    X = np.array(t["embedding"], dtype=np.float64)
+    U = X / np.linalg.norm(X, axis=1, keepdims=True)
+    d = np.clip(1 - U @ U.T, 0, 2)[np.triu_indices(len(X), 1)]
+    df = spark.read.parquet(path)
+    for thr in (0.6, 0.75, 1.1):
+        want = int(((d > 0) & (d <= thr)).sum())
+        got = P.related_pairs(df, "vec_id", "embedding", thr, block_rows=700).count()
+        assert got == want, (thr, got, want)

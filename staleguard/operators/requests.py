@@ -20,7 +20,7 @@ from staleguard.sources import prompts as PR
 
 
 def request_id(*cols) -> "F.Column":
-    return F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in cols]), 256)
+    return F.sha2(F.concat_ws("|", *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols]), 256)
 
 
 def pair_requests(pairs: DataFrame, docs: DataFrame, prompt_name: str, model: str,
@@ -108,3 +108,42 @@ def tabular_documents(rows: DataFrame, domain_ids: DataFrame) -> DataFrame:
         keep_nulls("hospital_patient_name").alias("hospital_patient_names"),
         F.array_sort(F.collect_list("doc_id")).alias("original_doc_ids"))
     return g.join(F.broadcast(domain_ids), "domain", "left")
+
+
+def multi_textual_requests(docs: DataFrame, qa: DataFrame, entity_col: str = "entity") -> DataFrame:
+    """K7 front half: per document its QA pairs (H8, ordered by query id), numbered (H7) and rendered.
+
+    ``qa``: (doc_id, query_id, question, answer). The group is one document's
+    queries (bounded by the queries that reference the document).
+    """
+    g = qa.groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.struct("query_id", "question", "answer"))).alias("qa"))
+    system, user = PR.get("manipulations/manipulation_multi_textual")
+    j = docs.join(g, "doc_id")
+    return j.select("doc_id", "content", "qa", F.lit(system).alias("system_prompt"),
+                    T.render(user, text="content", entity=F.coalesce(F.col(entity_col), F.lit("")),
+                             questions=T.numbered_qa("qa")).alias("user_prompt"),
+                    request_id("doc_id", F.lit("multi")).alias("request_id"))
+
+
+def match_returned_pairs(decoded: DataFrame, qa: DataFrame) -> DataFrame:
+    """C12 for K7: returned QA pairs matched to the document's queries on case-folded,
+    stripped question text; the first returned pair wins per query."""
+    from pyspark.sql import Window
+    ret = decoded.select("doc_id", F.posexplode("decoded.qa_pairs_new").alias("pos", "p")).select(
+        "doc_id", "pos", F.lower(T.py_strip(F.col("p.question"))).alias("_k"),
+        F.col("p.answer").alias("answer_new"), F.col("p.quote").alias("quote"))
+    q = qa.select("doc_id", "query_id", F.lower(T.py_strip(F.col("question"))).alias("_k"))
+    j = q.join(ret, ["doc_id", "_k"])
+    w = Window.partitionBy("doc_id", "query_id").orderBy("pos")
+    return j.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn", "_k")
+
+
+def apply_on_exist(new_rows: DataFrame, existing: DataFrame | None, key: str, on_exist: str) -> DataFrame:
+    """``skip``: keep only rows whose key is not stored yet; ``override``: keep all (the stored
+    rows with these keys are replaced by the caller's delete + append)."""
+    if existing is None or on_exist == "override":
+        return new_rows
+    if on_exist == "skip":
+        return new_rows.join(existing.select(key), key, "left_anti")
+    raise ValueError(on_exist)

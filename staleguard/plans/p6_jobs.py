@@ -156,3 +156,73 @@ def manipulate_tabular(spark, d):
 
 
 del load
+
+
+from staleguard.plans import sqlutil as _S  # noqa: E402
+from staleguard.plans.p1_scalars import _WIDE_SQL, _wide_docs  # noqa: E402
+from staleguard.plans.p1_sets import HITS_SQL, MAPPING_SQL, doc_query_hits, doc_query_mapping  # noqa: E402
+from staleguard.sources import prompts as _PR  # noqa: E402
+
+_MULTI_USER = _PR.get("manipulations/manipulation_multi_textual")[1]
+
+
+@query("manipulate_multi", TD.ctes("docs", "queries") + _WIDE_SQL + HITS_SQL + f"""
+, qa AS (SELECT h.doc_id, h.query_id, q.content AS question, q.content AS answer
+         FROM hits h JOIN queries q USING (query_id) WHERE q.query_type = 'Factual Question')
+, num AS (SELECT doc_id, count(*) AS n_pairs,
+                 string_agg('question_' || i || ': ' || question || chr(10) || 'answer_' || i || ': ' || answer
+                            || chr(10), '' ORDER BY query_id) AS questions
+          FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY query_id) AS i FROM qa) GROUP BY doc_id)
+SELECT {_S.derived_id('w.doc_id', '4')} AS new_doc_id, num.n_pairs, num.n_pairs AS n_matched,
+       md5({_S.render(_MULTI_USER, text='w.content', entity="coalesce(coalesce(nullif(w.hospital_patient_name, ''), "
+                      "nullif(w.court_name, ''), nullif(w.company_name, '')), '')", questions='num.questions')})
+         AS prompt_md5
+FROM num JOIN wide w USING (doc_id)""")
+def manipulate_multi(spark, d):
+    """K7: documents holding reference passages -> their factual QA pairs (B5, H8) -> numbered prompt
+    (H7, B14) -> response with new text and QA pairs -> returned pairs matched back to the queries
+    (C12) -> altered document ids (prefix 4); ``on_exist='skip'`` against an empty store."""
+    from staleguard.functions import text as _T
+    q = TD.queries(spark, d).where(F.col("query_type") == "Factual Question") \
+        .select("query_id", F.col("content").alias("question"), F.col("content").alias("answer"))
+    qa = doc_query_hits(spark, d).join(q, "query_id")
+    docs = _wide_docs(spark, d).select(
+        "doc_id", "content", _T.first_entity("hospital_patient_name", "court_name", "company_name").alias("entity"))
+    req = RQ.multi_textual_requests(docs, qa)
+    pairs_new = F.transform("qa", lambda x: F.struct(F.concat(F.lit("  "), x["question"], F.lit("\n")).alias("question"),
+                                                     F.concat(F.lit("updated: "), x["answer"]).alias("answer"),
+                                                     x["question"].alias("quote")))
+    resp = req.select("request_id", F.to_json(F.struct(F.concat("content", F.lit("\n[multi]")).alias("text_new"),
+                                                       pairs_new.alias("qa_pairs_new"))).alias("response"))
+    dec = RQ.decode_responses(req.select("request_id", "doc_id", "qa", "user_prompt"), resp, "multi_textual")
+    matched = RQ.match_returned_pairs(dec, qa).groupBy("doc_id").agg(F.count("*").alias("n_matched"))
+    out = dec.select("doc_id", F.size("qa").cast("bigint").alias("n_pairs"), F.md5("user_prompt").alias("prompt_md5")) \
+        .join(matched, "doc_id", "left")
+    new = RQ.apply_on_exist(out.withColumn("new_doc_id", _T.derived_id("doc_id", 4)), None, "new_doc_id", "skip")
+    return new.select("new_doc_id", "n_pairs", F.coalesce("n_matched", F.lit(0)).cast("bigint").alias("n_matched"),
+                      "prompt_md5")
+
+
+@query("manipulate_textual_queries", TD.ctes("docs") + MAPPING_SQL + f"""
+SELECT {_S.derived_id('m.query_id_textual_manipulation', '1')} AS query_id,
+       m.query_id_textual_manipulation AS original_query_id,
+       CAST({_S.derived_id('d.doc_id', '1')} AS VARCHAR) AS doc_ids,
+       md5('revised: ' || b.text) AS answer_md5, 1 AS n_references, 0 AS n_keypoints
+FROM mapping m JOIN docs d USING (doc_id) JOIN benchmark b ON b.item_id = m.query_id_textual_manipulation
+WHERE d.kind = 'single_textual'""")
+def manipulate_textual_queries(spark, d):
+    """Altered query rows for single-textual documents: new id, back-pointer, new answer and
+    references, the altered document as the only doc id, empty keypoints."""
+    from staleguard.functions import text as _T
+    m = doc_query_mapping(spark, d).select("doc_id", F.col("query_id_textual_manipulation").alias("query_id"))
+    docs = TD.documents(spark, d).where(F.col("kind") == "single_textual").select("doc_id")
+    q = TD.queries(spark, d)
+    todo = m.join(docs, "doc_id").join(q.select("query_id", "content"), "query_id")
+    resp = todo.select("query_id", "doc_id", F.to_json(F.struct(
+        F.lit("").alias("text_new"), F.concat(F.lit("revised: "), F.col("content")).alias("answer_new"),
+        F.array(_T.py_strip(F.col("content"))).alias("references_new"))).alias("response"))
+    dec = resp.select("query_id", "doc_id", J.decode("response", "single_textual").alias("decoded"))
+    new = RQ.altered_queries(q, dec, 1)
+    return new.select("query_id", "original_query_id", F.array_join("doc_ids", ",").alias("doc_ids"),
+                      F.md5("answer").alias("answer_md5"), F.size("references").alias("n_references"),
+                      F.size("keypoints").alias("n_keypoints"))

@@ -32,14 +32,22 @@ def l1_norm(v) -> Column:
 
 
 def l2_normalize(v) -> Column:
-    """Row L2 normalisation; the zero vector stays zero."""
-    n = l2_norm(v)
-    return F.transform(_c(v), lambda x: F.when(n > 0, x / n).otherwise(x))
+    """Row L2 normalisation; the zero vector stays zero.
+
+    The norm is accumulated once and the division happens in ``aggregate``'s
+    finish function, so the cost is O(dim) (a norm referenced inside the
+    element lambda would be recomputed for every element).
+    """
+    a = _c(v)
+    return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x * x,
+                       lambda acc: F.when(acc > 0, F.transform(a, lambda x: x / F.sqrt(acc))).otherwise(a))
 
 
 def l1_normalize(v) -> Column:
-    n = l1_norm(v)
-    return F.transform(_c(v), lambda x: F.when(n > 0, x / n).otherwise(x))
+    """Row L1 normalisation (O(dim), see ``l2_normalize``); the zero vector stays zero."""
+    a = _c(v)
+    return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + F.abs(x),
+                       lambda acc: F.when(acc > 0, F.transform(a, lambda x: x / acc)).otherwise(a))
 
 
 def cosine_distance(a, b, norm_a=None, norm_b=None) -> Column:

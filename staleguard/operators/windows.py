@@ -7,37 +7,44 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _sorted_components(prob_col: str, tie_high_first: str) -> str:
+    """SQL: the components as (p, k) structs sorted by p descending; ties by k descending when
+    ``tie_high_first`` (a SQL boolean) holds, else ascending."""
+    return (f"array_sort(transform({prob_col}, (x, i) -> named_struct('p', x, 'k', i)), "
+            f"(l, r) -> CASE WHEN l.p > r.p THEN -1 WHEN l.p < r.p THEN 1 "
+            f"WHEN l.k = r.k THEN 0 WHEN ({tie_high_first}) = (l.k > r.k) THEN -1 ELSE 1 END)")
+
+
 def cumulative_select(df: DataFrame, id_col: str, prob_col: str, threshold: float) -> DataFrame:
     """Smallest top-probability prefix whose sum reaches ``threshold``.
 
     Components are ordered by probability descending, ties by higher index
     first; a component is kept when the sum of the components before it is
     still below the threshold, so the first is always kept and a threshold
-    above the total keeps all. Window groups are one document's components.
-    Returns (id, selected ARRAY<INT>) in selection order.
+    above the total keeps all. Row-local array functions: no explode and no
+    shuffle. Returns (id, selected ARRAY<INT>) in selection order.
     """
-    ex = df.select(F.col(id_col).alias("id"), F.posexplode(prob_col).alias("k", "p"))
-    w = Window.partitionBy("id").orderBy(F.desc("p"), F.desc("k"))
-    ex = ex.withColumn("rn", F.row_number().over(w)) \
-        .withColumn("prev", F.coalesce(F.sum("p").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    kept = ex.where((F.col("rn") == 1) | (F.col("prev") < F.lit(float(threshold))))
-    return kept.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rn", "k"))).alias("_s")) \
-        .select(F.col("id").alias(id_col), F.transform("_s", lambda s: s["k"]).alias("selected"))
+    t = float(threshold)
+    # running sums in one left-to-right pass: acc = (sum so far, kept ks)
+    sel = F.expr(
+        f"aggregate(_srt, named_struct('s', 0D, 'ks', CAST(array() AS ARRAY<INT>)), "
+        f"(acc, x) -> named_struct('s', acc.s + x.p, "
+        f"'ks', CASE WHEN size(acc.ks) = 0 OR acc.s < CAST({t!r} AS DOUBLE) "
+        f"THEN concat(acc.ks, array(x.k)) ELSE acc.ks END), acc -> acc.ks)")
+    return df.select(F.col(id_col), F.expr(_sorted_components(prob_col, "true")).alias("_srt")) \
+        .select(F.col(id_col), sel.alias("selected"))
 
 
 def top_topics(df: DataFrame, id_col: str, vec_col: str, orig_col: str, multi_k: int = 10) -> DataFrame:
     """Argmax topic, or the top ``multi_k`` topics for documents with several originals.
 
-    Argmax keeps the lowest index among ties; the top list orders ties by higher index first.
+    Argmax keeps the lowest index among ties; the top list orders ties by
+    higher index first. Row-local array functions.
     """
-    ex = df.select(F.col(id_col).alias("id"), F.size(orig_col).alias("_no"), F.posexplode(vec_col).alias("k", "p"))
-    multi = F.coalesce(F.col("_no"), F.lit(0)) > 1
-    order = F.when(multi, -F.col("k")).otherwise(F.col("k"))
-    w = Window.partitionBy("id").orderBy(F.desc("p"), order)
-    ex = ex.withColumn("rn", F.row_number().over(w))
-    kept = ex.where(F.col("rn") <= F.when(multi, F.lit(multi_k)).otherwise(F.lit(1)))
-    return kept.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rn", "k"))).alias("_s")) \
-        .select(F.col("id").alias(id_col), F.transform("_s", lambda s: s["k"]).alias("topics"))
+    multi = f"coalesce(size({orig_col}), 0) > 1"
+    srt = _sorted_components(vec_col, multi)
+    top = F.expr(f"transform(slice({srt}, 1, CASE WHEN {multi} THEN {int(multi_k)} ELSE 1 END), y -> y.k)")
+    return df.select(F.col(id_col), top.alias("topics"))
 
 
 def sequential_offsets(df: DataFrame, order_col: str, count_col: str, block: int = 4096) -> DataFrame:

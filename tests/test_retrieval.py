@@ -57,3 +57,33 @@ def test_nmf_and_lsa_shapes(spark):
     s = np.linalg.svd(A, compute_uv=False)[:2]
     got = np.array([L[d] for d in range(12)])
     assert np.allclose(np.sort(np.linalg.norm(got, axis=0))[::-1], s, rtol=1e-6)
+
+
+def test_topk_nearest_matches_brute_force(spark):
+    from staleguard.operators import windows as W
+    rng = np.random.default_rng(3)
+    X = rng.normal(size=(200, 8))
+    Q = rng.normal(size=(3, 8))
+    df = spark.createDataFrame([(i, [float(x) for x in X[i]]) for i in range(len(X))], "id long, e array<double>")
+    got = {}
+    for r in W.topk_nearest(df.repartition(4), "id", "e", [(j, list(Q[j])) for j in range(3)], 5).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.id))
+    Xn = X / np.linalg.norm(X, axis=1, keepdims=True)
+    for j in range(3):
+        d = 1 - Xn @ (Q[j] / np.linalg.norm(Q[j]))
+        want = list(np.lexsort((np.arange(len(X)), d))[:5])
+        assert [i for _, i in sorted(got[j])] == want
+
+
+def test_tfidf_formula(spark):
+    docs = spark.createDataFrame([(1, "aa bb bb"), (2, "bb cc"), (3, "dd")], "doc_id long, content string")
+    w = {(r.doc_id, r.term): r.weight for r in TM.tfidf(docs, max_df=1.0, stop_words=()).collect()}
+    n = 3
+    idf = {t: np.log((1 + n) / (1 + df)) + 1 for t, df in {"aa": 1, "bb": 2, "cc": 1, "dd": 1}.items()}
+    raw1 = np.array([1 * idf["aa"], 2 * idf["bb"]])
+    raw1 = raw1 / np.linalg.norm(raw1)
+    assert abs(w[(1, "aa")] - raw1[0]) < 1e-12 and abs(w[(1, "bb")] - raw1[1]) < 1e-12
+    assert abs(w[(3, "dd")] - 1.0) < 1e-12
+    # max_df drops terms in more than 95% of documents
+    w2 = {(r.doc_id, r.term) for r in TM.tfidf(docs.where("doc_id < 3"), max_df=0.95, stop_words=()).collect()}
+    assert (1, "bb") not in w2

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from staleguard.config import CONTEXT_DELIMITER, SCORING_DELIMITER
 from staleguard.functions import text as T
+from staleguard.session import checkpoint_dir
 
 
 def tokens(c):
@@ -105,6 +106,7 @@ def newer_closure(seeds: DataFrame, chunks: DataFrame, max_rounds: int | None =
     because seen ids are never revisited. The seen set is checkpointed to the
     shared checkpoint folder every round to cut lineage.
     """
+    checkpoint_dir(seeds.sparkSession)
     edges = chunks.select("chunk_id", F.explode("outdated_by").alias("nid"))
     known = chunks.select(F.col("chunk_id").alias("nid"))
     edges = edges.join(known, "nid", "left_semi").checkpoint()
@@ -158,6 +160,7 @@ def retrieve_context(queries: DataFrame, chunks: DataFrame, k: int, with_dq: boo
     The chunk table and the top-k are checkpointed once (shared checkpoint
     folder): the closure loop and the ordering read them several times.
     """
+    checkpoint_dir(chunks.sparkSession)
     chunks = chunks.checkpoint()
     top = lexical_topk(queries, chunks, k).checkpoint()
     return contexts_from_top(top, chunks, with_dq)

@@ -17,6 +17,7 @@ def tokens(c):
 
 MAX_QUERIES_PER_PASS = 4096
 CHUNK_BATCH = 2048
+JVM_VOCAB_FILTER_MAX = 20_000
 
 
 def _query_sets(queries: DataFrame) -> list[tuple[int, list[str]]]:
@@ -51,7 +52,9 @@ def _score_partitions(qsets: list[tuple[int, list[str]]], k: int):
                 M = np.zeros((len(part), Qm.shape[0]), dtype=np.float32)
                 for i, ts in enumerate(part["qt"]):
                     for t in ts if ts is not None else ():
-                        M[i, vocab[t]] = 1.0
+                        j = vocab.get(t)
+                        if j is not None:
+                            M[i, j] = 1.0
                 shared = (M @ Qm).astype(np.float64)  # chunks x queries
                 denom = nq[None, :] + nc[:, None] - shared
                 score = np.where(shared > 0, shared / np.where(denom > 0, denom, 1.0), 0.0)
@@ -83,8 +86,12 @@ def lexical_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
         return queries.sparkSession.createDataFrame([], "query_id long, rank int, chunk_id long, score double")
     vocab = sorted({t for _, ts in qsets for t in ts})
     ct = chunks.select("chunk_id", tokens(F.col("text")).alias("t"))
+    # small vocabularies are filtered in the JVM (an InSet); large ones in the scorer, so the plan
+    # shipped with every task stays small
+    keep = F.filter("t", lambda x: x.isin(vocab) if vocab else F.lit(False)) \
+        if len(vocab) <= JVM_VOCAB_FILTER_MAX else F.col("t")
     ct = ct.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.size("t").cast("double").alias("nc"),
-                   F.filter("t", lambda x: x.isin(vocab) if vocab else F.lit(False)).alias("qt"))
+                   keep.alias("qt"))
     out = None
     for i in range(0, len(qsets), MAX_QUERIES_PER_PASS):
         part = ct.mapInPandas(_score_partitions(qsets[i:i + MAX_QUERIES_PER_PASS], k),

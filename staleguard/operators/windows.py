@@ -51,11 +51,25 @@ def sequential_offsets(df: DataFrame, order_col: str, count_col: str, block: int
     """Add ``offset`` = sum of ``count_col`` over all rows with a smaller ``order_col``.
 
     Two levels so no window sees the whole table: block totals (one row per
-    ``block`` keys) get a running sum, and rows get a running sum inside their
-    block. Both windows are bounded: N/block rows and block rows.
+    block of about ``block`` keys) get a running sum, and rows get a running sum
+    inside their block; both windows are bounded (N/block rows and block rows).
+    Dense keys are blocked by value (``floor(key / block)``); sparse keys (span
+    much larger than the row count) by approximate quantile boundaries applied
+    with a ``Bucketizer`` (binary search in the JVM), so blocks stay near
+    ``block`` rows either way.
     """
-    b = F.floor(F.col(order_col) / F.lit(block))
-    x = df.withColumn("_b", b)
+    st = df.agg(F.count("*").alias("n"), F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).collect()[0]
+    n = int(st["n"] or 0)
+    dense = n == 0 or (float(st["hi"]) - float(st["lo"]) + 1.0) <= 4.0 * n
+    if dense:
+        x = df.withColumn("_b", F.floor(F.col(order_col) / F.lit(block)))
+    else:
+        from pyspark.ml.feature import Bucketizer
+        nb = max(1, n // block)
+        qs = df.approxQuantile(order_col, [i / nb for i in range(1, nb)], 1.0 / (4 * nb)) if nb > 1 else []
+        splits = [-float("inf")] + sorted(set(float(q) for q in qs)) + [float("inf")]
+        x = Bucketizer(splits=splits, inputCol="_k", outputCol="_b") \
+            .transform(df.withColumn("_k", F.col(order_col).cast("double"))).drop("_k")
     blocks = x.groupBy("_b").agg(F.sum(count_col).alias("_bt"))
     bw = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("_b", F.coalesce(F.sum("_bt").over(bw), F.lit(0)).alias("_boff"))

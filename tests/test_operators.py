@@ -116,3 +116,14 @@ def test_pairs_on_bench_scale_vectors_match_numpy(spark):
         want = int(((d > 0) & (d <= thr)).sum())
         got = P.related_pairs(df, "vec_id", "embedding", thr, block_rows=700).count()
         assert got == want, (thr, got, want)
+
+
+def test_sequential_offsets_sparse_keys(spark):
+    keys = [i * 1_000_003 + (i % 7) for i in range(300)]  # span far larger than the row count
+    df = spark.createDataFrame([(k, (k % 3) + 1) for k in keys], "k long, n long")
+    got = {r.k: r.offset for r in W.sequential_offsets(df, "k", "n", block=16).collect()}
+    run, want = 0, {}
+    for k in sorted(keys):
+        want[k] = run
+        run += (k % 3) + 1
+    assert got == want

@@ -23,13 +23,9 @@ SELECT round(avg(hit), 6) AS recall,
        round((SELECT avg(hr) FROM (SELECT doc_id, avg(hit) AS hr FROM h GROUP BY doc_id)), 6) AS mean_doc_hitrate
 FROM h""")
 def cluster_recall(spark, d):
-    per_doc, report = EV.cluster_recall(vector_clusters(spark, d), "clusters")
-    # per-document hit rates stay distributed; their mean is reported beside the per-link recall
-    mean_hr = per_doc.agg(F.avg("hitrate").alias("mean_doc_hitrate"))
-    rep = report.select(r6("recall").alias("recall"), r6("recall_without_tabular").alias("recall_without_tabular"),
-                        "n_links", F.lit(0).alias("_k"))
-    return rep.join(mean_hr.select(r6("mean_doc_hitrate").alias("mean_doc_hitrate"), F.lit(0).alias("_k")), "_k") \
-        .drop("_k")
+    rep = EV.cluster_recall_report(vector_clusters(spark, d), "clusters")
+    return rep.select(r6("recall").alias("recall"), r6("recall_without_tabular").alias("recall_without_tabular"),
+                      "n_links", r6("mean_doc_hitrate").alias("mean_doc_hitrate"))
 
 
 @query("docs_per_cluster", TD.ctes("vecs", "vecs_lin") + _CLUSTERS_SQL + """

@@ -82,8 +82,10 @@ def with_vector_lineage(vecs: DataFrame) -> DataFrame:
     broadcasts it from its runtime size or splits a hot label's partition.
     """
     first = vecs.groupBy("label").agg(F.min("vec_id").alias("_first"))
-    second = first.where(F.col("label") == 1).select(
-        F.lit(0).cast(vecs.schema["label"].dataType).alias("label"), F.col("_first").alias("_first1"))
+    # label 0 also points to label 1's first vector: shift the key (an expression, not a literal,
+    # so the join stays an equi-join instead of being folded into a nested loop)
+    second = first.select((F.col("label") - 1).cast(vecs.schema["label"].dataType).alias("label"),
+                          F.col("_first").alias("_first1")).where(F.col("label") == 0)
     out = vecs.join(first, "label", "inner").join(second, "label", "left")
     lineage = (F.when(F.col("vec_id") == F.col("_first"), F.array().cast("array<bigint>"))
                .when(F.col("_first1").isNotNull(), F.array(F.col("_first"), F.col("_first1")))

@@ -23,3 +23,14 @@ def test_oracle_keys_subset_of_queries():
 def test_query_runs_on_smallest_scale(spark, name):
     df = E.queries()[name](spark, SF)
     assert df.count() >= 0
+
+
+AUDITED = ["related_docs", "distance_recall", "threshold_sweep", "candidate_pairs", "cluster_recall",
+           "avg_related", "shared_cluster", "cumulative_select", "flag_outdated", "contains_type",
+           "retrieve_context", "scorecard", "kmeans"]
+
+
+@pytest.mark.parametrize("name", AUDITED)
+def test_no_cartesian_or_nested_loop_join(spark, name):
+    plan = E.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from staleguard.functions import text as T
 from staleguard.functions import vectors as V
 from staleguard.operators import evaluate as EV
 from staleguard.operators import lineage as LN
@@ -162,5 +160,3 @@ def semi_lookup(spark, d):
     ids = TD.conflicts(TD.with_text_lineage(docs)).select(F.col("id2").alias("doc_id"))
     return RS.lookup_ids(docs, ids, "doc_id").select("doc_id", "kind")
 
-
-del Window, T

@@ -146,11 +146,9 @@ def select_for_alteration(spark, d):
     tb = SM.seeded_sample(st, "doc_id", 15, SEED + 1)
     mt = SM.stratified_sample(docs, "doc_id", "domain", 12, SEED + 2, LANG_DOMAINS, exclude=st).select("doc_id")
     ids = st.unionByName(mt).distinct()
-    flag = lambda s, name: ids.join(s.withColumn(name, F.lit(True)), "doc_id", "left")
     out = ids.join(st.withColumn("single_textual_manipulation", F.lit(True)), "doc_id", "left") \
         .join(tb.withColumn("single_tabular_manipulation", F.lit(True)), "doc_id", "left") \
         .join(mt.withColumn("multi_textual_manipulation", F.lit(True)), "doc_id", "left")
-    del flag
     return out.select("doc_id", *[F.coalesce(c, F.lit(False)).alias(c) for c in
                                   ["single_textual_manipulation", "single_tabular_manipulation",
                                    "multi_textual_manipulation"]])

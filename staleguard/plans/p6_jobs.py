@@ -15,10 +15,12 @@ from staleguard.operators import requests as RQ
 from staleguard.plans import sqlutil as S
 from staleguard.plans.p0_pairs import _PAIRS_SQL, THRESHOLD
 from staleguard.plans.p2_joins import _TRUTH_SQL, _vec_pairs
+from staleguard.plans.p1_scalars import _WIDE_SQL, _wide_docs
+from staleguard.plans.p1_sets import HITS_SQL, MAPPING_SQL, doc_query_hits, doc_query_mapping
 from staleguard.plans.p3_windows import select_for_alteration
 from staleguard.plans.registry import query, r6
+from staleguard.sources import prompts as PR
 from staleguard.sources import testdata as TD
-from staleguard.sources.tables import load
 
 MODELS = ("m1", "m2")
 
@@ -155,15 +157,7 @@ def manipulate_tabular(spark, d):
                     names.alias("company_names"), F.array_join("original_doc_ids", ",").alias("original_doc_ids"))
 
 
-del load
-
-
-from staleguard.plans import sqlutil as _S  # noqa: E402
-from staleguard.plans.p1_scalars import _WIDE_SQL, _wide_docs  # noqa: E402
-from staleguard.plans.p1_sets import HITS_SQL, MAPPING_SQL, doc_query_hits, doc_query_mapping  # noqa: E402
-from staleguard.sources import prompts as _PR  # noqa: E402
-
-_MULTI_USER = _PR.get("manipulations/manipulation_multi_textual")[1]
+_MULTI_USER = PR.get("manipulations/manipulation_multi_textual")[1]
 
 
 @query("manipulate_multi", TD.ctes("docs", "queries") + _WIDE_SQL + HITS_SQL + f"""
@@ -173,8 +167,8 @@ _MULTI_USER = _PR.get("manipulations/manipulation_multi_textual")[1]
                  string_agg('question_' || i || ': ' || question || chr(10) || 'answer_' || i || ': ' || answer
                             || chr(10), '' ORDER BY query_id) AS questions
           FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY query_id) AS i FROM qa) GROUP BY doc_id)
-SELECT {_S.derived_id('w.doc_id', '4')} AS new_doc_id, num.n_pairs, num.n_pairs AS n_matched,
-       md5({_S.render(_MULTI_USER, text='w.content', entity="coalesce(coalesce(nullif(w.hospital_patient_name, ''), "
+SELECT {S.derived_id('w.doc_id', '4')} AS new_doc_id, num.n_pairs, num.n_pairs AS n_matched,
+       md5({S.render(_MULTI_USER, text='w.content', entity="coalesce(coalesce(nullif(w.hospital_patient_name, ''), "
                       "nullif(w.court_name, ''), nullif(w.company_name, '')), '')", questions='num.questions')})
          AS prompt_md5
 FROM num JOIN wide w USING (doc_id)""")
@@ -187,7 +181,7 @@ def manipulate_multi(spark, d):
         .select("query_id", F.col("content").alias("question"), F.col("content").alias("answer"))
     qa = doc_query_hits(spark, d).join(q, "query_id")
     docs = _wide_docs(spark, d).select(
-        "doc_id", "content", _T.first_entity("hospital_patient_name", "court_name", "company_name").alias("entity"))
+        "doc_id", "content", T.first_entity("hospital_patient_name", "court_name", "company_name").alias("entity"))
     req = RQ.multi_textual_requests(docs, qa)
     pairs_new = F.transform("qa", lambda x: F.struct(F.concat(F.lit("  "), x["question"], F.lit("\n")).alias("question"),
                                                      F.concat(F.lit("updated: "), x["answer"]).alias("answer"),
@@ -198,15 +192,15 @@ def manipulate_multi(spark, d):
     matched = RQ.match_returned_pairs(dec, qa).groupBy("doc_id").agg(F.count("*").alias("n_matched"))
     out = dec.select("doc_id", F.size("qa").cast("bigint").alias("n_pairs"), F.md5("user_prompt").alias("prompt_md5")) \
         .join(matched, "doc_id", "left")
-    new = RQ.apply_on_exist(out.withColumn("new_doc_id", _T.derived_id("doc_id", 4)), None, "new_doc_id", "skip")
+    new = RQ.apply_on_exist(out.withColumn("new_doc_id", T.derived_id("doc_id", 4)), None, "new_doc_id", "skip")
     return new.select("new_doc_id", "n_pairs", F.coalesce("n_matched", F.lit(0)).cast("bigint").alias("n_matched"),
                       "prompt_md5")
 
 
 @query("manipulate_textual_queries", TD.ctes("docs") + MAPPING_SQL + f"""
-SELECT {_S.derived_id('m.query_id_textual_manipulation', '1')} AS query_id,
+SELECT {S.derived_id('m.query_id_textual_manipulation', '1')} AS query_id,
        m.query_id_textual_manipulation AS original_query_id,
-       CAST({_S.derived_id('d.doc_id', '1')} AS VARCHAR) AS doc_ids,
+       CAST({S.derived_id('d.doc_id', '1')} AS VARCHAR) AS doc_ids,
        md5('revised: ' || b.text) AS answer_md5, 1 AS n_references, 0 AS n_keypoints
 FROM mapping m JOIN docs d USING (doc_id) JOIN benchmark b ON b.item_id = m.query_id_textual_manipulation
 WHERE d.kind = 'single_textual'""")
@@ -220,7 +214,7 @@ def manipulate_textual_queries(spark, d):
     todo = m.join(docs, "doc_id").join(q.select("query_id", "content"), "query_id")
     resp = todo.select("query_id", "doc_id", F.to_json(F.struct(
         F.lit("").alias("text_new"), F.concat(F.lit("revised: "), F.col("content")).alias("answer_new"),
-        F.array(_T.py_strip(F.col("content"))).alias("references_new"))).alias("response"))
+        F.array(T.py_strip(F.col("content"))).alias("references_new"))).alias("response"))
     dec = resp.select("query_id", "doc_id", J.decode("response", "single_textual").alias("decoded"))
     new = RQ.altered_queries(q, dec, 1)
     return new.select("query_id", "original_query_id", F.array_join("doc_ids", ",").alias("doc_ids"),

@@ -121,21 +121,19 @@ def cluster_recall(docs: DataFrame, cluster_col: str, id_col: str = "doc_id",
 
 def cluster_recall_report(docs: DataFrame, cluster_col: str, id_col: str = "doc_id",
                           orig_col: str = "original_doc_ids") -> DataFrame:
-    """One row: per-link recall, recall without tabular ids, link count, mean per-document hit
-    rate and mean number of documents sharing a label (union-then-aggregate, no joins of
-    one-row frames)."""
-    per_doc, _ = cluster_recall(docs, cluster_col, id_col, orig_col)
+    """One row: per-link recall, recall without tabular ids, link count and mean per-document hit
+    rate (union-then-aggregate over one set of link hits, no joins of one-row frames)."""
     links = lineage_links(docs, id_col, orig_col)
     mine = docs.select(F.col(id_col).alias("doc_id"), F.col(cluster_col).alias("c1"))
     theirs = docs.select(F.col(id_col).alias("orig"), F.col(cluster_col).alias("c2"))
     hits = links.join(mine, "doc_id").join(theirs, "orig") \
-        .select(A.overlap_strict("c1", "c2").cast("double").alias("hit"), _not_tabular("doc_id").alias("nt"),
-                F.lit(None).cast("double").alias("hr"))
-    hr = per_doc.select(F.lit(None).cast("double").alias("hit"), F.lit(None).cast("boolean").alias("nt"),
-                        F.col("hitrate").alias("hr"))
-    return hits.unionByName(hr).agg(
-        F.avg("hit").alias("recall"), F.avg(F.when(F.col("nt"), F.col("hit"))).alias("recall_without_tabular"),
-        F.count("hit").alias("n_links"), F.avg("hr").alias("mean_doc_hitrate"))
+        .select("doc_id", A.overlap_strict("c1", "c2").cast("double").alias("hit"))
+    per_doc = hits.groupBy("doc_id").agg(F.avg("hit").alias("hr"))
+    u = hits.select("hit", _not_tabular("doc_id").alias("nt"), F.lit(None).cast("double").alias("hr")) \
+        .unionByName(per_doc.select(F.lit(None).cast("double").alias("hit"), F.lit(None).cast("boolean").alias("nt"),
+                                    "hr"))
+    return u.agg(F.avg("hit").alias("recall"), F.avg(F.when(F.col("nt"), F.col("hit"))).alias("recall_without_tabular"),
+                 F.count("hit").alias("n_links"), F.avg("hr").alias("mean_doc_hitrate"))
 
 
 def docs_per_cluster(docs: DataFrame, cluster_col: str) -> DataFrame:

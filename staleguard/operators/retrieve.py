@@ -20,10 +20,16 @@ CHUNK_BATCH = 2048
 JVM_VOCAB_FILTER_MAX = 20_000
 
 
-def _query_sets(queries: DataFrame) -> list[tuple[int, list[str]]]:
-    """Query token sets, streamed to the driver (the query set is bounded per pass)."""
-    rows = queries.select("query_id", tokens(F.col("content")).alias("t")).toLocalIterator()
-    return [(int(r["query_id"]), list(r["t"] or [])) for r in rows]
+def _query_batches(queries: DataFrame, size: int):
+    """Query token sets streamed from the executors in batches of at most ``size`` queries."""
+    batch = []
+    for r in queries.select("query_id", tokens(F.col("content")).alias("t")).orderBy("query_id").toLocalIterator():
+        batch.append((int(r["query_id"]), list(r["t"] or [])))
+        if len(batch) >= size:
+            yield batch
+            batch = []
+    if batch:
+        yield batch
 
 
 def _score_partitions(qsets: list[tuple[int, list[str]]], k: int):
@@ -73,33 +79,39 @@ def _score_partitions(qsets: list[tuple[int, list[str]]], k: int):
 def lexical_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """Top-``k`` chunks per query by token Jaccard, ties by smaller ``chunk_id``.
 
-    Exact brute-force scoring without a join: the query token sets (bounded
-    per pass by ``MAX_QUERIES_PER_PASS``) travel with the task; each chunk
-    partition keeps only the chunk tokens that occur in some query, scores a
-    batch of chunks against all queries with one incidence-matrix product,
-    and emits its ``k`` best per query. A final window over at most
-    ``k x partitions`` rows per query keeps the global top ``k``.
+    Exact brute-force scoring without a join: a batch of query token sets (at
+    most ``MAX_QUERIES_PER_PASS``) travels with the task; each chunk partition
+    keeps only the chunk tokens that occur in some query, scores a batch of
+    chunks against all queries with one incidence-matrix product, and emits
+    its ``k`` best per query. A final window over at most ``k x partitions``
+    rows per query keeps the global top ``k``. With more queries than one
+    pass holds, every pass is materialised (checkpoint) before the next batch
+    is read, so the driver holds one batch at a time.
     Result: (query_id, rank, chunk_id, score).
     """
-    qsets = _query_sets(queries)
-    if not qsets:
-        return queries.sparkSession.createDataFrame([], "query_id long, rank int, chunk_id long, score double")
-    vocab = sorted({t for _, ts in qsets for t in ts})
     ct = chunks.select("chunk_id", tokens(F.col("text")).alias("t"))
-    # small vocabularies are filtered in the JVM (an InSet); large ones in the scorer, so the plan
-    # shipped with every task stays small
-    keep = F.filter("t", lambda x: x.isin(vocab) if vocab else F.lit(False)) \
-        if len(vocab) <= JVM_VOCAB_FILTER_MAX else F.col("t")
-    ct = ct.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.size("t").cast("double").alias("nc"),
-                   keep.alias("qt"))
-    out = None
-    for i in range(0, len(qsets), MAX_QUERIES_PER_PASS):
-        part = ct.mapInPandas(_score_partitions(qsets[i:i + MAX_QUERIES_PER_PASS], k),
-                              "query_id long, chunk_id long, score double")
-        out = part if out is None else out.unionByName(part)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    top = out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return top.select("query_id", "rank", "chunk_id", "score")
+    parts = []
+    for qsets in _query_batches(queries, MAX_QUERIES_PER_PASS):
+        vocab = sorted({t for _, ts in qsets for t in ts})
+        # small vocabularies are filtered in the JVM (an InSet); large ones in the scorer, so the
+        # plan shipped with every task stays small
+        keep = F.filter("t", lambda x: x.isin(vocab) if vocab else F.lit(False)) \
+            if len(vocab) <= JVM_VOCAB_FILTER_MAX else F.col("t")
+        src = ct.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.size("t").cast("double").alias("nc"),
+                        keep.alias("qt"))
+        part = src.mapInPandas(_score_partitions(qsets, k), "query_id long, chunk_id long, score double")
+        part = part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        if parts or len(qsets) >= MAX_QUERIES_PER_PASS:
+            checkpoint_dir(chunks.sparkSession)
+            part = part.checkpoint()
+        parts.append(part)
+    if not parts:
+        return queries.sparkSession.createDataFrame([], "query_id long, rank int, chunk_id long, score double")
+    out = parts[0]
+    for p_ in parts[1:]:
+        out = out.unionByName(p_)
+    return out.select("query_id", "rank", "chunk_id", "score")
 
 
 def newer_closure(seeds: DataFrame, chunks: DataFrame, max_rounds: int | None = None) -> DataFrame:

@@ -87,3 +87,23 @@ def test_tfidf_formula(spark):
     # max_df drops terms in more than 95% of documents
     w2 = {(r.doc_id, r.term) for r in TM.tfidf(docs.where("doc_id < 3"), max_df=0.95, stop_words=()).collect()}
     assert (1, "bb") not in w2
+
+
+def test_multi_pass_topk_and_containment(spark, monkeypatch):
+    """Several query passes / passage batches give the same results as one."""
+    rng = np.random.default_rng(2)
+    vocab = [f"w{i}" for i in range(20)]
+    chunks = [(i, " ".join(rng.choice(vocab, size=6))) for i in range(30)]
+    queries = [(100 + j, " ".join(rng.choice(vocab, size=3))) for j in range(7)]
+    cdf = spark.createDataFrame(chunks, "chunk_id long, text string")
+    qdf = spark.createDataFrame(queries, "query_id long, content string")
+    one = sorted(tuple(r) for r in RT.lexical_topk(qdf, cdf, 3).collect())
+    monkeypatch.setattr(RT, "MAX_QUERIES_PER_PASS", 2)
+    many = sorted(tuple(r) for r in RT.lexical_topk(qdf, cdf, 3).collect())
+    assert one == many
+    t = spark.createDataFrame([(1, "abc def"), (2, "xyz abc")], "doc_id long, text string")
+    p = spark.createDataFrame([(10, "abc"), (11, "xyz"), (12, "def")], "item_id long, text string")
+    want = {(r.id, r.pid) for r in C.passage_hits(t, "doc_id", "text", p, "item_id", "text").collect()}
+    monkeypatch.setattr(C, "MAX_PATTERNS_PER_BATCH", 1)
+    got = {(r.id, r.pid) for r in C.passage_hits(t, "doc_id", "text", p, "item_id", "text").collect()}
+    assert got == want == {(1, 10), (1, 12), (2, 10), (2, 11)}

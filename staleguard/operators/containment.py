@@ -80,7 +80,7 @@ def _scanner(patterns, id_col, text_col, lower):
 def passage_hits(texts: DataFrame, id_col: str, text_col: str, passages: DataFrame, pid_col: str,
                  ptext_col: str, lower: bool = False) -> DataFrame:
     """(id, pid) for every text that contains a passage (case-folded when ``lower``)."""
-    from staleguard.session import checkpoint_dir
+    from staleguard.session import checkpoint_dir, materialize
     src = texts.select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col))
     out = None
     for i, batch in enumerate(_batches(passages, pid_col, ptext_col)):
@@ -88,7 +88,7 @@ def passage_hits(texts: DataFrame, id_col: str, text_col: str, passages: DataFra
         if i > 0 or len(batch) >= MAX_PATTERNS_PER_BATCH:
             # several batches: materialise each before reading the next, so the driver holds one
             checkpoint_dir(texts.sparkSession)
-            part = part.checkpoint()
+            part = part.transform(materialize)
         out = part if out is None else out.unionByName(part)
     if out is None:
         return texts.sparkSession.createDataFrame([], "id bigint, pid bigint")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from staleguard.config import CONTEXT_DELIMITER, SCORING_DELIMITER
 from staleguard.functions import text as T
-from staleguard.session import checkpoint_dir
+from staleguard.session import checkpoint_dir, materialize
 
 
 def tokens(c):
@@ -104,7 +104,7 @@ def lexical_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
         part = part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         if parts or len(qsets) >= MAX_QUERIES_PER_PASS:
             checkpoint_dir(chunks.sparkSession)
-            part = part.checkpoint()
+            part = part.transform(materialize)
         parts.append(part)
     if not parts:
         return queries.sparkSession.createDataFrame([], "query_id long, rank int, chunk_id long, score double")
@@ -128,15 +128,15 @@ def newer_closure(seeds: DataFrame, chunks: DataFrame, max_rounds: int | None =
     checkpoint_dir(seeds.sparkSession)
     edges = chunks.select("chunk_id", F.explode("outdated_by").alias("nid"))
     known = chunks.select(F.col("chunk_id").alias("nid"))
-    edges = edges.join(known, "nid", "left_semi").checkpoint()
-    seen = seeds.select("query_id", "chunk_id", F.lit(0).alias("round")).distinct().checkpoint()
+    edges = edges.join(known, "nid", "left_semi").transform(materialize)
+    seen = seeds.select("query_id", "chunk_id", F.lit(0).alias("round")).distinct().transform(materialize)
     frontier = seen
     r = 0
     while max_rounds is None or r < max_rounds:
         r += 1
         nxt = frontier.join(edges, "chunk_id").select("query_id", F.col("nid").alias("chunk_id")).distinct() \
             .join(seen.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti") \
-            .select("query_id", "chunk_id", F.lit(r).alias("round")).checkpoint()
+            .select("query_id", "chunk_id", F.lit(r).alias("round")).transform(materialize)
         if nxt.isEmpty():
             break
         seen = seen.unionByName(nxt)  # a union of checkpointed rounds: shallow lineage
@@ -180,8 +180,8 @@ def retrieve_context(queries: DataFrame, chunks: DataFrame, k: int, with_dq: boo
     folder): the closure loop and the ordering read them several times.
     """
     checkpoint_dir(chunks.sparkSession)
-    chunks = chunks.checkpoint()
-    top = lexical_topk(queries, chunks, k).checkpoint()
+    chunks = chunks.transform(materialize)
+    top = lexical_topk(queries, chunks, k).transform(materialize)
     return contexts_from_top(top, chunks, with_dq)
 
 

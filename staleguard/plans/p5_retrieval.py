@@ -13,6 +13,7 @@ from staleguard.plans.p4_chunks import CHUNKS_SQL, FLAGS_SQL, flagged_chunks
 from staleguard.plans.registry import query, r6
 from staleguard.sources import prompts as PR
 from staleguard.sources import testdata as TD
+from staleguard.session import materialize
 
 K = 5
 MODES = (("with_dq", True), ("without_dq", False))
@@ -29,8 +30,8 @@ def contexts(spark, d, with_dq: bool):
 
 def contexts_both(spark, d) -> dict:
     """Both modes from one checkpointed chunk table and one top-k."""
-    ch = _chunks(spark, d).checkpoint()
-    top = RT.lexical_topk(TD.queries(spark, d), ch, K).checkpoint()
+    ch = _chunks(spark, d).transform(materialize)
+    top = RT.lexical_topk(TD.queries(spark, d), ch, K).transform(materialize)
     return {name: RT.contexts_from_top(top, ch, dq) for name, dq in MODES}
 
 
@@ -78,8 +79,8 @@ def _sql(body: str) -> str:
 @query("newer_closure", _sql("""
 SELECT query_id, chunk_id, round FROM cl"""))
 def newer_closure(spark, d):
-    ch = _chunks(spark, d).checkpoint()
-    top = RT.lexical_topk(TD.queries(spark, d), ch, K).checkpoint()
+    ch = _chunks(spark, d).transform(materialize)
+    top = RT.lexical_topk(TD.queries(spark, d), ch, K).transform(materialize)
     return RT.newer_closure(top.select("query_id", "chunk_id"), ch.select("chunk_id", "outdated_by")) \
         .select("query_id", "chunk_id", F.col("round").cast("bigint").alias("round"))
 

@@ -83,3 +83,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
+
+
+def materialize(df):
+    """Reliable checkpoint without computing the plan twice.
+
+    ``checkpoint()`` writes the files in a second job that recomputes the plan
+    unless the data is persisted, so the rows are persisted first (memory and
+    disk), checkpointed into the shared folder, then released. The result's
+    lineage starts at the checkpoint files and survives executor loss.
+    """
+    from pyspark import StorageLevel
+    checkpoint_dir(df.sparkSession)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint()
+    cached.unpersist()
+    return out

@@ -33,14 +33,22 @@ def _query_batches(queries: DataFrame, size: int):
 
 
 def _score_partitions(qsets: list[tuple[int, list[str]]], k: int):
+    """Per-partition exact top-k for a batch of queries.
+
+    Rows must arrive in ascending ``chunk_id`` (the caller sorts within
+    partitions), so among equal scores the earlier row wins. Each query keeps
+    its current k best and the k-th score as a threshold; a chunk batch only
+    touches the queries whose threshold one of its rows beats.
+    """
     import numpy as np
 
     qids = np.array([q for q, _ in qsets], dtype=np.int64)
+    nq_ = len(qsets)
     vocab: dict[str, int] = {}
     for _, ts in qsets:
         for t in ts:
             vocab.setdefault(t, len(vocab))
-    Qm = np.zeros((max(len(vocab), 1), len(qsets)), dtype=np.float32)
+    Qm = np.zeros((max(len(vocab), 1), nq_), dtype=np.float32)
     for j, (_, ts) in enumerate(qsets):
         for t in ts:
             Qm[vocab[t], j] = 1.0
@@ -48,8 +56,9 @@ def _score_partitions(qsets: list[tuple[int, list[str]]], k: int):
 
     def run(it):
         import pandas as pd
-        best_ids = [np.empty(0, dtype=np.int64) for _ in qsets]
-        best_sc = [np.empty(0) for _ in qsets]
+        best_sc = np.full((k, nq_), -np.inf)
+        best_id = np.full((k, nq_), -1, dtype=np.int64)
+        filled = np.zeros(nq_, dtype=np.int64)
         for pdf in it:
             for s0 in range(0, len(pdf), CHUNK_BATCH):
                 part = pdf.iloc[s0:s0 + CHUNK_BATCH]
@@ -64,13 +73,17 @@ def _score_partitions(qsets: list[tuple[int, list[str]]], k: int):
                 shared = (M @ Qm).astype(np.float64)  # chunks x queries
                 denom = nq[None, :] + nc[:, None] - shared
                 score = np.where(shared > 0, shared / np.where(denom > 0, denom, 1.0), 0.0)
-                for j in range(len(qsets)):
-                    cand_ids = np.concatenate([best_ids[j], ids])
-                    cand_sc = np.concatenate([best_sc[j], score[:, j]])
-                    order = np.lexsort((cand_ids, -cand_sc))[:k]
-                    best_ids[j], best_sc[j] = cand_ids[order], cand_sc[order]
-        rows = [pd.DataFrame({"query_id": qids[j], "chunk_id": best_ids[j], "score": best_sc[j]})
-                for j in range(len(qsets)) if len(best_ids[j])]
+                thr = np.where(filled >= k, best_sc[k - 1], -np.inf)
+                for j in np.nonzero((score > thr[None, :]).any(axis=0))[0]:
+                    rows = np.nonzero(score[:, j] > thr[j])[0]
+                    cs = np.concatenate([best_sc[:filled[j], j], score[rows, j]])
+                    ci = np.concatenate([best_id[:filled[j], j], ids[rows]])
+                    order = np.argsort(-cs, kind="stable")[:k]  # earlier (smaller id) first on ties
+                    m = len(order)
+                    best_sc[:m, j], best_id[:m, j] = cs[order], ci[order]
+                    filled[j] = m
+        rows = [pd.DataFrame({"query_id": qids[j], "chunk_id": best_id[:filled[j], j], "score": best_sc[:filled[j], j]})
+                for j in range(nq_) if filled[j]]
         if rows:
             yield pd.concat(rows, ignore_index=True)
     return run
@@ -100,7 +113,8 @@ def lexical_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
             if len(vocab) <= JVM_VOCAB_FILTER_MAX else F.col("t")
         src = ct.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.size("t").cast("double").alias("nc"),
                         keep.alias("qt"))
-        part = src.mapInPandas(_score_partitions(qsets, k), "query_id long, chunk_id long, score double")
+        part = src.sortWithinPartitions("chunk_id") \
+            .mapInPandas(_score_partitions(qsets, k), "query_id long, chunk_id long, score double")
         part = part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         if parts or len(qsets) >= MAX_QUERIES_PER_PASS:
             checkpoint_dir(chunks.sparkSession)

@@ -138,7 +138,9 @@ def flag_outdated(chunks: DataFrame, conflicts: DataFrame, docs: DataFrame, mode
                                           F.col("conflicting_passage_doc2").isNotNull()), docs)
     sides = oc.select("ord", T.normalize("p_old").alias("p_old"), T.normalize("p_new").alias("p_new"),
                       F.explode(F.array_distinct(F.array("old_id", "new_id"))).alias("doc_id"))
-    cn = chunks.select("doc_id", "chunk_id", T.normalize("text").alias("_nt"))
+    # only chunks of documents that take part in a conflict are normalised (semi join first)
+    involved = sides.select("doc_id").distinct()
+    cn = chunks.join(involved, "doc_id", "left_semi").select("doc_id", "chunk_id", T.normalize("text").alias("_nt"))
     j = sides.join(cn, "doc_id")
     is_old = F.contains(F.col("_nt"), F.col("p_old"))
     is_new = ~is_old & F.contains(F.col("_nt"), F.col("p_new"))

@@ -154,34 +154,101 @@ def _label_subsets(docs: DataFrame, cluster_col: str, id_col: str) -> DataFrame:
         "id", "subset", F.when(F.size("subset") % 2 == 1, F.lit(1)).otherwise(F.lit(-1)).alias("sign"))
 
 
+MAX_MASKS_PER_PASS = 4096
+
+
+def _related_by_masks(docs: DataFrame, cluster_col: str, id_col: str) -> DataFrame:
+    """Exact per-document related counts for any label-set size (fallback of C10 / D6).
+
+    Label sets become bitsets over the distinct labels (their count bounds the
+    mask width). Documents are grouped by distinct label set; batches of at
+    most ``MAX_MASKS_PER_PASS`` distinct sets (with their document counts)
+    travel with the tasks, and every document adds up the counts of the sets
+    it intersects, in numpy. Several batches are materialised one at a time,
+    so the driver holds one batch. No document pairs are produced.
+    """
+    import numpy as np
+    from staleguard.session import materialize
+
+    labels = [r[0] for r in docs.select(F.explode(F.array_distinct(cluster_col)).alias("l")).distinct()
+              .orderBy("l").toLocalIterator()]
+    index = {l: i for i, l in enumerate(labels)}
+    words = max(1, -(-len(labels) // 63))
+
+    def to_mask(ls):
+        m = np.zeros(words, dtype=np.int64)
+        for l in ls if ls is not None else ():
+            i = index[l]
+            m[i // 63] |= np.int64(1) << np.int64(i % 63)
+        return m
+
+    sets = docs.select(F.array_sort(F.array_distinct(cluster_col)).alias("s")).groupBy("s").count()
+    me = docs.select(F.col(id_col).alias("doc_id"), F.array_distinct(cluster_col).alias("s"))
+
+    def counter(batch):
+        M = np.stack([to_mask(ls) for ls, _ in batch])
+        cnt = np.array([c for _, c in batch], dtype=np.int64)
+
+        def run(it):
+            import pandas as pd
+            for pdf in it:
+                if len(pdf) == 0:
+                    continue
+                D = np.stack([to_mask(ls) for ls in pdf["s"]])
+                hit = ((D[:, None, :] & M[None, :, :]) != 0).any(axis=2)
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "n": hit.astype(np.int64) @ cnt})
+        return run
+
+    parts, batch = [], []
+    for r in sets.toLocalIterator():
+        batch.append((list(r["s"]), int(r["count"])))
+        if len(batch) >= MAX_MASKS_PER_PASS:
+            parts.append(me.mapInPandas(counter(batch), "doc_id long, n long").transform(materialize))
+            batch = []
+    if batch:
+        part = me.mapInPandas(counter(batch), "doc_id long, n long")
+        parts.append(part.transform(materialize) if parts else part)
+    out = parts[0]
+    for p_ in parts[1:]:
+        out = out.unionByName(p_)
+    return out.groupBy("doc_id").agg(F.sum("n").alias("n_related"))
+
+
+def _has_large_label_sets(docs: DataFrame, cluster_col: str) -> bool:
+    return docs.where(F.size(F.array_distinct(cluster_col)) > MAX_LABELS_PER_DOC).limit(1).count() > 0
+
+
 def shared_cluster_counts(docs: DataFrame, cluster_col: str, id_col: str = "doc_id") -> DataFrame:
     """Per document: how many documents share at least one label with it, itself included.
 
     No pair is materialised. With c(U) = number of documents whose label set
     contains U, inclusion-exclusion gives |union of the label member sets|
-    = sum over non-empty U of d's labels of (-1)^(|U|+1) c(U). Work is linear in
-    the documents times 2^labels, with labels per document bounded by
-    ``MAX_LABELS_PER_DOC``.
+    = sum over non-empty U of d's labels of (-1)^(|U|+1) c(U): linear in the
+    documents times 2^labels while every document has at most
+    ``MAX_LABELS_PER_DOC`` labels; beyond that the exact bitset count over
+    distinct label sets is used.
     """
-    too_many = docs.where(F.size(F.array_distinct(cluster_col)) > MAX_LABELS_PER_DOC).limit(1).count()
-    if too_many:
-        raise ValueError(f"a document holds more than {MAX_LABELS_PER_DOC} labels")
-    subs = _label_subsets(docs, cluster_col, id_col)
-    c = subs.groupBy("subset").agg(F.count("*").alias("c"))
-    per = subs.join(c, "subset").groupBy("id").agg(F.sum(F.col("sign") * F.col("c")).alias("n_related"))
-    return docs.select(F.col(id_col).alias("doc_id")).join(per.withColumnRenamed("id", "doc_id"), "doc_id", "left") \
+    if _has_large_label_sets(docs, cluster_col):
+        per = _related_by_masks(docs, cluster_col, id_col)
+    else:
+        subs = _label_subsets(docs, cluster_col, id_col)
+        c = subs.groupBy("subset").agg(F.count("*").alias("c"))
+        per = subs.join(c, "subset").groupBy("id").agg(F.sum(F.col("sign") * F.col("c")).alias("n_related")) \
+            .withColumnRenamed("id", "doc_id")
+    return docs.select(F.col(id_col).alias("doc_id")).join(per, "doc_id", "left") \
         .select("doc_id", F.coalesce("n_related", F.lit(0)).cast("bigint").alias("n_related"))
 
 
 def avg_related(docs: DataFrame, cluster_col: str, id_col: str = "doc_id") -> DataFrame:
     """Mean number of documents sharing a label with each document, self included.
 
-    Equals (1/N) * sum over label subsets U of (-1)^(|U|+1) c(U)^2, one
-    aggregation over the subsets, no pairs and no per-document join.
+    Equals (1/N) * sum over label subsets U of (-1)^(|U|+1) c(U)^2: one
+    aggregation over the subsets, no pairs and no per-document join. With
+    label sets above ``MAX_LABELS_PER_DOC`` the exact bitset counts are averaged.
     """
-    too_many = docs.where(F.size(F.array_distinct(cluster_col)) > MAX_LABELS_PER_DOC).limit(1).count()
-    if too_many:
-        raise ValueError(f"a document holds more than {MAX_LABELS_PER_DOC} labels")
+    if _has_large_label_sets(docs, cluster_col):
+        return shared_cluster_counts(docs, cluster_col, id_col).agg(
+            F.avg(F.col("n_related").cast("double")).alias("avg_related_docs"))
     subs = _label_subsets(docs, cluster_col, id_col)
     terms = subs.groupBy("subset").agg(F.count("*").alias("c"), F.first("sign").alias("sign")) \
         .select((F.col("sign") * F.col("c") * F.col("c")).cast("double").alias("t"), F.lit(0).alias("n"))

@@ -127,3 +127,19 @@ def test_sequential_offsets_sparse_keys(spark):
         want[k] = run
         run += (k % 3) + 1
     assert got == want
+
+
+def test_related_counts_large_label_sets(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    sets = [list(rng.choice(40, size=int(rng.integers(0, 4)), replace=False)) for _ in range(60)]
+    sets[0] = list(range(15))  # more labels than inclusion-exclusion handles
+    docs = spark.createDataFrame([(i, [int(x) for x in s]) for i, s in enumerate(sets)], "doc_id long, clusters array<int>")
+    want = {i: sum(1 for t in sets if set(s) & set(t)) for i, s in enumerate(sets)}
+    got = {r.doc_id: r.n_related for r in EV.shared_cluster_counts(docs, "clusters").collect()}
+    assert got == want
+    avg = EV.avg_related(docs, "clusters").collect()[0].avg_related_docs
+    assert abs(avg - sum(want.values()) / len(sets)) < 1e-12
+    # several mask batches give the same counts
+    monkeypatch.setattr(EV, "MAX_MASKS_PER_PASS", 7)
+    got2 = {r.doc_id: r.n_related for r in EV.shared_cluster_counts(docs, "clusters").collect()}
+    assert got2 == want

@@ -84,24 +84,11 @@ def sequential_offsets(df: DataFrame, order_col: str, count_col: str, block: int
 MAX_QUERY_VECTORS = 4096
 
 
-def topk_nearest(corpus: DataFrame, id_col: str, vec_col: str, queries: list[tuple[int, list[float]]],
-                 k: int) -> DataFrame:
-    """(query_id, rank, id, dist): the ``k`` nearest corpus vectors by cosine distance.
-
-    The query vectors (bounded by ``MAX_QUERY_VECTORS``) ship with the task;
-    each corpus partition scores its rows with one matrix product and emits at
-    most ``k`` candidates per query, and a final window keeps the global top
-    ``k`` (ties by id). The corpus is never shuffled whole nor joined pairwise.
-    """
-    if len(queries) > MAX_QUERY_VECTORS:
-        out = None
-        for i in range(0, len(queries), MAX_QUERY_VECTORS):
-            part = topk_nearest(corpus, id_col, vec_col, queries[i:i + MAX_QUERY_VECTORS], k)
-            out = part if out is None else out.unionByName(part)
-        return out
+def _nearest_scorer(queries: list[tuple[int, list[float]]], k: int, id_col: str, vec_col: str):
     qids = np.array([q[0] for q in queries], dtype=np.int64)
     Q = np.array([q[1] for q in queries], dtype=np.float64)
-    Qn = Q / np.where(np.linalg.norm(Q, axis=1, keepdims=True) > 0, np.linalg.norm(Q, axis=1, keepdims=True), 1.0)
+    nq = np.linalg.norm(Q, axis=1, keepdims=True)
+    Qn = Q / np.where(nq > 0, nq, 1.0)
 
     def score(it):
         import pandas as pd
@@ -113,14 +100,46 @@ def topk_nearest(corpus: DataFrame, id_col: str, vec_col: str, queries: list[tup
             nx = np.linalg.norm(X, axis=1, keepdims=True)
             Xn = X / np.where(nx > 0, nx, 1.0)
             D = np.clip(1.0 - Xn @ Qn.T, 0.0, 2.0)  # rows x queries
-            rows = []
             kk = min(k, len(ids))
+            rows = []
             for j in range(len(qids)):
                 order = np.lexsort((ids, D[:, j]))[:kk]
                 rows.append(pd.DataFrame({"query_id": qids[j], "id": ids[order], "dist": D[order, j]}))
             yield pd.concat(rows, ignore_index=True)
+    return score
 
-    cand = corpus.select(F.col(id_col).cast("bigint").alias(id_col), F.col(vec_col).cast("array<double>")) \
-        .mapInPandas(score, "query_id bigint, id bigint, dist double")
+
+def topk_nearest(corpus: DataFrame, id_col: str, vec_col: str, queries: DataFrame, k: int,
+                 qid_col: str = "query_id", qvec_col: str = "vec") -> DataFrame:
+    """(query_id, rank, id, dist): the ``k`` nearest corpus vectors by cosine distance (F1).
+
+    Query vectors are streamed from the executors in passes of at most
+    ``MAX_QUERY_VECTORS``; a pass travels with the task, each corpus partition
+    scores its rows with one matrix product and emits at most ``k``
+    candidates per query, and a window keeps the global top ``k`` (ties by id).
+    Several passes are materialised one at a time, so the driver holds one
+    pass. The corpus is never shuffled whole nor joined pairwise.
+    """
+    from staleguard.session import materialize
+    src = corpus.select(F.col(id_col).cast("bigint").alias(id_col), F.col(vec_col).cast("array<double>"))
     w = Window.partitionBy("query_id").orderBy("dist", "id")
-    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    parts, batch = [], []
+
+    def flush(b, last):
+        part = src.mapInPandas(_nearest_scorer(b, k, id_col, vec_col), "query_id bigint, id bigint, dist double")
+        part = part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        return part if (last and not parts) else part.transform(materialize)
+
+    for r in queries.select(F.col(qid_col).cast("bigint").alias("q"), F.col(qvec_col)).orderBy("q").toLocalIterator():
+        batch.append((int(r["q"]), list(r[qvec_col])))
+        if len(batch) >= MAX_QUERY_VECTORS:
+            parts.append(flush(batch, False))
+            batch = []
+    if batch:
+        parts.append(flush(batch, True))
+    if not parts:
+        return corpus.sparkSession.createDataFrame([], "query_id bigint, id bigint, dist double, rank int")
+    out = parts[0]
+    for p_ in parts[1:]:
+        out = out.unionByName(p_)
+    return out

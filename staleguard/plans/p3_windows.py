@@ -74,11 +74,7 @@ def topk_chunks(spark, d):
            .agg(F.avg("x").alias("x")).groupBy("label")
            .agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("c"))
            .select("label", F.transform("c", lambda s: s["x"]).alias("c")))
-    n_q = cen.count()
-    if n_q > W.MAX_QUERY_VECTORS * 64:
-        raise ValueError("too many query vectors")
-    qs = [(int(r["label"]), list(r["c"])) for r in cen.toLocalIterator()]
-    t = W.topk_nearest(v, "vec_id", "embedding", qs, 5)
+    t = W.topk_nearest(v, "vec_id", "embedding", cen, 5, qid_col="label", qvec_col="c")
     return t.select("query_id", F.col("rank").cast("bigint").alias("rank"), F.col("id").alias("vec_id"),
                     r6("dist").alias("dist"))
 

@@ -66,7 +66,8 @@ def test_topk_nearest_matches_brute_force(spark):
     Q = rng.normal(size=(3, 8))
     df = spark.createDataFrame([(i, [float(x) for x in X[i]]) for i in range(len(X))], "id long, e array<double>")
     got = {}
-    for r in W.topk_nearest(df.repartition(4), "id", "e", [(j, list(Q[j])) for j in range(3)], 5).collect():
+    qdf = spark.createDataFrame([(j, [float(x) for x in Q[j]]) for j in range(3)], "query_id long, vec array<double>")
+    for r in W.topk_nearest(df.repartition(4), "id", "e", qdf, 5).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.id))
     Xn = X / np.linalg.norm(X, axis=1, keepdims=True)
     for j in range(3):
@@ -107,3 +108,15 @@ def test_multi_pass_topk_and_containment(spark, monkeypatch):
     monkeypatch.setattr(C, "MAX_PATTERNS_PER_BATCH", 1)
     got = {(r.id, r.pid) for r in C.passage_hits(t, "doc_id", "text", p, "item_id", "text").collect()}
     assert got == want == {(1, 10), (1, 12), (2, 10), (2, 11)}
+
+
+def test_topk_nearest_multi_pass(spark, monkeypatch):
+    from staleguard.operators import windows as W
+    rng = np.random.default_rng(8)
+    X = rng.normal(size=(50, 4))
+    df = spark.createDataFrame([(i, [float(x) for x in X[i]]) for i in range(50)], "id long, e array<double>")
+    q = spark.createDataFrame([(j, [float(x) for x in rng.normal(size=4)]) for j in range(5)], "query_id long, vec array<double>")
+    one = sorted((r.query_id, r["rank"], r.id) for r in W.topk_nearest(df, "id", "e", q, 3).collect())
+    monkeypatch.setattr(W, "MAX_QUERY_VECTORS", 2)
+    many = sorted((r.query_id, r["rank"], r.id) for r in W.topk_nearest(df, "id", "e", q, 3).collect())
+    assert one == many and len(one) == 15

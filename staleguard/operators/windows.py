@@ -47,6 +47,9 @@ def top_topics(df: DataFrame, id_col: str, vec_col: str, orig_col: str, multi_k:
     return df.select(F.col(id_col), top.alias("topics"))
 
 
+MAX_BLOCKS = 100_000
+
+
 def sequential_offsets(df: DataFrame, order_col: str, count_col: str, block: int = 4096) -> DataFrame:
     """Add ``offset`` = sum of ``count_col`` over all rows with a smaller ``order_col``.
 
@@ -60,9 +63,13 @@ def sequential_offsets(df: DataFrame, order_col: str, count_col: str, block: int
     """
     st = df.agg(F.count("*").alias("n"), F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).collect()[0]
     n = int(st["n"] or 0)
-    dense = n == 0 or (float(st["hi"]) - float(st["lo"]) + 1.0) <= 4.0 * n
+    span = (float(st["hi"]) - float(st["lo"]) + 1.0) if n else 0.0
+    dense = n == 0 or span <= 4.0 * n
+    # at most MAX_BLOCKS blocks: the block-offset window and the quantile list stay bounded
+    block = max(block, -(-n // MAX_BLOCKS))
     if dense:
-        x = df.withColumn("_b", F.floor(F.col(order_col) / F.lit(block)))
+        width = max(block, int(-(-span // MAX_BLOCKS)))
+        x = df.withColumn("_b", F.floor(F.col(order_col) / F.lit(width)))
     else:
         from pyspark.ml.feature import Bucketizer
         nb = max(1, n // block)

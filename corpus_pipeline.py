@@ -1,4 +1,7 @@
-"""Corpus preparation as a chain of stages over ``documents``; see the functions for what each one decides."""
+"""Corpus preparation as a chain of stages over ``documents``; see the functions for what each one decides.
+
+All stages but the last return the columns of ``documents``. Models are fitted on the stage's own input.
+"""
 
 from __future__ import annotations
 
@@ -6,9 +9,31 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from staleguard.llm import packing
-from staleguard.llm.queries import BYTE_BPE, END_ID
+from staleguard.llm import neardup, packing, pii, quality, toxicity
+from staleguard.llm.queries import BYTE_BPE, END_ID, toxicity_model
+from staleguard.llm.shared import written
 from staleguard.session import checkpoint_dir
+from staleguard.sources.tables import load
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail a base rule or that the model finds of low quality go."""
+    return quality.keep_good(docs, quality.fit_quality(docs, load(spark, sf_dir, "labels", "doc_id", "quality")))
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are predicted toxic go."""
+    return toxicity.keep_ordinary(docs, toxicity_model(spark, docs, sf_dir))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of texts that share four fifths of their five-word shingles the document with the least id stays."""
+    return neardup.keep_one(docs, "doc_id", "text", k=5, num=4, den=5)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the text is replaced by its kind; n_chars follows."""
+    return pii.mask_personal_data(docs, pii.fit_field(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,6 +42,10 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [
+    ("quality rules", quality_rules),
+    ("toxicity", toxicity_filter),
+    ("near-duplicates", near_dedup),
+    ("personal data", personal_data),
     ("best-fit packing", pack_sequences),
 ]
 
@@ -26,11 +55,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written in the shared folder and read again by the next."""
+    checkpoint_dir(spark)
     docs = spark.read.parquet(os.path.join(sf_dir, "documents.parquet"))
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            path = os.path.join(checkpoint_dir(spark), f"pipeline-{spark.sparkContext.applicationId}-{os.urandom(6).hex()}")
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            docs = written(docs, "stage")
     return docs

@@ -135,8 +135,7 @@ def shingle_sets(col: pa.Array, k: int, fold_ascii: bool = True):
         for r in range(b - a):
             got = windows[wfirst[r]:wfirst[r + 1]]
             if len(got) == 0 and first[r + 1] > first[r]:
-                short = np.uint64(first[r + 1] - first[r])
-                for h in words[first[r]:first[r + 1]]:
-                    short = mix(np.array([short * np.uint64(_BASE) + h], np.uint64))[0]
-                got = np.array([short], np.uint64)
+                got = np.array([first[r + 1] - first[r]], np.uint64)
+                for i in range(first[r], first[r + 1]):
+                    got = mix(got * np.uint64(_BASE) + words[i:i + 1])
             yield a + r, np.unique(got)

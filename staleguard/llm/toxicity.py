@@ -28,8 +28,8 @@ from staleguard.llm.arrowtext import byte_pieces, texts_of
 from staleguard.llm.linear import fit_logistic, labelled_sample, sigmoid
 
 PER_CLASS = 1500
-WINDOW, STEP = 64, 48
-ORDINARY_BYTES = 8192
+WINDOW, STEP = 64, 32
+ORDINARY_BYTES = 32768
 STEM, LONGEST, RUN, TIMES = 4, 16, 4, 8
 
 _word = re.compile(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
@@ -98,7 +98,7 @@ def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, byte
 @functools.lru_cache(maxsize=8)
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     how = zstandard.ZstdCompressionParameters(
-        window_log=15, chain_log=14, hash_log=14, search_log=4, min_match=5, target_length=32,
+        window_log=18, chain_log=17, hash_log=17, search_log=4, min_match=5, target_length=32,
         strategy=zstandard.STRATEGY_GREEDY, write_checksum=0, write_content_size=0, write_dict_id=0)
     own = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     own.precompute_compress(compression_params=how)

@@ -102,8 +102,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
               .orderBy(F.desc("count"), "__label").limit(max_classes).collect()}
     if not counts:
         return [], {}
-    order = Window.partitionBy("__label").orderBy(F.md5(F.col("__id").cast("string")), "__id")
-    picked = marked.filter(F.col("__label").isin(list(counts))).withColumn("__n", F.row_number().over(order)) \
+    key = F.md5(F.col("__id").cast("string"))
+    # the least hashes of a label surely lie below twice their expected share, so few rows are dealt out and ranked
+    share = F.create_map(*(F.lit(v) for c, n in counts.items() for v in (c, 2 * per_class / n)))[F.col("__label")]
+    order = Window.partitionBy("__label").orderBy(key, "__id")
+    picked = marked.filter(F.col("__label").isin(list(counts)) & (F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / (1 << 32) < share + 1e-4)) \
+        .withColumn("__n", F.row_number().over(order)) \
         .filter(F.col("__n") <= per_class).groupBy("__id").agg(F.max("__label").alias("__label"))
     texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     got = texts.join(F.broadcast(picked), "__id").select("__id", "__text", "__label").collect()

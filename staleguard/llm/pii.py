@@ -16,6 +16,8 @@ other words are O by definition (the field is sparse, not cut off: every word wi
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 from dataclasses import dataclass
 
@@ -30,6 +32,7 @@ KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 4000
 ADD_AT = 0.95
 BITS = 13
+FEATURES = 8  # of each word
 ROUNDS = 8
 HELD = 12.0  # log odds that hold a base span's words at their label
 
@@ -165,12 +168,11 @@ def nodes_of(col: pa.Array):
                     skip.append((before, n))
                 latest[r, key] = n
         for r in np.unique(row):
-            nodes = np.flatnonzero(row == r) if len(live) < 64 else np.arange(*np.searchsorted(row, [r, r + 1]))
-            for s, kind, e in reversed(spans[r]):
-                inside = nodes[(begin[nodes] < e) & (stop[nodes] > s)]
-                base[inside] = kind + 1
+            lo, hi = np.searchsorted(row, [r, r + 1])
+            for s, kind, e in reversed(spans[r]):  # words are in order and apart, so those inside a span are a range
+                base[lo + np.searchsorted(stop[lo:hi], s, "right"):lo + np.searchsorted(begin[lo:hi], e)] = kind + 1
         pairs = lambda x: np.array(x, np.int64).reshape(-1, 2)
-        yield a, b - a, spans, Nodes(row, begin, stop, base, np.array(feats, np.int64).reshape(len(live), -1), pairs(chain), pairs(skip))
+        yield a, b - a, spans, Nodes(row, begin, stop, base, np.array(feats, np.int64).reshape(-1, FEATURES), pairs(chain), pairs(skip))
 
 
 # --- the field -------------------------------------------------------------------------------------------------
@@ -236,7 +238,7 @@ def fit_field(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     even = np.ones((k, k)) + 4 * np.eye(k)
     if not at:
         return Field(weights, np.log(even / even.mean()).clip(-3, 3), np.log(even / even.mean()).clip(-3, 3))
-    x, y = np.concatenate([f.reshape(-1, 8) for f in feats]), np.concatenate(labels)
+    x, y = np.concatenate(feats), np.concatenate(labels)
     goal, pace = np.eye(k)[y], np.full_like(weights, 1e-6)
     for _ in range(steps):
         off = np.exp((z := weights[x].sum(axis=1)) - _logsum(z, axis=1)[:, None]) - goal
@@ -264,17 +266,22 @@ def spans_of(col: pa.Array, field: Field) -> list[tuple[list, list]]:
                 else:
                     added[r].append((start, kind, end))
         for r in range(n):
-            fresh = [t for t in (_trimmed(s, col, a + r) for s in added[r]) if t and not any(t[0] < e and s < t[2] for s, _, e in spans[r])]
+            fresh = []
+            if added[r]:
+                text, starts = col[a + r].as_py(), [s for s, _, _ in spans[r]]
+                reach = [0, *itertools.accumulate((e for _, _, e in spans[r]), max)]
+                fresh = [t for s in added[r] if (t := _trimmed(s, text)) and reach[bisect.bisect_left(starts, t[2])] <= t[0]]
             out[a + r] = (spans[r], sorted(spans[r] + fresh))
     return out
 
 
-def _trimmed(span: tuple, col: pa.Array, i: int) -> tuple | None:
+def _trimmed(span: tuple, text: str) -> tuple | None:
+    """The span without punctuation around it."""
     start, kind, end = span
-    text = col[i].as_py()[start:end]
-    left = len(text) - len(text.lstrip(_PUNCTUATION.replace("(", "")))
-    right = len(text) - len(text.rstrip(_PUNCTUATION))
-    return (start + left, kind, end - right) if left + right < len(text) else None
+    own = text[start:end]
+    left = len(own) - len(own.lstrip(_PUNCTUATION.replace("(", "")))
+    right = len(own) - len(own.rstrip(_PUNCTUATION))
+    return (start + left, kind, end - right) if left + right < len(own) else None
 
 
 def told(spans: list[tuple]) -> str:

@@ -110,9 +110,12 @@ def word_tokens(c) -> Column:
     return F.filter(F.split(_c(c), "[ \t\n\r]+"), lambda x: x != "")
 
 
+WORD_CHAR = r"[\p{L}\p{N}_]"  # the same class in Java and RE2 patterns
+
+
 def term_tokens(c) -> Column:
-    """Lower-cased terms of two or more word characters."""
-    return F.regexp_extract_all(F.lower(_c(c)), F.lit(r"(\w\w+)"), 1)
+    """Lower-cased terms of two or more letters, digits or underscores of any script."""
+    return F.regexp_extract_all(F.lower(_c(c)), F.lit(rf"({WORD_CHAR}{WORD_CHAR}+)"), 1)
 
 
 def first_entity(patient, court, company) -> Column:

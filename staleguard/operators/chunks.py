@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import re
+import itertools
+import math
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -39,62 +40,62 @@ def with_chunk_ids(chunks: DataFrame) -> DataFrame:
 
 # --- recursive character splitter (per-row helper, Arrow batches) -----------
 
+def _parts(text: str, start: int, stop: int, separator: str, step: int) -> list[tuple[int, int]]:
+    """Non-empty ranges of ``text`` between separators; runs of ``step`` characters for the empty separator."""
+    if not separator:
+        return [(a, min(a + step, stop)) for a in range(start, stop, step)]
+    out = []
+    while start <= stop:
+        at = text.find(separator, start, stop)
+        end = stop if at < 0 else at
+        if end > start:
+            out.append((start, end))
+        start = end + len(separator)
+    return out
+
+
+def _windows(parts: list[tuple[int, int]], size: int, overlap: int) -> list[tuple[int, int]]:
+    """Ranges of as many neighbouring parts as ``size`` holds; the next one steps back over what lies within ``overlap``."""
+    out, first = [], 0
+    while first < len(parts):
+        last = first
+        while last + 1 < len(parts) and parts[last + 1][1] - parts[first][0] <= size:
+            last += 1
+        out.append((parts[first][0], parts[last][1]))
+        after = last + 1
+        if after == len(parts):
+            break
+        back = after
+        while back - 1 > first and parts[back - 1][0] >= parts[last][1] - overlap and parts[after][1] - parts[back - 1][0] <= size:
+            back -= 1
+        first = back
+    return out
+
+
 def split_recursive(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
                     separators: list[str] = SPLIT_SEPARATORS) -> list[str]:
-    """Split on the first separator present, merge pieces up to ``size`` with ``overlap``,
-    recurse into pieces that are still too long; separators dropped, chunks stripped."""
-
-    def join(parts, sep):
-        s = sep.join(parts).strip()
-        return s or None
-
-    def merge(splits, sep):
-        out, cur, total = [], [], 0
-        sl = len(sep)
-        for piece in splits:
-            ln = len(piece)
-            if total + ln + (sl if cur else 0) > size:
-                if cur:
-                    doc = join(cur, sep)
-                    if doc is not None:
-                        out.append(doc)
-                    while total > overlap or (total + ln + (sl if cur else 0) > size and total > 0):
-                        total -= len(cur[0]) + (sl if len(cur) > 1 else 0)
-                        cur = cur[1:]
-            cur.append(piece)
-            total += ln + (sl if len(cur) > 1 else 0)
-        doc = join(cur, sep)
-        if doc is not None:
-            out.append(doc)
-        return out
-
-    def split(t, seps):
-        sep, rest = seps[-1], []
-        for i, s in enumerate(seps):
-            if s == "":
-                sep = s
-                break
-            if s in t:
-                sep, rest = s, seps[i + 1:]
-                break
-        pieces = [p for p in (re.split(re.escape(sep), t) if sep else list(t)) if p != ""]
-        final, good = [], []
-        for p in pieces:
-            if len(p) < size:
-                good.append(p)
-            else:
-                if good:
-                    final.extend(merge(good, sep))
-                    good = []
-                if not rest:
-                    final.append(p)
-                else:
-                    final.extend(split(p, rest))
-        if good:
-            final.extend(merge(good, sep))
-        return final
-
-    return split(text, list(separators)) if text else []
+    """Chunks of at most ``size`` characters, cut at the coarsest separator that is present.
+
+    A range is cut at the first separator it contains. Neighbouring parts that fit are put together again up to
+    ``size``, stepping back by at most ``overlap``; a part that is too long is cut by the finer separators on its own.
+    Chunks are slices of the text without white space at their ends, in text order; empty ones are dropped.
+    """
+    step = math.gcd(size, overlap) if overlap else size
+    out, todo = [], [(0, len(text or ""), 0)]
+    while todo:
+        start, stop, level = todo.pop()
+        if level < 0:  # a finished window
+            out.append(text[start:stop].strip())
+            continue
+        level = next((k for k in range(level, len(separators)) if separators[k] in text[start:stop]), len(separators) - 1)
+        found = []
+        parts = _parts(text, start, stop, separators[level], step)
+        for fits, run in itertools.groupby(parts, key=lambda p: p[1] - p[0] <= size):
+            run = list(run)
+            last = level + 1 == len(separators)
+            found += [(a, b, -1) for a, b in _windows(run, size, overlap)] if fits or last else [(a, b, level + 1) for a, b in run]
+        todo += reversed(found)
+    return [c for c in out if c]
 
 
 @F.pandas_udf(TT.ArrayType(TT.StringType()))

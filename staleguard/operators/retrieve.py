@@ -11,8 +11,8 @@ from staleguard.session import checkpoint_dir, materialize
 
 
 def tokens(c):
-    """Distinct lower-case word tokens."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"(\w+)"), 1))
+    """Distinct lower-case word tokens of any script."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(f"({T.WORD_CHAR}+)"), 1))
 
 
 MAX_QUERIES_PER_PASS = 4096

@@ -28,10 +28,12 @@ def round_robin_quota(n: int, domains: list[str] = SAMPLING_DOMAINS) -> dict[str
 
 
 def stratified_sample(candidates: DataFrame, id_col: str, domain_col: str, n: int, seed: int,
-                      domains: list[str] = SAMPLING_DOMAINS, exclude: DataFrame | None = None) -> DataFrame:
+                      domains: list[str] = SAMPLING_DOMAINS, exclude: DataFrame | None = None,
+                      strict: bool = True) -> DataFrame:
     """Round-robin stratified sample of ``n`` ids over ``domains``.
 
-    Raises when a domain has fewer candidates than its quota.
+    With ``strict`` it raises when a domain has fewer candidates than its quota (the sample is counted); without it
+    such a domain gives what it has.
     """
     quota = round_robin_quota(n, domains)
     c = candidates.where(F.col(domain_col).isin(list(quota)))
@@ -43,10 +45,14 @@ def stratified_sample(candidates: DataFrame, id_col: str, domain_col: str, n: in
     qcol = None
     for dmn, q in quota.items():
         qcol = F.when(F.col(domain_col) == dmn, F.lit(q)) if qcol is None else qcol.when(F.col(domain_col) == dmn, F.lit(q))
-    return ranked.where(F.col("rank") <= qcol)
+    sample = ranked.where(F.col("rank") <= qcol)
+    if strict:
+        check_quota(sample, domain_col, n, domains)
+    return sample
 
 
 def check_quota(sample: DataFrame, domain_col: str, n: int, domains: list[str] = SAMPLING_DOMAINS) -> None:
+    """raises when a domain has fewer rows than its quota."""
     quota = round_robin_quota(n, domains)
     got = {r[0]: r[1] for r in sample.groupBy(domain_col).count().collect()}  # at most len(domains) rows
     for dmn, q in quota.items():

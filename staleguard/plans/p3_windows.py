@@ -94,7 +94,7 @@ def _quota_sql(n: int) -> str:
 SELECT doc_id, domain, rank FROM rk WHERE rank <= {_quota_sql(30)}""")
 def stratified_sample(spark, d):
     docs = TD.documents(spark, d).where(F.col("kind") == "original")
-    s = SM.stratified_sample(docs, "doc_id", "domain", 30, SEED, LANG_DOMAINS)
+    s = SM.stratified_sample(docs, "doc_id", "domain", 30, SEED, LANG_DOMAINS, strict=False)
     return s.select("doc_id", "domain", F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -138,9 +138,9 @@ def select_for_alteration(spark, d):
     """K8: 30 single-textual ids (stratified), 15 tabular ids drawn from them, 12 multi-textual ids
     (stratified, disjoint from the textual ones) -> one flag row per selected id."""
     docs = TD.documents(spark, d).where(F.col("kind") == "original")
-    st = SM.stratified_sample(docs, "doc_id", "domain", 30, SEED, LANG_DOMAINS).select("doc_id")
+    st = SM.stratified_sample(docs, "doc_id", "domain", 30, SEED, LANG_DOMAINS, strict=False).select("doc_id")
     tb = SM.seeded_sample(st, "doc_id", 15, SEED + 1)
-    mt = SM.stratified_sample(docs, "doc_id", "domain", 12, SEED + 2, LANG_DOMAINS, exclude=st).select("doc_id")
+    mt = SM.stratified_sample(docs, "doc_id", "domain", 12, SEED + 2, LANG_DOMAINS, exclude=st, strict=False).select("doc_id")
     ids = st.unionByName(mt).distinct()
     out = ids.join(st.withColumn("single_textual_manipulation", F.lit(True)), "doc_id", "left") \
         .join(tb.withColumn("single_tabular_manipulation", F.lit(True)), "doc_id", "left") \

@@ -46,8 +46,8 @@ def _both(spark, d, fn):
 _BASE = CHUNKS_SQL + FLAGS_SQL + f"""
 , chd AS (SELECT ch.chunk_id, ch.doc_id, ch.text, coalesce(f.outdated_by, []) AS outdated_by, d.creation_date
           FROM ch LEFT JOIN flags f USING (chunk_id) JOIN docs d ON d.doc_id = ch.doc_id)
-, qt AS (SELECT query_id, list_distinct(regexp_extract_all(lower(content), '(\\w+)', 1)) AS t FROM queries)
-, ctk AS (SELECT chunk_id, list_distinct(regexp_extract_all(lower(text), '(\\w+)', 1)) AS t FROM chd)
+, qt AS (SELECT query_id, list_distinct(regexp_extract_all(lower(content), '([\\p{{L}}\\p{{N}}_]+)', 1)) AS t FROM queries)
+, ctk AS (SELECT chunk_id, list_distinct(regexp_extract_all(lower(text), '([\\p{{L}}\\p{{N}}_]+)', 1)) AS t FROM chd)
 , sc AS (SELECT qt.query_id, ctk.chunk_id, len(list_intersect(qt.t, ctk.t)) AS s, len(qt.t) AS nq, len(ctk.t) AS nc
          FROM qt, ctk)
 , scored AS (SELECT query_id, chunk_id, CASE WHEN s = 0 THEN 0.0 ELSE s / (nq + nc - s) END AS score FROM sc)

@@ -74,10 +74,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
     Uses ``spark.checkpoint.dir`` when the cluster names one. Only when it is
-    unset (local tests) a fresh scratch folder is created and registered.
+    unset and everything runs in one process (tests) a fresh scratch folder is created and registered.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
+    if not d and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="staleguard-ckpt-", dir=os.environ.get("STALEGUARD_SCRATCH", "/tmp"))
     if sc.getCheckpointDir() is None:

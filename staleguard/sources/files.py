@@ -53,14 +53,19 @@ def write_once(df: DataFrame, path: str, fail_if_exists: bool = True) -> None:
     df.write.mode("errorifexists" if fail_if_exists else "ignore").parquet(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path exists in its own file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def append_new(df: DataFrame, path: str, keys: list[str]) -> DataFrame:
-    """A7 + C6: append rows whose keys are not in the stored table; returns the appended rows."""
+    """A7 + C6: append rows whose keys are not in the stored table; returns the appended rows.
+
+    A stored table without one of the key columns is an error, not an empty table.
+    """
     spark = df.sparkSession
-    try:
-        existing = spark.read.parquet(path).select(*keys)
-        new = df.join(existing, keys, "left_anti")
-    except Exception:  # noqa: BLE001 - the table does not exist yet
-        new = df
+    new = df.join(spark.read.parquet(path).select(*keys), keys, "left_anti") if path_exists(spark, path) else df
     new.write.mode("append").parquet(path)
     return new
 

@@ -14,16 +14,15 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from staleguard.session import checkpoint_dir
+from staleguard.sources.files import path_exists
 
 
 def _append_unseen(sink: str, keys: list[str]):
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        try:
-            seen = spark.read.parquet(sink).select(*keys)
-            new = batch.dropDuplicates(keys).join(seen, keys, "left_anti")
-        except Exception:  # noqa: BLE001 - the sink does not exist yet
-            new = batch.dropDuplicates(keys)
+        new = batch.dropDuplicates(keys)
+        if path_exists(spark, sink):
+            new = new.join(spark.read.parquet(sink).select(*keys), keys, "left_anti")
         new.write.mode("append").parquet(sink)
     return run
 

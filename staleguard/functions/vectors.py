@@ -51,11 +51,11 @@ def l1_normalize(v) -> Column:
 
 
 def cosine_distance(a, b, norm_a=None, norm_b=None) -> Column:
-    """1 - a.b / (|a||b|), clipped to [0, 2]. Pass precomputed norms to avoid recomputation."""
+    """1 - a.b / (|a||b|), clipped to [0, 2], null without both vectors. Pass precomputed norms to avoid recomputation."""
     na = l2_norm(a) if norm_a is None else _c(norm_a)
     nb = l2_norm(b) if norm_b is None else _c(norm_b)
     d = F.lit(1.0) - dot(a, b) / (na * nb)
-    return F.least(F.greatest(d, F.lit(0.0)), F.lit(2.0))
+    return F.when(d.isNotNull(), F.least(F.greatest(d, F.lit(0.0)), F.lit(2.0)))  # greatest() skips nulls
 
 
 def squared_euclidean(a, b) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from staleguard.functions import arrays as A
+from staleguard.operators import pairs as P
 
 
 def _not_tabular(id_col) -> "F.Column":
@@ -24,28 +25,30 @@ def lineage_links(docs: DataFrame, id_col: str = "doc_id", orig_col: str = "orig
     return docs.select(F.col(id_col).alias("doc_id"), F.explode(orig_col).alias("orig"))
 
 
-def link_pair_hits(links: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Left-join lineage links to unordered related pairs (id1 < id2) -> (doc_id, orig, hit)."""
-    lk = links.select("doc_id", "orig", F.least("doc_id", "orig").alias("id1"),
-                      F.greatest("doc_id", "orig").alias("id2"))
-    p = pairs.select("id1", "id2", F.lit(True).alias("_hit"))
-    return lk.join(p, ["id1", "id2"], "left").select(
-        "doc_id", "orig", F.coalesce("_hit", F.lit(False)).alias("hit"))
+def _links_with_pairs(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id1, id2, nl, nlt, found, nd): lineage links of a pair (all, not tabular), and whether the pair is related.
+
+    Links and pairs meet in one aggregation, so the pair table, the costly input, is read once. The key (null, null)
+    holds the number of documents.
+    """
+    null, zero = F.lit(None).cast("bigint"), F.lit(0).cast("bigint")
+    links = lineage_links(docs).select(F.least("doc_id", "orig").alias("id1"), F.greatest("doc_id", "orig").alias("id2"),
+                                       F.lit(1).cast("bigint").alias("l"), _not_tabular("doc_id").cast("bigint").alias("lt"),
+                                       F.lit(None).cast("int").alias("g"), zero.alias("d"))
+    found = pairs.select("id1", "id2", zero.alias("l"), zero.alias("lt"), F.lit(1).alias("g"), zero.alias("d"))
+    size = docs.select(null.alias("id1"), null.alias("id2"), zero.alias("l"), zero.alias("lt"), F.lit(None).cast("int").alias("g"),
+                       F.lit(1).cast("bigint").alias("d"))
+    return links.unionByName(found).unionByName(size).groupBy("id1", "id2").agg(
+        F.sum("l").alias("nl"), F.sum("lt").alias("nlt"), F.min("g").alias("found"), F.sum("d").alias("nd"))
 
 
 def distance_recall(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """recall, recall_without_tabular (per lineage link) and avg_comparisons (mean related docs)."""
-    hits = link_pair_hits(lineage_links(docs), pairs)
-    h = hits.select(F.col("hit").cast("double").alias("hit"), _not_tabular("doc_id").alias("nt"),
-                    F.lit(0).alias("np"), F.lit(0).alias("nd"))
-    pc = pairs.select(F.lit(None).cast("double").alias("hit"), F.lit(None).cast("boolean").alias("nt"),
-                      F.lit(1).alias("np"), F.lit(0).alias("nd"))
-    dc = docs.select(F.lit(None).cast("double").alias("hit"), F.lit(None).cast("boolean").alias("nt"),
-                     F.lit(0).alias("np"), F.lit(1).alias("nd"))
-    u = h.unionByName(pc).unionByName(dc)
-    return u.agg(F.avg("hit").alias("recall"),
-                 F.avg(F.when(F.col("nt"), F.col("hit"))).alias("recall_without_tabular"),
-                 (F.lit(2.0) * F.sum("np") / F.sum("nd")).alias("avg_comparisons"))
+    met = _links_with_pairs(docs, pairs)
+    hit = F.col("found").isNotNull()
+    share = lambda c: F.try_divide(F.sum(F.when(hit, F.col(c)).otherwise(0)).cast("double"), F.sum(c).cast("double"))
+    return met.agg(share("nl").alias("recall"), share("nlt").alias("recall_without_tabular"),
+                   F.try_divide(F.lit(2.0) * F.count("found"), F.sum("nd").cast("double")).alias("avg_comparisons"))
 
 
 def _grid_index(dist, grid):
@@ -56,32 +59,25 @@ def _grid_index(dist, grid):
     return e
 
 
-def threshold_sweep(docs: DataFrame, pairs: DataFrame, grid: list[float], target: float = 0.99) -> DataFrame:
+def threshold_sweep(docs: DataFrame, vecs: DataFrame, grid: list[float], target: float = 0.99,
+                    metric: str = "cosine", id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Recall and comparisons for every threshold of ``grid`` in one pass.
 
-    ``pairs`` must hold every pair up to ``max(grid)``. Each pair gets the index
-    of the first grid threshold that admits it; per-index counts are summed
-    cumulatively over the (tiny) grid, so the pair table is read once and never
-    replicated per threshold. ``selected`` marks the first threshold whose
-    recall reaches ``target`` (the sweep's stopping point).
+    The lineage links get their own distances by two joins; all other pairs are only counted, per grid index and inside
+    their distance block, so no pair is ever a row. The tiny per-index sums are added up along the grid. ``selected``
+    marks the first threshold whose recall reaches ``target`` (the sweep's stopping point).
     """
     spark = docs.sparkSession
-    pg = pairs.select("id1", "id2", _grid_index(F.col("dist"), grid).alias("gi"))
-    lk = lineage_links(docs).select("doc_id", F.least("doc_id", "orig").alias("id1"),
-                                    F.greatest("doc_id", "orig").alias("id2"))
-    lg = lk.join(pg, ["id1", "id2"], "left").select("gi", _not_tabular("doc_id").alias("nt"),
-                                                     F.lit(1).alias("L"), F.lit(0).alias("P"), F.lit(0).alias("D"))
-    u = lg.unionByName(pg.select("gi", F.lit(None).cast("boolean").alias("nt"), F.lit(0).alias("L"),
-                                 F.lit(1).alias("P"), F.lit(0).alias("D"))) \
-        .unionByName(docs.select(F.lit(None).cast("int").alias("gi"), F.lit(None).cast("boolean").alias("nt"),
-                                 F.lit(0).alias("L"), F.lit(0).alias("P"), F.lit(1).alias("D")))
+    zero = F.lit(0).cast("bigint")
+    links = P.link_distances(lineage_links(docs), vecs, id_col, vec_col, metric) \
+        .select(F.when(F.col("dist") > 0, _grid_index(F.col("dist"), grid)).alias("gi"), F.lit(1).cast("bigint").alias("nl"),
+                _not_tabular("doc_id").cast("bigint").alias("nlt"), zero.alias("np"), zero.alias("nd"))
+    counts = P.level_counts(vecs, id_col, vec_col, grid, metric) \
+        .select("gi", zero.alias("nl"), zero.alias("nlt"), "np", zero.alias("nd"))
+    size = docs.select(F.lit(None).cast("int").alias("gi"), zero.alias("nl"), zero.alias("nlt"), zero.alias("np"), F.lit(1).cast("bigint").alias("nd"))
     # one zero row per grid index so every threshold appears in the report
-    g = spark.createDataFrame([(i,) for i in range(len(grid))], "gi int").select(
-        "gi", F.lit(None).cast("boolean").alias("nt"), F.lit(0).alias("L"), F.lit(0).alias("P"),
-        F.lit(0).alias("D"))
-    per = u.unionByName(g).groupBy("gi").agg(
-        F.sum("L").alias("nl"), F.sum(F.when(F.col("nt"), F.col("L")).otherwise(0)).alias("nlt"),
-        F.sum("P").alias("np"), F.sum("D").alias("nd"))
+    g = spark.range(len(grid)).select(F.col("id").cast("int").alias("gi"), *[zero.alias(c) for c in ("nl", "nlt", "np", "nd")])
+    per = links.unionByName(counts).unionByName(size).unionByName(g).groupBy("gi").agg(*[F.sum(c).alias(c) for c in ("nl", "nlt", "np", "nd")])
     everything = Window.partitionBy(F.lit(0))  # at most len(grid) + 1 rows
     per = per.select("gi", "nl", "nlt", "np",
                      F.sum("nl").over(everything).alias("tl"), F.sum("nlt").over(everything).alias("tlt"),

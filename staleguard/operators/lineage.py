@@ -75,7 +75,7 @@ def lineage_join(docs: DataFrame, id_col: str = "doc_id", orig_col: str = "origi
 
 def candidate_pairs(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """(id1, id2, expected) for both orientations of every related pair (C4)."""
-    both = pairs.select("id1", "id2").unionByName(pairs.select(F.col("id2").alias("id1"), F.col("id1").alias("id2")))
+    both = pairs.select(F.inline(F.array(F.struct("id1", "id2"), F.struct(F.col("id2").alias("id1"), F.col("id1").alias("id2")))))
     return with_ground_truth(both, docs).withColumnRenamed("ground_truth", "expected")
 
 

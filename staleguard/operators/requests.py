@@ -23,10 +23,14 @@ def request_id(*cols) -> "F.Column":
     return F.sha2(F.concat_ws("|", *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols]), 256)
 
 
-def pair_requests(pairs: DataFrame, docs: DataFrame, prompt_name: str, model: str,
+def pair_requests(pairs: DataFrame, docs: DataFrame, prompt_name: str, model: str | tuple[str, ...],
                   done: DataFrame | None = None) -> DataFrame:
-    """Pair-check / extraction requests for unprocessed unordered pairs (K9, K10 front half)."""
-    p = pairs.withColumn("model", F.lit(model))
+    """Pair-check / extraction requests for unprocessed unordered pairs (K9, K10 front half).
+
+    With several models every pair row becomes one row per model, so the pairs are computed once.
+    """
+    models = (model,) if isinstance(model, str) else tuple(model)
+    p = pairs.withColumn("model", F.explode(F.array(*map(F.lit, models))))
     if done is not None:
         p = RS.unordered_pair_anti(p, done, with_model=True)
     system, user = PR.get(prompt_name)

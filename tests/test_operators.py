@@ -143,3 +143,25 @@ def test_related_counts_large_label_sets(spark, monkeypatch):
     monkeypatch.setattr(EV, "MAX_MASKS_PER_PASS", 7)
     got2 = {r.doc_id: r.n_related for r in EV.shared_cluster_counts(docs, "clusters").collect()}
     assert got2 == want
+
+
+def test_null_vectors_and_level_counts(spark):
+    rng = np.random.default_rng(3)
+    X = rng.normal(size=(150, 6))
+    rows = [(i, [float(x) for x in X[i]]) for i in range(150)] + [(500, None), (501, None)]
+    df = spark.createDataFrame(rows, "id long, e array<double>").repartition(3)
+    U = X / np.linalg.norm(X, axis=1, keepdims=True)
+    dist = {"cosine": np.clip(1 - U @ U.T, 0, 2), "euclidean": np.sqrt(((X[:, None] - X[None]) ** 2).sum(axis=2))}
+    for metric, levels in (("cosine", [0.2, 0.5, 1.0, 2.0]), ("euclidean", [1.0, 2.5, 4.0])):
+        d = dist[metric][np.triu_indices(150, 1)]
+        want, low = {}, 0.0
+        for k, t in enumerate(levels):
+            want[k] = int(((d > low) & (d <= t)).sum())
+            low = t
+        got = {r.gi: r.np for r in P.level_counts(df, "id", "e", levels, metric).collect()}
+        assert got == {k: n for k, n in want.items() if n}
+        pairs = P.related_pairs(df, "id", "e", levels[1], metric, block_rows=16).collect()
+        assert len(pairs) == len({(r.id1, r.id2) for r in pairs}) == want[0] + want[1] and all(r.id1 < r.id2 for r in pairs)
+    links = spark.createDataFrame([(0, 1), (0, 500)], "doc_id long, orig long")
+    got = {r.orig: r.dist for r in P.link_distances(links, df, "id", "e").collect()}
+    assert abs(got[1] - dist["cosine"][0, 1]) < 1e-9 and got[500] is None

@@ -4,6 +4,8 @@ import json
 import os
 import tempfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from staleguard.functions import json as J
@@ -46,3 +48,23 @@ def test_quota_check(spark):
     flags = spark.createDataFrame([(1, True, False), (2, True, True)], "doc_id long, a boolean, b boolean")
     assert SM.enough_selected(flags, {"a": 2, "b": 1})
     assert not SM.enough_selected(flags, {"a": 3, "b": 1})
+
+
+def test_append_new_raises_on_a_missing_key(spark, tmp_path):
+    from staleguard.sources import files as FS
+    path = str(tmp_path / "store")
+    first = spark.createDataFrame([(1, "a"), (2, "b")], "id long, x string")
+    assert FS.append_new(first, path, ["id"]).count() == 2
+    FS.append_new(spark.createDataFrame([(2, "b"), (3, "c")], "id long, x string"), path, ["id"])
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [1, 2, 3]
+    other = spark.createDataFrame([(1, "m")], "id long, model string")
+    with pytest.raises(Exception, match="model"):
+        FS.append_new(other, path, ["id", "model"])
+    assert spark.read.parquet(path).count() == 3
+
+
+def test_short_quota_raises(spark):
+    rows = spark.createDataFrame([(i, "fr" if i else "de") for i in range(9)], "id long, domain string")
+    with pytest.raises(RuntimeError, match="de"):
+        SM.stratified_sample(rows, "id", "domain", 6, 1, ["fr", "de"])
+    assert SM.stratified_sample(rows, "id", "domain", 6, 1, ["fr", "de"], strict=False).count() == 4

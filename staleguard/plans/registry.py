@@ -40,5 +40,5 @@ def load_all() -> None:
     """Import every plan module so all queries are registered."""
     from staleguard.plans import (  # noqa: F401
         p0_pairs, p1_scalars, p1_sets, p2_joins, p2_aggregates, p3_windows, p4_chunks,
-        p5_retrieval, p6_jobs, p7_textml, p7_sinks,
+        p5_retrieval, p6_jobs, p7_textml, p7_sinks, p8_rest,
     )

@@ -9,14 +9,12 @@ independent of the number of passages. Texts are never shuffled.
 
 from __future__ import annotations
 
+import uuid
+
+import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-try:  # optional accelerator; a pure-Python fallback keeps results identical
-    import ahocorasick  # type: ignore
-except ImportError:  # pragma: no cover
-    ahocorasick = None
-
 MAX_PATTERNS_PER_BATCH = 50_000
 MAX_PATTERN_BYTES_PER_BATCH = 64 << 20
 
@@ -41,38 +39,43 @@ def _batches(passages: DataFrame, pid_col: str, ptext_col: str):
         yield batch
 
 
-def _scanner(patterns, id_col, text_col, lower):
-    def run(it):
-        import pandas as pd
+_built: dict[str, tuple] = {}  # of this Python worker: the automaton of the batch it last worked on
+
+
+def _automaton(key: str, patterns, lower: bool):
+    """(ids of empty passages, automaton or None), built once per batch and worker."""
+    if key not in _built:
         by_text: dict[str, list] = {}
         for pid, p in patterns:
             by_text.setdefault(p.lower() if lower else p, []).append(pid)
-        empty = by_text.pop("", None)
-        auto = None
-        if ahocorasick is not None and by_text:
+        empty, auto = by_text.pop("", []), None
+        if by_text:
             auto = ahocorasick.Automaton()
-            for k, ids in by_text.items():
-                auto.add_word(k, ids)
+            for text, ids in by_text.items():
+                auto.add_word(text, ids)
             auto.make_automaton()
+        _built.clear()
+        _built[key] = (empty, auto)
+    return _built[key]
+
+
+def _scanner(patterns, id_col, text_col, lower):
+    key = uuid.uuid4().hex
+
+    def run(it):
+        import pandas as pd
+        empty, auto = _automaton(key, patterns, lower)
         for pdf in it:
             out_ids, out_pids = [], []
             for did, t in zip(pdf[id_col].tolist(), pdf[text_col].tolist()):
                 if t is None:
                     continue
-                s = t.lower() if lower else t
-                found = set()
-                if empty:
-                    found.update(empty)
+                found = set(empty)
                 if auto is not None:
-                    for _, ids in auto.iter(s):
+                    for _, ids in auto.iter(t.lower() if lower else t):
                         found.update(ids)
-                elif by_text:
-                    for k, ids in by_text.items():
-                        if k in s:
-                            found.update(ids)
-                for p in found:
-                    out_ids.append(did)
-                    out_pids.append(p)
+                out_ids += [did] * len(found)
+                out_pids += found
             yield pd.DataFrame({"id": pd.Series(out_ids, dtype="int64"), "pid": pd.Series(out_pids, dtype="int64")})
     return run
 

@@ -89,6 +89,7 @@ def sequential_offsets(df: DataFrame, order_col: str, count_col: str, block: int
 # --- exact top-k nearest vectors for a bounded set of query vectors (F1) -------
 
 MAX_QUERY_VECTORS = 4096
+DIGITS = 9  # distances are rounded to these, so that equal ones tie whatever the order of summation
 
 
 def _nearest_scorer(queries: list[tuple[int, list[float]]], k: int, id_col: str, vec_col: str):
@@ -99,20 +100,21 @@ def _nearest_scorer(queries: list[tuple[int, list[float]]], k: int, id_col: str,
 
     def score(it):
         import pandas as pd
+        best_d, best_i = np.full((0, len(qids)), np.inf), np.zeros((0, len(qids)), np.int64)
         for pdf in it:
             if len(pdf) == 0:
                 continue
             ids = pdf[id_col].to_numpy(dtype=np.int64)
             X = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col]])
             nx = np.linalg.norm(X, axis=1, keepdims=True)
-            Xn = X / np.where(nx > 0, nx, 1.0)
-            D = np.clip(1.0 - Xn @ Qn.T, 0.0, 2.0)  # rows x queries
-            kk = min(k, len(ids))
-            rows = []
-            for j in range(len(qids)):
-                order = np.lexsort((ids, D[:, j]))[:kk]
-                rows.append(pd.DataFrame({"query_id": qids[j], "id": ids[order], "dist": D[order, j]}))
-            yield pd.concat(rows, ignore_index=True)
+            D = np.round(np.clip(1.0 - (X / np.where(nx > 0, nx, 1.0)) @ Qn.T, 0.0, 2.0), DIGITS)  # rows x queries
+            D, I = np.concatenate([best_d, D]), np.concatenate([best_i, np.broadcast_to(ids[:, None], D.shape)])
+            if len(D) > k:
+                # the k-th distance of each query: everything below it stays, ties at it go by id
+                order = np.lexsort((I, D), axis=0)[:k]
+                D, I = np.take_along_axis(D, order, axis=0), np.take_along_axis(I, order, axis=0)
+            best_d, best_i = D, I
+        yield pd.DataFrame({"query_id": np.tile(qids, len(best_d)), "id": best_i.ravel(), "dist": best_d.ravel()})
     return score
 
 
@@ -122,13 +124,12 @@ def topk_nearest(corpus: DataFrame, id_col: str, vec_col: str, queries: DataFram
 
     Query vectors are streamed from the executors in passes of at most
     ``MAX_QUERY_VECTORS``; a pass travels with the task, each corpus partition
-    scores its rows with one matrix product and emits at most ``k``
-    candidates per query, and a window keeps the global top ``k`` (ties by id).
+    keeps a running ``k`` best per query over its batches' matrix products and emits them once, and a window keeps the global top ``k`` (ties by id).
     Several passes are materialised one at a time, so the driver holds one
     pass. The corpus is never shuffled whole nor joined pairwise.
     """
     from staleguard.session import materialize
-    src = corpus.select(F.col(id_col).cast("bigint").alias(id_col), F.col(vec_col).cast("array<double>"))
+    src = corpus.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("bigint").alias(id_col), F.col(vec_col).cast("array<double>"))
     w = Window.partitionBy("query_id").orderBy("dist", "id")
     parts, batch = [], []
 

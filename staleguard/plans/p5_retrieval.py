@@ -9,7 +9,9 @@ from staleguard.functions import arrays as A
 from staleguard.functions import text as T
 from staleguard.operators import retrieve as RT
 from staleguard.plans import sqlutil as S
-from staleguard.plans.p4_chunks import CHUNKS_SQL, FLAGS_SQL, flagged_chunks
+from staleguard.operators import textml as TM
+from staleguard.operators import windows as W
+from staleguard.plans.p4_chunks import CHUNKS_SQL, FLAGS_SQL, chunk_table, flagged_chunks
 from staleguard.plans.registry import query, r6
 from staleguard.sources import prompts as PR
 from staleguard.sources import testdata as TD
@@ -174,3 +176,28 @@ def scorecard(spark, d):
                                 F.avg(A.bool_mean("h")).alias("hallucination"))
     return g.select("mode", r6("completeness").alias("completeness"), r6("hallucination").alias("hallucination"),
                     r6(F.lit(1.0) - F.col("completeness") - F.col("hallucination")).alias("irrelevancy"))
+
+
+_DIMS = 64
+_WORDS = "regexp_extract_all(lower({}), '([\\p{{L}}\\p{{N}}_][\\p{{L}}\\p{{N}}_]+)', 1)"
+
+
+@query("topk_chunks_vector", TD.ctes("docs", "queries") + CHUNKS_SQL + f"""
+, cb AS (SELECT chunk_id, CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % {_DIMS} AS b, count(*) AS n
+         FROM (SELECT chunk_id, unnest({_WORDS.format('text')}) AS t FROM ch) GROUP BY 1, 2)
+, qb AS (SELECT query_id, CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % {_DIMS} AS b, count(*) AS n
+         FROM (SELECT query_id, unnest({_WORDS.format('content')}) AS t FROM queries) GROUP BY 1, 2)
+, cn AS (SELECT chunk_id, sqrt(sum(n * n)) AS nrm FROM cb GROUP BY chunk_id)
+, qn AS (SELECT query_id, sqrt(sum(n * n)) AS nrm FROM qb GROUP BY query_id)
+, dots AS (SELECT query_id, chunk_id, sum(qb.n * cb.n) AS dot FROM qb JOIN cb USING (b) GROUP BY query_id, chunk_id)
+, dist AS (SELECT q.query_id, c.chunk_id, round(least(greatest(1.0 - coalesce(dot / (qn.nrm * cn.nrm), 0.0), 0.0), 2.0), 9) AS dist
+           FROM queries q CROSS JOIN ch c LEFT JOIN dots d ON d.query_id = q.query_id AND d.chunk_id = c.chunk_id
+           LEFT JOIN qn ON qn.query_id = q.query_id LEFT JOIN cn ON cn.chunk_id = c.chunk_id)
+SELECT query_id, chunk_id, rank, round(dist, 6) AS dist FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, chunk_id) AS rank FROM dist) WHERE rank <= {K}""")
+def topk_chunks_vector(spark, d):
+    """K3 / F1: the nearest chunks of every query by the cosine distance of their text vectors."""
+    chunks = TM.md5_text_vectors(chunk_table(spark, d), "chunk_id", "text", _DIMS)
+    wanted = TM.md5_text_vectors(TD.queries(spark, d), "query_id", "content", _DIMS)
+    got = W.topk_nearest(chunks, "chunk_id", "vec", wanted, K)
+    return got.select("query_id", F.col("id").alias("chunk_id"), F.col("rank").cast("bigint").alias("rank"), r6("dist").alias("dist"))

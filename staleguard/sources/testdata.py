@@ -57,17 +57,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def with_text_lineage(docs: DataFrame) -> DataFrame:
     """Add ``original_doc_ids``: [] for originals, [min id with the same text] for copies.
 
-    Grouping is on a SHA-256 of the text (the text itself is not shuffled);
-    the aggregate is partial per partition, so a huge group of copies costs one
-    row per partition before the shuffle, and the join back is an equi-join
-    that AQE splits when one key is hot.
+    Copies are found on (id, SHA-256 of the text) rows alone: the aggregate is partial per partition, so a huge group
+    of copies costs one row per partition, and the join back moves no text. The texts then meet their lineage by
+    document id, a key without hot values.
     """
-    keyed = docs.withColumn("_tk", F.sha2(F.col("content"), 256))
+    keyed = docs.select("doc_id", F.sha2(F.col("content"), 256).alias("_tk"))
     first = keyed.groupBy("_tk").agg(F.min("doc_id").alias("_orig"))
-    out = keyed.join(first, "_tk", "inner")
+    out = docs.join(keyed.join(first, "_tk").select("doc_id", "_orig"), "doc_id")
     lineage = F.when(F.col("doc_id") == F.col("_orig"), F.array().cast("array<bigint>")) \
         .otherwise(F.array(F.col("_orig")))
-    return out.withColumn("original_doc_ids", lineage).drop("_tk", "_orig")
+    return out.withColumn("original_doc_ids", lineage).drop("_orig")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

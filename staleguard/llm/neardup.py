@@ -233,7 +233,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         out = pd.DataFrame({"id": ids, "root": block.root.to_numpy(), "s": block.s.to_numpy(), "label": _labels(ids, link)})
         return out[(block.id != block.root).to_numpy() | (block.slice == 0).to_numpy()].drop_duplicates("id")
 
-    settled = written(placed.join(texts, "id").groupBy("root", "slice").applyInPandas(settle, "id long, root long, s int, label long"), "settled")
+    held = written(placed.join(texts, "id"), "held")  # the texts of group members only; all later reads take them from here
+    settled = written(held.groupBy("root", "slice").applyInPandas(settle, "id long, root long, s int, label long"), "settled")
 
     # members of several slices' groups that aren't linked with the least one: against all other slices
     split = settled.filter("s > 1").select(F.col("root").alias("key"), F.col("id").alias("rep"), "label", F.col("root").alias("main"))
@@ -245,8 +246,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         i, j = np.nonzero(link & (side[:, None] == 1) & (side[None, :] == 0) & (label[:, None] != label[None, :]))
         return pd.DataFrame(_forest([(int(label[a]), int(label[b])) for a, b in zip(i, j)]), columns=["a", "b"], dtype="int64")
 
-    blocks = _cross_blocks(split, "key", SLICE)
-    more = written(blocks.join(texts.withColumnRenamed("id", "rep"), "rep").groupBy("key", "i", "j")
+    members = held.filter("s > 1 and (id != root or slice = 0)").select(F.col("id").alias("rep"), "text")
+    more = written(_cross_blocks(split, "key", SLICE).join(members, "rep").groupBy("key", "i", "j")
                    .applyInPandas(confirm, "a long, b long"), "confirmed")
     merged = settled.select("id", "label")
     if not more.isEmpty():

@@ -18,32 +18,15 @@ CONTEXT_DELIMITER = "\n\n-- new chunk --\n"
 SCORING_DELIMITER = "\n"
 # Derived ids: prefix + original id zero-filled to 5 digits.
 ID_ZERO_FILL = 5
-PREFIX_SINGLE_TEXTUAL = 1
-PREFIX_TABULAR = 3
-PREFIX_MULTI_TEXTUAL = 4
-# Fixed ids of the per-domain tabular documents.
-TABULAR_DOC_IDS = {"Medical": 300001, "Finance": 300002, "Law": 300003}
 # Creation dates from id prefix, tested in this order; anything else is the default.
 PREFIX_DATES = [("400", "2010-01-01"), ("300", "2015-01-01"), ("100", "2005-01-01")]
 DEFAULT_DATE = "2000-01-01"
 # Threshold sweep: recall target that stops the sweep and the grid step.
 SWEEP_TARGET_RECALL = 0.99
 SWEEP_STEP = 0.05
-# Cumulative membership threshold defaults.
-CUMULATIVE_THRESHOLD = 0.9
-# Number of top topics kept for documents with several originals.
-TOP_TOPICS_MULTI = 10
-# Near-zero tolerance of the distance profile.
-NEAR_ZERO_ATOL = 1e-8
-# Default query type when selecting queries for a document.
-DEFAULT_QUERY_TYPES = ["Factual Question"]
-# Retrieval depth.
-TOP_K = 5
 # Domains in round-robin sampling order.
 SAMPLING_DOMAINS = ["Finance", "Medical", "Law"]
 # --- end fixed values -------------------------------------------------------
 
 # Parameters chosen for the bundled test tables (see README "Test tables").
 VECTOR_RELATION_THRESHOLD = 0.75
-VECTOR_SWEEP_START = 0.60
-VECTOR_SWEEP_END = 1.10

@@ -29,6 +29,12 @@ def decode(c, shape_or_ddl: str) -> Column:
     return F.from_json(col, ddl, _OPTS)
 
 
+def undecodable(c) -> Column:
+    """True where there is a text that isn't a JSON object (null without a text)."""
+    col = F.col(c) if isinstance(c, str) else c
+    return F.when(col.isNotNull(), F.from_json(col, "map<string,string>", _OPTS).isNull())
+
+
 def decode_list_literal(c, element_type: str = "string") -> Column:
     """Decode Python list-literal text (mixed quotes, backslash escapes)."""
     col = F.col(c) if isinstance(c, str) else c

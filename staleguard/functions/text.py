@@ -31,11 +31,6 @@ def normalize(c) -> Column:
     return F.translate(py_strip(F.lower(_c(c))), PUNCTUATION, "")
 
 
-def contains_folded(text, ref) -> Column:
-    """Case-folded containment of a stripped reference in a text."""
-    return F.contains(F.lower(_c(text)), py_strip(F.lower(_c(ref))))
-
-
 def derived_id(orig_id, prefix) -> Column:
     """int(str(prefix) + zfill(5)(str(id))); ``lpad`` alone would truncate long ids."""
     s = _c(orig_id).cast("string")
@@ -96,10 +91,6 @@ def numbered_qa(qa_arr, starred: bool = False) -> Column:
     return F.array_join(F.transform(_c(qa_arr), one), "")
 
 
-def context_text(texts_arr, delimiter: str = CONTEXT_DELIMITER) -> Column:
-    return F.array_join(_c(texts_arr), delimiter)
-
-
 def table_row_text(description, value) -> Column:
     """'{description} | {value}' (null propagates)."""
     return F.concat(_c(description), F.lit(" | "), _c(value))

@@ -257,8 +257,3 @@ def model_accuracy(verdicts: DataFrame) -> DataFrame:
     return verdicts.groupBy("model").agg(
         F.avg((F.col("conflicts") == F.col("ground_truth")).cast("double")).alias("accuracy"),
         F.count("*").alias("count"))
-
-
-def bool_array_score(df: DataFrame, arr_col: str) -> DataFrame:
-    """Mean over rows of the per-row boolean-array mean."""
-    return df.agg(F.avg(A.bool_mean(arr_col)).alias("score"))

@@ -46,13 +46,6 @@ def symmetric_difference(a: DataFrame, b: DataFrame, a_tag: str, b_tag: str) ->
         .unionByName(b.exceptAll(a).select(F.lit(b_tag).alias("side"), "*"))
 
 
-def assert_same_ids(a: DataFrame, b: DataFrame) -> None:
-    """Raise when two id sets differ (consistency check before a job)."""
-    diff = symmetric_difference(a, b, "a", "b").limit(5).collect()
-    if diff:
-        raise ValueError(f"id sets differ, e.g. {diff}")
-
-
 def with_ground_truth(pairs: DataFrame, docs: DataFrame, id_col: str = "doc_id",
                       orig_col: str = "original_doc_ids") -> DataFrame:
     """Add ``ground_truth``: the two documents are lineage-related.

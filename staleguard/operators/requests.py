@@ -50,8 +50,9 @@ def run_scorer(requests: DataFrame, scorer: Callable, schema: str = "request_id
 
 
 def decode_responses(requests: DataFrame, responses: DataFrame, shape: str) -> DataFrame:
-    """Join responses to requests and decode; undecodable responses give null fields."""
-    return requests.join(responses, "request_id", "left").withColumn("decoded", J.decode("response", shape))
+    """Join responses to requests and decode; undecodable responses give null fields and ``decode_error``."""
+    return requests.join(responses, "request_id", "left").withColumn("decoded", J.decode("response", shape)) \
+        .withColumn("decode_error", J.undecodable("response"))
 
 
 def verdict_rows(decoded: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from staleguard.functions import text as T
 from staleguard.operators import evaluate as EV
 from staleguard.operators import lineage as LN
+from staleguard.operators import requests as RQ
 from staleguard.operators import resume as RS
 from staleguard.operators import sampling as SM
 from staleguard.plans.p2_aggregates import _CLUSTERS_SQL, vector_clusters
@@ -125,6 +126,20 @@ def element_cast(spark, d):
     return back.select("doc_id", F.size("ids").cast("bigint").alias("n"), total.alias("id_sum"))
 
 
+@query("decode_errors", TD.ctes("queries") + """
+, r AS (SELECT query_id, CASE query_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '{"keypoints": [' WHEN 2 THEN 'no json' ELSE '{"keypoints": ["a"]}' END AS response FROM queries)
+SELECT query_id, CASE WHEN response IS NULL THEN NULL ELSE NOT json_valid(response) END AS decode_error,
+       CASE WHEN response IS NOT NULL AND json_valid(response) THEN 1 ELSE 0 END AS n_keypoints FROM r""")
+def decode_errors(spark, d):
+    """Responses cut off or without JSON are flagged; missing ones are neither right nor wrong."""
+    k = F.col("query_id") % 4
+    req = TD.queries(spark, d).select("query_id", F.col("query_id").cast("string").alias("request_id"))
+    resp = req.select("request_id", F.when(k == 1, F.lit('{"keypoints": [')).when(k == 2, F.lit("no json"))
+                      .when(k == 3, F.lit('{"keypoints": ["a"]}')).alias("response"))
+    got = RQ.decode_responses(req, resp, "keypoints ARRAY<STRING>")
+    return got.select("query_id", "decode_error", F.coalesce(F.when(~F.col("decode_error"), F.size("decoded.keypoints")), F.lit(0)).alias("n_keypoints"))
+
+
 _NAMES = sorted(PR.DEFAULTS)
 
 

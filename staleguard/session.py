@@ -49,27 +49,6 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 MAX_SHUFFLE_PARTITIONS = 65536
 
 
-def cluster_conf(input_bytes: int, executor_cores: int, executors: int,
-                 target_partition_bytes: int = 128 << 20) -> dict:
-    """Partition sizing for a cluster run over ``input_bytes`` of input.
-
-    File splits of ``target_partition_bytes``; the initial shuffle partition
-    count covers the input at that size (at least 2 per core) and AQE coalesces
-    small ones and splits skewed ones at runtime.
-    """
-    cores = max(1, executor_cores * executors)
-    # shuffles move far less than the raw input (ids, hashes, scores); the cap keeps shuffle
-    # map-status metadata manageable and AQE coalesces the rest
-    parts = min(max(2 * cores, -(-int(input_bytes) // target_partition_bytes)), MAX_SHUFFLE_PARTITIONS)
-    return {
-        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
-        "spark.sql.shuffle.partitions": str(parts),
-        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(2 * target_partition_bytes),
-    }
-
-
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 

@@ -138,118 +138,82 @@ def docs_per_cluster(docs: DataFrame, cluster_col: str) -> DataFrame:
         .agg(F.avg("count").alias("avg_docs_per_cluster"), F.count("*").alias("n_clusters"))
 
 
-MAX_LABELS_PER_DOC = 12  # 2^12 - 1 label subsets per document at most
+SMALL_SET = 12  # labels up to which a set's subsets are listed (at most 2^12 - 1 each)
+SET_BLOCK = 1024  # distinct sets per side of a block
 
 
-def _label_subsets(docs: DataFrame, cluster_col: str, id_col: str) -> DataFrame:
-    """(id, subset, sign) for every non-empty subset of a document's distinct labels."""
-    s = docs.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(cluster_col)).alias("s"))
-    s = s.where(F.size("s") > 0)
-    sub = F.expr("transform(sequence(1, (1 << size(s)) - 1), m -> filter(s, (x, i) -> ((m >> i) & 1) = 1))")
-    return s.select("id", F.explode(sub).alias("subset")).select(
-        "id", "subset", F.when(F.size("subset") % 2 == 1, F.lit(1)).otherwise(F.lit(-1)).alias("sign"))
-
+def _label_sets(docs: DataFrame, cluster_col: str) -> DataFrame:
+    """(s, c): the distinct non-empty label sets and how many documents have each."""
+    return docs.select(F.array_sort(F.array_distinct(cluster_col)).alias("s")).where(F.size("s") > 0) \
+        .groupBy("s").agg(F.count("*").alias("c"))
 
-MAX_MASKS_PER_PASS = 4096
 
+def _sharing(sets: DataFrame) -> DataFrame:
+    """(s, c, n): for every distinct label set the number of documents that share a label with it.
 
-def _related_by_masks(docs: DataFrame, cluster_col: str, id_col: str) -> DataFrame:
-    """Exact per-document related counts for any label-set size (fallback of C10 / D6).
-
-    Label sets become bitsets over the distinct labels (their count bounds the
-    mask width). Documents are grouped by distinct label set; batches of at
-    most ``MAX_MASKS_PER_PASS`` distinct sets (with their document counts)
-    travel with the tasks, and every document adds up the counts of the sets
-    it intersects, in numpy. Several batches are materialised one at a time,
-    so the driver holds one batch. No document pairs are produced.
+    Every pair of sets is counted once, by what suits the pair. Two small sets meet by inclusion-exclusion over the
+    subsets of their labels (c(U) documents contain U; the union of the label members is the signed sum). A pair with a
+    large set meets in a block of distinct sets, where the hits are marked label by label. So one document with many
+    labels adds the work of its own set and changes nothing for the others. No pair is ever a row.
     """
+    sets = sets.withColumn("k", F.xxhash64("s"))
+    small, large = F.size("s") <= SMALL_SET, F.size("s") > SMALL_SET
+    sub = F.expr("transform(sequence(1, (1 << size(s)) - 1), m -> filter(s, (x, i) -> ((m >> i) & 1) = 1))")
+    subsets = sets.where(small).select("s", "c", F.explode(sub).alias("u"))
+    holds = subsets.groupBy("u").agg(F.sum("c").alias("h"))
+    sign = F.when(F.size("u") % 2 == 1, F.lit(1)).otherwise(F.lit(-1))
+    by_subsets = subsets.join(holds, "u").groupBy("s").agg(F.sum(sign * F.col("h")).alias("n"))
+
+    sizes = sets.agg(F.ceil(F.count("*") / SET_BLOCK).cast("int").alias("a"),
+                     F.ceil(F.sum(F.when(large, 1).otherwise(0)) / SET_BLOCK).cast("int").alias("b")).first()  # two numbers
+    slices, others = max(1, sizes["a"] or 0), sizes["b"] or 0
+    if not others:
+        return sets.join(by_subsets, "s").select("s", "c", "n")
+    own = lambda n: F.pmod("k", F.lit(n)).cast("int")
+    to = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = sets.select("s", "c", F.lit(0).alias("side"), own(slices).alias("i"), to(others).alias("j"))
+    right = sets.where(large).select("s", "c", F.lit(1).alias("side"), to(slices).alias("i"), own(others).alias("j"))
+    most = SMALL_SET
+    by_blocks = left.unionByName(right).groupBy("i", "j").applyInPandas(lambda block: _meet(block, most), "s array<long>, n long")
+    parts = by_blocks.unionByName(by_subsets.select(F.col("s").cast("array<long>").alias("s"), "n"))
+    total = parts.groupBy("s").agg(F.sum("n").alias("n"))
+    return sets.withColumn("s", F.col("s").cast("array<long>")).join(total, "s").select("s", "c", "n")
+
+
+def _meet(block, most: int):
+    """Documents of the other side that share a label: for all left sets among the large ones, and back among the small ones."""
     import numpy as np
-    from staleguard.session import materialize
-
-    labels = [r[0] for r in docs.select(F.explode(F.array_distinct(cluster_col)).alias("l")).distinct()
-              .orderBy("l").toLocalIterator()]
-    index = {l: i for i, l in enumerate(labels)}
-    words = max(1, -(-len(labels) // 63))
-
-    def to_mask(ls):
-        m = np.zeros(words, dtype=np.int64)
-        for l in ls if ls is not None else ():
-            i = index[l]
-            m[i // 63] |= np.int64(1) << np.int64(i % 63)
-        return m
-
-    sets = docs.select(F.array_sort(F.array_distinct(cluster_col)).alias("s")).groupBy("s").count()
-    me = docs.select(F.col(id_col).alias("doc_id"), F.array_distinct(cluster_col).alias("s"))
-
-    def counter(batch):
-        M = np.stack([to_mask(ls) for ls, _ in batch])
-        cnt = np.array([c for _, c in batch], dtype=np.int64)
-
-        def run(it):
-            import pandas as pd
-            for pdf in it:
-                if len(pdf) == 0:
-                    continue
-                D = np.stack([to_mask(ls) for ls in pdf["s"]])
-                hit = ((D[:, None, :] & M[None, :, :]) != 0).any(axis=2)
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "n": hit.astype(np.int64) @ cnt})
-        return run
-
-    parts, batch = [], []
-    for r in sets.toLocalIterator():
-        batch.append((list(r["s"]), int(r["count"])))
-        if len(batch) >= MAX_MASKS_PER_PASS:
-            parts.append(me.mapInPandas(counter(batch), "doc_id long, n long").transform(materialize))
-            batch = []
-    if batch:
-        part = me.mapInPandas(counter(batch), "doc_id long, n long")
-        parts.append(part.transform(materialize) if parts else part)
-    out = parts[0]
-    for p_ in parts[1:]:
-        out = out.unionByName(p_)
-    return out.groupBy("doc_id").agg(F.sum("n").alias("n_related"))
-
-
-def _has_large_label_sets(docs: DataFrame, cluster_col: str) -> bool:
-    return docs.where(F.size(F.array_distinct(cluster_col)) > MAX_LABELS_PER_DOC).limit(1).count() > 0
+    import pandas as pd
+    left, right = block[block.side == 0], block[block.side == 1]
+    hits = np.zeros((len(left), len(right)), bool)
+    at: dict = {}
+    for k, labels in enumerate(right.s):
+        for x in labels:
+            at.setdefault(x, ([], []))[1].append(k)
+    for k, labels in enumerate(left.s):
+        for x in labels:
+            if x in at:
+                at[x][0].append(k)
+    for rows, cols in at.values():
+        if rows:
+            hits[np.ix_(rows, cols)] = True
+    small = left.s.map(len).to_numpy() <= most
+    n = [*(hits @ right.c.to_numpy(np.int64)), *(hits[small].T @ left.c.to_numpy(np.int64)[small])]
+    return pd.DataFrame({"s": [*left.s, *right.s], "n": np.array(n, np.int64)})
 
 
 def shared_cluster_counts(docs: DataFrame, cluster_col: str, id_col: str = "doc_id") -> DataFrame:
-    """Per document: how many documents share at least one label with it, itself included.
-
-    No pair is materialised. With c(U) = number of documents whose label set
-    contains U, inclusion-exclusion gives |union of the label member sets|
-    = sum over non-empty U of d's labels of (-1)^(|U|+1) c(U): linear in the
-    documents times 2^labels while every document has at most
-    ``MAX_LABELS_PER_DOC`` labels; beyond that the exact bitset count over
-    distinct label sets is used.
-    """
-    if _has_large_label_sets(docs, cluster_col):
-        per = _related_by_masks(docs, cluster_col, id_col)
-    else:
-        subs = _label_subsets(docs, cluster_col, id_col)
-        c = subs.groupBy("subset").agg(F.count("*").alias("c"))
-        per = subs.join(c, "subset").groupBy("id").agg(F.sum(F.col("sign") * F.col("c")).alias("n_related")) \
-            .withColumnRenamed("id", "doc_id")
-    return docs.select(F.col(id_col).alias("doc_id")).join(per, "doc_id", "left") \
-        .select("doc_id", F.coalesce("n_related", F.lit(0)).cast("bigint").alias("n_related"))
+    """Per document: how many documents share at least one label with it, itself included."""
+    met = _sharing(_label_sets(docs, cluster_col)).select(F.col("s").cast("array<long>").alias("s"), "n")
+    own = docs.select(F.col(id_col).alias("doc_id"), F.array_sort(F.array_distinct(cluster_col)).cast("array<long>").alias("s"))
+    return own.join(met, "s", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_related"))
 
 
 def avg_related(docs: DataFrame, cluster_col: str, id_col: str = "doc_id") -> DataFrame:
-    """Mean number of documents sharing a label with each document, self included.
-
-    Equals (1/N) * sum over label subsets U of (-1)^(|U|+1) c(U)^2: one
-    aggregation over the subsets, no pairs and no per-document join. With
-    label sets above ``MAX_LABELS_PER_DOC`` the exact bitset counts are averaged.
-    """
-    if _has_large_label_sets(docs, cluster_col):
-        return shared_cluster_counts(docs, cluster_col, id_col).agg(
-            F.avg(F.col("n_related").cast("double")).alias("avg_related_docs"))
-    subs = _label_subsets(docs, cluster_col, id_col)
-    terms = subs.groupBy("subset").agg(F.count("*").alias("c"), F.first("sign").alias("sign")) \
-        .select((F.col("sign") * F.col("c") * F.col("c")).cast("double").alias("t"), F.lit(0).alias("n"))
+    """Mean number of documents sharing a label with each document, self included (D6), from the distinct sets alone."""
+    met = _sharing(_label_sets(docs, cluster_col)).select((F.col("c") * F.col("n")).cast("double").alias("t"), F.lit(0).alias("n"))
     n = docs.select(F.lit(None).cast("double").alias("t"), F.lit(1).alias("n"))
-    return terms.unionByName(n).agg((F.coalesce(F.sum("t"), F.lit(0.0)) / F.sum("n")).alias("avg_related_docs"))
+    return met.unionByName(n).agg((F.coalesce(F.sum("t"), F.lit(0.0)) / F.sum("n")).alias("avg_related_docs"))
 
 
 def model_accuracy(verdicts: DataFrame) -> DataFrame:

@@ -139,8 +139,9 @@ def test_related_counts_large_label_sets(spark, monkeypatch):
     assert got == want
     avg = EV.avg_related(docs, "clusters").collect()[0].avg_related_docs
     assert abs(avg - sum(want.values()) / len(sets)) < 1e-12
-    # several mask batches give the same counts
-    monkeypatch.setattr(EV, "MAX_MASKS_PER_PASS", 7)
+    # other limits and many blocks give the same counts
+    monkeypatch.setattr(EV, "SMALL_SET", 2)
+    monkeypatch.setattr(EV, "SET_BLOCK", 7)
     got2 = {r.doc_id: r.n_related for r in EV.shared_cluster_counts(docs, "clusters").collect()}
     assert got2 == want
 

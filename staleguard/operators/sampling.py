@@ -51,6 +51,22 @@ def stratified_sample(candidates: DataFrame, id_col: str, domain_col: str, n: in
     return sample
 
 
+def top_up(candidates: DataFrame, existing: DataFrame, id_col: str, domain_col: str, n: int, seed: int,
+           domains: list[str] = SAMPLING_DOMAINS) -> DataFrame:
+    """New ids that fill an existing selection up to its round-robin quota (K8): (id, domain, rank).
+
+    ``existing`` (id, domain) counts towards the quota of its domain and is never picked again; a full domain gets
+    nothing, a short one what it has.
+    """
+    quota = round_robin_quota(n, domains)
+    have = existing.groupBy(domain_col).agg(F.count("*").alias("_have"))  # at most one row per domain
+    rest = candidates.where(F.col(domain_col).isin(list(quota))).join(existing.select(id_col), id_col, "left_anti")
+    w = Window.partitionBy(domain_col).orderBy(seeded_hash(id_col, seed), id_col)
+    ranked = rest.select(id_col, domain_col, F.row_number().over(w).alias("rank")).where(F.col("rank") <= max(quota.values()))
+    need = F.create_map(*(F.lit(x) for kv in quota.items() for x in kv))[F.col(domain_col)] - F.coalesce("_have", F.lit(0))
+    return ranked.join(F.broadcast(have), domain_col, "left").where(F.col("rank") <= need).select(id_col, domain_col, "rank")
+
+
 def check_quota(sample: DataFrame, domain_col: str, n: int, domains: list[str] = SAMPLING_DOMAINS) -> None:
     """raises when a domain has fewer rows than its quota."""
     quota = round_robin_quota(n, domains)

@@ -114,6 +114,31 @@ def quota_report(spark, d):
         (F.coalesce("available", F.lit(0)) >= F.col("quota")).alias("enough"))
 
 
+def _ranked_sql(name: str, seed: int, source: str) -> str:
+    return f"""
+, {name} AS (SELECT doc_id, domain, row_number() OVER (PARTITION BY domain
+               ORDER BY md5('{seed}-' || CAST(doc_id AS VARCHAR)), doc_id) AS rank FROM {source})"""
+
+
+def _case(quota: dict) -> str:
+    return "CASE domain " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in quota.items()) + " ELSE 0 END"
+
+
+@query("selection_top_up", TD.ctes("docs") + f"""
+, cand AS (SELECT doc_id, domain FROM docs WHERE kind = 'original' AND domain IN ({", ".join(f"'{x}'" for x in LANG_DOMAINS)}))"""
+       + _ranked_sql("r1", SEED + 5, "cand") + f"""
+, old AS (SELECT doc_id, domain FROM r1 WHERE rank <= {_case(SM.round_robin_quota(12, LANG_DOMAINS))})
+, rest AS (SELECT * FROM cand WHERE doc_id NOT IN (SELECT doc_id FROM old))""" + _ranked_sql("r2", SEED + 6, "rest") + f"""
+SELECT r2.doc_id, r2.domain, r2.rank FROM r2 LEFT JOIN (SELECT domain AS d, count(*) AS have FROM old GROUP BY domain) ON d = r2.domain
+WHERE r2.rank <= {_case(_QUOTA)} - coalesce(have, 0)""")
+def selection_top_up(spark, d):
+    """K8: a selection of 12 is filled up to 30; the ids it has stay and count."""
+    docs = TD.documents(spark, d).where(F.col("kind") == "original").select("doc_id", "domain")
+    old = SM.stratified_sample(docs, "doc_id", "domain", 12, SEED + 5, LANG_DOMAINS, strict=False).select("doc_id", "domain")
+    return SM.top_up(docs, old, "doc_id", "domain", 30, SEED + 6, LANG_DOMAINS) \
+        .select("doc_id", "domain", F.col("rank").cast("bigint").alias("rank"))
+
+
 @query("element_cast", TD.ctes("vecs", "vecs_lin") + """
 SELECT doc_id, len(original_doc_ids) AS n, list_sum(original_doc_ids) AS id_sum FROM vecs_lin""")
 def element_cast(spark, d):

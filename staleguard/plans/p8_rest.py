@@ -6,15 +6,21 @@ import re
 
 from pyspark.sql import functions as F
 
+from staleguard.functions import json as J
 from staleguard.functions import text as T
 from staleguard.operators import evaluate as EV
 from staleguard.operators import lineage as LN
+from staleguard.operators import pairs as P
 from staleguard.operators import requests as RQ
 from staleguard.operators import resume as RS
 from staleguard.operators import sampling as SM
+from staleguard.plans import sqlutil as S
+from staleguard.plans.p0_pairs import _PAIRS_SQL, THRESHOLD
+from staleguard.plans.p1_sets import MAPPING_SQL, doc_query_mapping
 from staleguard.plans.p2_aggregates import _CLUSTERS_SQL, vector_clusters
 from staleguard.plans.p3_windows import LANG_DOMAINS, SEED, _STRAT_SQL
 from staleguard.plans.registry import query, r6
+from staleguard.session import materialize
 from staleguard.sources import files as FS
 from staleguard.sources import prompts as PR
 from staleguard.sources import testdata as TD
@@ -205,3 +211,57 @@ def render_templates(spark, d):
         filled = q.withColumns({s: F.concat(F.lit(f"{s}: "), F.col("content")) for s in _slots(n)})
         parts.append(filled.select("query_id", F.lit(n).alias("prompt_name"), F.md5(T.render(PR.DEFAULTS[n][1], **{s: s for s in _slots(n)})).alias("prompt_md5")))
     return LN.union_corpus(parts)
+
+
+@query("manipulate_tabular_queries", TD.ctes("docs") + MAPPING_SQL + f"""
+SELECT {S.derived_id('m.query_id_tabular_manipulation', '3')} AS query_id, m.query_id_tabular_manipulation AS original_query_id,
+       CAST({S.derived_id('m.doc_id', '3')} AS VARCHAR) AS doc_ids, md5('table: ' || b.text) AS answer_md5
+FROM mapping m JOIN benchmark b ON b.item_id = m.query_id_tabular_manipulation""")
+def manipulate_tabular_queries(spark, d):
+    """Altered query rows of the tabular job, prefix 3."""
+    q = TD.queries(spark, d)
+    todo = doc_query_mapping(spark, d).select("doc_id", F.col("query_id_tabular_manipulation").alias("query_id")) \
+        .join(q.select("query_id", "content"), "query_id")
+    resp = todo.select("query_id", "doc_id", F.to_json(F.struct(F.lit("").alias("text_new"), F.concat(F.lit("table: "), F.col("content")).alias("answer_new"),
+                                                                F.array().cast("array<string>").alias("references_new"))).alias("response"))
+    dec = resp.select("query_id", "doc_id", J.decode("response", "single_textual").alias("decoded"))
+    return RQ.altered_queries(q, dec, 3).select("query_id", "original_query_id", F.array_join("doc_ids", ",").alias("doc_ids"), F.md5("answer").alias("answer_md5"))
+
+
+def _altered(docs, run: str):
+    """Rows of the multi-textual job (prefix 4) whose response marks the run."""
+    resp = docs.select("doc_id", F.to_json(F.struct(F.concat("content", F.lit(f"\n[{run}]")).alias("text_new"))).alias("response"))
+    dec = resp.select("doc_id", J.decode("response", "text_new STRING").alias("decoded"))
+    return RQ.altered_documents(docs, dec, 4).withColumn("run", F.lit(run))
+
+
+@query("multi_altered_store", TD.ctes("docs") + f"""
+, m AS (SELECT doc_id, content, domain, CASE domain WHEN 'en' THEN 'first' WHEN 'de' THEN 'third' ELSE 'second' END AS run
+        FROM docs WHERE kind = 'multi_textual')
+SELECT {S.derived_id('doc_id', '4')} AS doc_id, doc_id AS original_doc_id, run, md5(content || chr(10) || '[' || run || ']') AS content_md5 FROM m""")
+def multi_altered_store(spark, d):
+    """Three runs into one store. The first writes one domain; the second, with ``skip``, leaves those rows and adds
+    the rest; the third, with ``override``, replaces another domain's rows."""
+    docs = TD.documents(spark, d).where(F.col("kind") == "multi_textual").select("doc_id", "domain", "content")
+    path = FS.scratch_path(spark, "multi")
+    FS.write_once(_altered(docs.where("domain = 'en'"), "first"), path)
+    stored = spark.read.parquet(path)
+    RQ.apply_on_exist(_altered(docs, "second"), stored, "doc_id", "skip").write.mode("append").parquet(path)
+    stored = spark.read.parquet(path)
+    new = RQ.apply_on_exist(_altered(docs.where("domain = 'de'"), "third"), stored, "doc_id", "override")
+    out = RS.id_anti(stored, new, "doc_id").unionByName(new)
+    return out.select("doc_id", F.get(F.col("original_doc_ids"), 0).alias("original_doc_id"), "run", F.md5("content").alias("content_md5"))
+
+
+@query("pair_check_resumed", TD.ctes("vecs") + _PAIRS_SQL + f"""
+, related AS (SELECT id1, id2, dist FROM allp WHERE dist > 0 AND dist <= {THRESHOLD}
+              AND id1 IN (SELECT doc_id FROM documents) AND id2 IN (SELECT doc_id FROM documents))
+SELECT id1, id2, model FROM related, (SELECT 'm1' AS model UNION ALL SELECT 'm2')
+WHERE NOT (model = 'm1' AND dist <= 0.7)""")
+def pair_check_resumed(spark, d):
+    """Requests of a resumed pair check; what model m1 has answered, stored in reverse order, isn't asked again."""
+    docs = TD.documents(spark, d)
+    pairs = materialize(P.related_pairs(TD.vectors(spark, d), "vec_id", "embedding", THRESHOLD))
+    done = pairs.where("dist <= 0.7").select(F.col("id2").alias("id1"), F.col("id1").alias("id2"), F.lit("m1").alias("model"))
+    reqs = RQ.pair_requests(pairs.select("id1", "id2"), docs, "comparison/check_for_contradictions", ("m1", "m2"), done)
+    return reqs.select("id1", "id2", "model")

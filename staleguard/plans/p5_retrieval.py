@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from staleguard.config import CONTEXT_DELIMITER
 from staleguard.functions import arrays as A
 from staleguard.functions import text as T
+from staleguard.operators import requests as RQ
 from staleguard.operators import retrieve as RT
 from staleguard.plans import sqlutil as S
 from staleguard.operators import textml as TM
@@ -165,15 +166,26 @@ SELECT mode, round(avg({S.bool_mean('c')}), 6) AS completeness, round(avg({S.boo
        round(1 - avg({S.bool_mean('c')}) - avg({S.bool_mean('h')}), 6) AS irrelevancy
 FROM cov GROUP BY mode""")
 def scorecard(spark, d):
-    """K11 over a response table derived per (query, mode): keypoint coverage and contradiction flags."""
+    """Per (query, mode) and metric a rendered request, a response, its decoded flags, and their means.
+
+    The responses (keypoint coverage and contradiction flags) are derived from the ids, so both engines agree.
+    """
     q = TD.queries(spark, d)
-    resp = q.select("query_id", F.size(F.split("content", r"\. ")).alias("n"),
-                    F.explode(F.array(F.lit("with_dq"), F.lit("without_dq"))).alias("mode"))
-    tag = F.when(F.col("mode") == "with_dq", F.lit(1)).otherwise(F.lit(2))
-    cov = resp.select("mode", A.coverage(F.col("query_id") * 10 + tag, F.col("n")).alias("c"),
-                      A.coverage(F.col("query_id") * 10 + tag + 5, F.col("n")).alias("h"))
-    g = cov.groupBy("mode").agg(F.avg(A.bool_mean("c")).alias("completeness"),
-                                F.avg(A.bool_mean("h")).alias("hallucination"))
+    asked = q.select("query_id", "content", F.split("content", r"\. ").alias("keypoints"),
+                     F.explode(F.array(F.lit("with_dq"), F.lit("without_dq"))).alias("mode"))
+    means = None
+    for metric, field, shift in (("completeness", "keypoint_coverage", 0), ("hallucination", "keypoint_contradiction", 5)):
+        system, user = PR.get(f"metrics/{metric}")
+        reqs = asked.select("query_id", "mode", F.size("keypoints").alias("n"), F.lit(system).alias("system_prompt"),
+                            T.render(user, question="content", keypoints=T.bullets("keypoints"), generated_answer="content").alias("user_prompt"),
+                            RQ.request_id("query_id", "mode", F.lit(metric)).alias("request_id"))
+        tag = F.when(F.col("mode") == "with_dq", F.lit(1)).otherwise(F.lit(2)) + F.lit(shift)
+        resp = reqs.select("request_id", F.to_json(F.struct(A.coverage(F.col("query_id") * 10 + tag, F.col("n")).alias(field))).alias("response"))
+        part = RQ.decode_responses(reqs, resp, metric).where(F.col("user_prompt").isNotNull()) \
+            .select("mode", F.lit(metric).alias("metric"), A.bool_mean(F.col("decoded")[field]).alias("mean"))
+        means = part if means is None else means.unionByName(part)
+    of = lambda m: F.avg(F.when(F.col("metric") == m, F.col("mean"))).alias(m)
+    g = means.groupBy("mode").agg(of("completeness"), of("hallucination"))
     return g.select("mode", r6("completeness").alias("completeness"), r6("hallucination").alias("hallucination"),
                     r6(F.lit(1.0) - F.col("completeness") - F.col("hallucination")).alias("irrelevancy"))
 

@@ -60,8 +60,7 @@ SELECT doc_id, domain, kind, (SELECT count(*) FROM docs) AS n_rows FROM docs ORD
 def table_preview(spark, d):
     """The first rows of a table with its row count."""
     docs = TD.documents(spark, d).select("doc_id", "domain", "kind")
-    total = docs.agg(F.count("*").alias("n_rows")).withColumn("_k", F.lit(1))
-    return docs.orderBy("doc_id").limit(PREVIEW).withColumn("_k", F.lit(1)).join(F.broadcast(total), "_k").drop("_k")
+    return docs.orderBy("doc_id").limit(PREVIEW).withColumn("n_rows", F.lit(docs.count()).cast("bigint"))
 
 
 @query("csv_subset", TD.ctes("queries") + """

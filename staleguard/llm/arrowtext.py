@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 SPACE_BYTES = (9, 10, 11, 12, 13, 32)  # the word separators \x20 \x09-\x0D
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 
 

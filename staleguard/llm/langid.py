@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from staleguard.llm.arrowtext import texts_of
 from staleguard.llm.linear import HashedNgrams, fit_logistic, labelled_sample, sigmoid
 
-PER_CLASS = 700
+PER_CLASS = 500
 MAX_LANGUAGES = 200
 AMBIGUOUS_BELOW = 0.7
 UNKNOWN = "und"
@@ -68,7 +68,7 @@ class LanguageModel:
 def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                   per_class: int = PER_CLASS) -> LanguageModel:
     """The model from the rows of ``docs`` with a language; rows with a null or empty text teach nothing."""
-    grams = HashedNgrams(char_orders=(1, 2, 3))
+    grams = HashedNgrams(char_orders=(1, 2, 3), bits=11)
     rows, _ = labelled_sample(docs, docs.filter(docs[text_col].isNotNull()), id_col, text_col, lang_col, per_class, MAX_LANGUAGES)
     rows = [r for r in rows if _letter.search(r[1])]
     languages = sorted({r[2] for r in rows})

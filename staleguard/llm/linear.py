@@ -52,8 +52,11 @@ class HashedNgrams:
                 yield a + i, self.matrix(part, own - own[0]), part, own - own[0]
 
     def all_rows(self, texts: list[str]) -> np.ndarray:
-        parts = [x for _, x, _, _ in self.blocks(pa.array(texts, pa.large_string()))]
-        return np.concatenate(parts) if parts else np.zeros((0, self.dims), np.float32)
+        """Features of all texts in one matrix that is filled block by block."""
+        out = np.zeros((len(texts), self.dims), np.float32)
+        for first, x, _, _ in self.blocks(pa.array(texts, pa.large_string())):
+            out[first:first + len(x)] = x
+        return out
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-4, steps: int = 150, rate: float = 0.3):

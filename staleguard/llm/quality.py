@@ -22,7 +22,7 @@ from staleguard.llm.linear import HashedNgrams, fit_logistic, fit_platt, labelle
 MIN_WORDS = 50
 MAX_REPEAT_SHARE = 50  # per cent of the words
 KEEP_AT = 0.5
-PER_CLASS = 1500
+PER_CLASS = 1000
 SYMBOLS = b"#*$%&|<>"
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -96,7 +96,7 @@ class QualityModel:
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 label_col: str = "quality", per_class: int = PER_CLASS) -> QualityModel:
     """The model from at most ``per_class`` labelled documents of each class (label 1: good)."""
-    grams = HashedNgrams(word_orders=(1, 2), char_orders=(3,))
+    grams = HashedNgrams(word_orders=(1, 2), char_orders=(3,), bits=11)
     rows, counts = labelled_sample(docs, labels, id_col, text_col, label_col, per_class)
     y = np.array([int(r[2]) for r in rows])
     if len(set(y.tolist())) < 2:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from staleguard.llm.arrowtext import byte_pieces, texts_of
 from staleguard.llm.linear import fit_logistic, labelled_sample, sigmoid
 
-PER_CLASS = 1500
+PER_CLASS = 1200
 WINDOW, STEP = 64, 32
 ORDINARY_BYTES = 32768
 STEM, LONGEST, RUN, TIMES = 4, 16, 4, 8
@@ -37,15 +37,19 @@ _word = re.compile(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
 
 def _prefixes(texts: list[bytes]) -> tuple[Counter, int]:
     """(number of distinct (previous word, word) pairs for every word prefix, pairs in all); copies of a text count once."""
-    pairs = set()
+    seen: set[int] = set()  # hashes of the pairs: a third of the memory
+    out: Counter = Counter()
     for t in texts:
-        words = _word.findall(t)
-        pairs.update(zip([b"", *words], words))
-    out = Counter()
-    for _, w in pairs:
-        for k in range(STEM, min(len(w), LONGEST) + 1):
-            out[w[:k]] += 1
-    return out, len(pairs)
+        before = b""
+        for m in _word.finditer(t):
+            w = m[0]
+            key = hash((before, w))
+            before = w
+            if key not in seen:
+                seen.add(key)
+                for k in range(STEM, min(len(w), LONGEST) + 1):
+                    out[w[:k]] += 1
+    return out, len(seen)
 
 
 def toxic_runs(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
@@ -160,8 +164,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     y = np.array([int(r[2]) for r in rows])
     if len(set(y.tolist())) < 2:
         return ToxicityModel()
-    texts = [r[1].encode("utf-8") for r in rows]
-    lower = [t.lower() for t in texts]
+    lower = [r[1].encode("utf-8").lower() for r in rows]
     pick = lambda want, fold: [t for k, t in enumerate(lower) if y[k] == want and (fold is None or k % 2 == fold)]
     seen = np.zeros((len(y), 4))
     for fold in (0, 1):

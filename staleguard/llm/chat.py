@@ -53,6 +53,13 @@ class ChatCodec:
         self.mark = {s: self.encoder.vocabulary + k for k, s in enumerate((TURN, BODY, END))}
         self.bytes_of = {i: bytes(value[c] for c in t) for t, i in self.encoder.tokenizer.get_vocab(with_added_tokens=False).items()}
         self.bytes_of |= {i: s.encode() for s, i in self.mark.items()}
+        self.size_of = np.zeros(max(self.bytes_of) + 1, np.int64)
+        for i, b in self.bytes_of.items():
+            self.size_of[i] = len(b)
+
+    def spell(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """(bytes of all ids, where each id's bytes start, and their end)."""
+        return b"".join(map(self.bytes_of.__getitem__, ids.tolist())), np.concatenate([[0], np.cumsum(self.size_of[ids])])
 
     def text(self, ids) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8")
@@ -95,12 +102,14 @@ def format_turns(df: DataFrame, tokenizer: str, conv_col: str = "conv_id", turn_
     return rows.mapInArrow(run, "conv long, turn long, ids array<int>, loss array<boolean>")
 
 
-def parse_turn(codec: ChatCodec, ids: np.ndarray) -> tuple[str, str]:
-    """(role, text) of one formatted turn."""
+def parse_turn(codec: ChatCodec, ids: np.ndarray, loss: np.ndarray) -> tuple[str, str, str, int]:
+    """(role, text, text under the loss mask, code points in all) of one formatted turn; its ids are spelled out once."""
     cut = int(np.flatnonzero(ids == codec.mark[BODY])[0])
     if ids[0] != codec.mark[TURN] or ids[-1] != codec.mark[END]:
         raise ValueError("not a formatted turn")
-    return unescape(codec.text(ids[1:cut])), unescape(codec.text(ids[cut + 1:-1]))
+    raw, at = codec.spell(ids)
+    learned = b"".join(raw[at[a]:at[b]] for a, b in zip(*np.flatnonzero(np.diff(loss, prepend=False, append=False)).reshape(-1, 2).T))
+    return (unescape(raw[at[1]:at[cut]].decode()), unescape(raw[at[cut + 1]:at[-2]].decode()), unescape(learned.decode()), len(raw.decode()))
 
 
 def conversation_digests(turns: DataFrame, tokenizer: str) -> DataFrame:
@@ -123,11 +132,10 @@ def conversation_digests(turns: DataFrame, tokenizer: str) -> DataFrame:
         for conv, own in itertools.groupby(rows(), key=lambda r: r[0]):
             all_turns, learned, n, chars, total = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
             for _, ids, loss in own:
-                role, text = parse_turn(codec, ids)
+                role, text, under, size = parse_turn(codec, ids, loss)
                 all_turns.update(f"{role}\n{text}\n".encode())
-                under = unescape(codec.text(ids[loss]))
                 learned.update(under.encode())
-                n, chars, total = n + 1, chars + len(under), total + len(codec.text(ids))
+                n, chars, total = n + 1, chars + len(under), total + size
             out.append((conv, n, all_turns.hexdigest(), chars, learned.hexdigest(), total))
             if len(out) >= 1000:
                 yield _digest_batch(out)

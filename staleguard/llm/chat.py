@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from staleguard.llm.arrowtext import texts_of
 from staleguard.llm.bpe import byte_letters
+from staleguard.llm.shared import text_batches
 from staleguard.llm.tokens import library_encoder
 
 TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>"
@@ -97,7 +98,7 @@ def format_turns(df: DataFrame, tokenizer: str, conv_col: str = "conv_id", turn_
                 [batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, pa.array(flat)),
                  pa.ListArray.from_arrays(offsets, pa.array(loss))], names=["conv", "turn", "ids", "loss"])
 
-    rows = df.select(F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn"),
+    rows = text_batches(df).select(F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn"),
                      F.col(role_col).alias("__role"), F.col(text_col).alias("__text"))
     return rows.mapInArrow(run, "conv long, turn long, ids array<int>, loss array<boolean>")
 

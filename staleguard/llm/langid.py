@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 
 from staleguard.llm.arrowtext import texts_of
 from staleguard.llm.linear import HashedNgrams, fit_logistic, labelled_sample, sigmoid
+from staleguard.llm.shared import text_batches
 
 PER_CLASS = 500
 MAX_LANGUAGES = 200
@@ -115,4 +116,4 @@ def identify_languages(df: DataFrame, model: LanguageModel, id_col: str = "doc_i
                                              names=[id_col, "lang_pred", "score", "ambiguous"])
 
     kind = df.select(id_col).schema[0].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, ambiguous boolean")
+    return text_batches(df).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, ambiguous boolean")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staleguard.llm.arrowtext import byte_pieces, mix, shingle_sets, texts_of
-from staleguard.llm.shared import components, written
+from staleguard.llm.shared import components, text_batches, written
 
 BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
@@ -93,7 +93,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(keys, pa.binary()), pa.array(bands, lists), pa.array(odd, lists)],
                                              names=["id", "n", "set_key", "bands", "odd"])
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = text_batches(df).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "id long, n long, set_key binary, bands array<long>, odd array<long>")
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from staleguard.llm.arrowtext import texts_of
+from staleguard.llm.shared import text_batches
 from staleguard.llm.tokens import library_encoder
 from staleguard.session import materialize
 
@@ -233,7 +234,7 @@ def token_pieces(df: DataFrame, id_col: str, text_col: str, tokenizer: str, end_
                 (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
                 names=["__id", "__order", "piece", "start", "length", "ids_crc32"])
 
-    return df.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).mapInArrow(run, PIECES)
+    return text_batches(df).select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).mapInArrow(run, PIECES)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS, groups: int = GROUPS) -> DataFrame:

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staleguard.llm.arrowtext import byte_pieces, texts_of, word_ranges
+from staleguard.llm.shared import text_batches
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 4000
@@ -309,7 +310,7 @@ def find_personal_data(df: DataFrame, field: Field, id_col: str = "doc_id", text
                 names=[id_col, "base_spans", "spans"])
 
     kind = df.select(id_col).schema[0].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, base_spans string, spans string")
+    return text_batches(df).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, base_spans string, spans string")
 
 
 def mask_personal_data(df: DataFrame, field: Field, text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
@@ -327,4 +328,4 @@ def mask_personal_data(df: DataFrame, field: Field, text_col: str = "text", size
                 columns[k] = pa.array(sizes, batch.schema.field(k).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return df.mapInArrow(run, df.schema)
+    return text_batches(df).mapInArrow(run, df.schema)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from staleguard.llm.arrowtext import (SPACE_BYTES, mix, range_hashes, row_of, texts_of, window_hashes,
                                       word_ranges)
 from staleguard.llm.linear import HashedNgrams, fit_logistic, fit_platt, labelled_sample, sigmoid
+from staleguard.llm.shared import text_batches
 
 MIN_WORDS = 50
 MAX_REPEAT_SHARE = 50  # per cent of the words
@@ -138,7 +139,7 @@ def score_quality(df: DataFrame, model: QualityModel, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v) for v in got.values())], names=[id_col, *got])
 
     kind = df.select(id_col).schema[0].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(
+    return text_batches(df).select(id_col, text_col).mapInArrow(
         run, f"`{id_col}` {kind}, {', '.join(f'{k} long' for k in STATISTICS)}, base_failed boolean, score double, kept boolean")
 
 
@@ -148,4 +149,4 @@ def keep_good(df: DataFrame, model: QualityModel, text_col: str = "text") -> Dat
         for batch in batches:
             yield batch.filter(pa.array(judge(texts_of(batch, text_col), model)["kept"]))
 
-    return df.mapInArrow(run, df.schema)
+    return text_batches(df).mapInArrow(run, df.schema)

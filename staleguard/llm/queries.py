@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staleguard.llm import bpe, chat, fingerprint, langid, neardup, packing, pii, quality, tokenfile, toxicity
+from staleguard.llm.shared import text_batches
 from staleguard.session import checkpoint_dir
 from staleguard.sources.tables import load
 
@@ -125,7 +126,7 @@ def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()),
                                               pa.array(out[2], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return text_batches(docs).mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 @query("op5_token_files")

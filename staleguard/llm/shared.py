@@ -11,6 +11,18 @@ from pyspark.sql import functions as F
 from staleguard.session import checkpoint_dir
 
 
+BATCH_ROWS = 1000
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df`` itself, with the session's Arrow batches held to ``BATCH_ROWS`` rows: whole texts are long, and a batch lies in
+    memory several times, in the JVM and in its Python worker."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def written(df: DataFrame, name: str = "part") -> DataFrame:
     """The rows as a Parquet table in the shared checkpoint folder, read back (lineage starts there)."""
     spark = df.sparkSession

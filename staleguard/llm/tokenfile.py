@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staleguard.llm.arrowtext import texts_of
+from staleguard.llm.shared import text_batches
 from staleguard.llm.tokens import library_encoder
 from staleguard.session import checkpoint_dir
 
@@ -87,7 +88,7 @@ def write_token_files(df: DataFrame, id_col: str, text_col: str, tokenizer: str,
                                           pa.array([kind])], names=["shard", "n_ids", "kind"])
 
     lowest = F.lit(-(1 << 63)).cast("long")
-    rows = df.select(F.coalesce(F.col(id_col).cast("long"), lowest).alias("__id"), F.col(text_col).alias("__text"))
+    rows = text_batches(df).select(F.coalesce(F.col(id_col).cast("long"), lowest).alias("__id"), F.col(text_col).alias("__text"))
     done = rows.repartitionByRange(shards, "__id").sortWithinPartitions("__id", "__text") \
         .mapInArrow(run, "shard string, n_ids long, kind string").collect()  # one row per shard
     done = sorted(r for r in done if r["n_ids"])

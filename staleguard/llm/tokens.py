@@ -16,7 +16,7 @@ import numpy as np
 
 #: Unicode white space, as the tokenizers' own patterns see it (fixed values).
 WHITE = "\t-\r \x85\xa0  -     　"
-CACHE_CHUNKS = 450_000
+CACHE_CHUNKS = 400_000
 TOGETHER = 200  # plain words that are encoded in one call
 PIECE_CHARS = 1 << 20
 

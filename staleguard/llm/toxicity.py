@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 
 from staleguard.llm.arrowtext import byte_pieces, texts_of
 from staleguard.llm.linear import fit_logistic, labelled_sample, sigmoid
+from staleguard.llm.shared import text_batches
 
 PER_CLASS = 1200
 WINDOW, STEP = 64, 32
@@ -185,7 +186,7 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id",
                                              names=[id_col, "score", "predicted"])
 
     kind = df.select(id_col).schema[0].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int")
+    return text_batches(df).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int")
 
 
 def keep_ordinary(df: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
@@ -194,4 +195,4 @@ def keep_ordinary(df: DataFrame, model: ToxicityModel, text_col: str = "text") -
         for batch in batches:
             yield batch.filter(pa.array(model.score(texts_of(batch, text_col)) < 0.5))
 
-    return df.mapInArrow(run, df.schema)
+    return text_batches(df).mapInArrow(run, df.schema)

@@ -1,9 +1,10 @@
 """Toxicity by compression distance: windows are compressed with a toxic and an ordinary zstandard dictionary (operator 7).
 
-The ordinary dictionary is trained on windows of ordinary text. The toxic dictionary holds the same content and, beside
-it, the runs of letters that toxic text has far more often: word stems whose log-likelihood ratio between the two
+The ordinary dictionary is trained on windows of ordinary text. The toxic dictionary is a lexicon, another method than a
+second trained dictionary (README has both methods' figures): the ordinary content and, before it, the runs of letters
+that toxic text has far more often: word stems whose log-likelihood ratio between the two
 classes exceeds that expected of the most extreme of as many chance stems, cut to the runs of four bytes that ordinary text
-lacks. A window that the toxic dictionary compresses further than the ordinary one speaks for toxicity. The greatest
+lacks. Where toxic text has no such stem, a dictionary trained on its windows takes the lexicon's place. A window that the toxic dictionary compresses further than the ordinary one speaks for toxicity. The greatest
 gain, the mean of the three greatest, the share of gain and the number of gaining windows are turned into a
 probability by a logistic regression that is fitted on documents that the dictionaries didn't see (two folds).
 
@@ -89,17 +90,26 @@ def toxic_runs(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     return [r for r, _ in sorted(runs.items(), key=lambda x: (x[1], x[0]))]
 
 
-def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
-    """(ordinary, toxic) dictionary contents."""
-    windows = [t[i:i + WINDOW] for t in ordinary for i in range(0, len(t), WINDOW)][:40 * ORDINARY_BYTES // WINDOW]
+def trained(texts: list[bytes]) -> bytes:
+    """The content of a dictionary trained on windows of the texts."""
+    windows = [t[i:i + WINDOW] for t in texts for i in range(0, len(t), WINDOW)][:40 * ORDINARY_BYTES // WINDOW]
     try:
-        base = zstandard.train_dictionary(ORDINARY_BYTES, windows).as_bytes()
+        return zstandard.train_dictionary(ORDINARY_BYTES, windows).as_bytes()
     except zstandard.ZstdError:  # too few samples to train on: their text itself
-        base = b" ".join(windows)[:ORDINARY_BYTES] or b"ordinary"
-    runs = toxic_runs(toxic, ordinary)
+        return b" ".join(windows)[:ORDINARY_BYTES] or b"ordinary"
+
+
+def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
+    """(ordinary, lexicon) dictionary contents; both are the same where toxic text has no stem of its own."""
+    base, runs = trained(ordinary), toxic_runs(toxic, ordinary)
     return base, (b"\0".join(runs) + b"\0" + base if runs else base)
 
 
+def trained_pair(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
+    """(ordinary, toxic) dictionary contents, each trained on its own class."""
+    return trained(ordinary), trained(toxic)
+
+
 @functools.lru_cache(maxsize=8)
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     how = zstandard.ZstdCompressionParameters(
@@ -167,14 +177,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         return ToxicityModel()
     lower = [r[1].encode("utf-8").lower() for r in rows]
     pick = lambda want, fold: [t for k, t in enumerate(lower) if y[k] == want and (fold is None or k % 2 == fold)]
+    make, final = dictionaries, dictionaries(pick(1, None), pick(0, None))
+    if final[0] == final[1]:
+        make, final = trained_pair, trained_pair(pick(1, None), pick(0, None))
     seen = np.zeros((len(y), 4))
     for fold in (0, 1):
-        base, toxic = dictionaries(pick(1, 1 - fold), pick(0, 1 - fold))
+        base, toxic = make(pick(1, 1 - fold), pick(0, 1 - fold))
         own = np.arange(len(y)) % 2 == fold
         seen[own] = evidence(pa.array([r[1] for k, r in enumerate(rows) if own[k]], pa.large_string()), base, toxic)
     share = np.array([counts.get(c, 1) / (y == c).sum() for c in (0, 1)])
     w, b = fit_logistic(seen.astype(np.float32), y, share[y], steps=400, rate=0.1)
-    return ToxicityModel(*dictionaries(pick(1, None), pick(0, None)), tuple(w[:, 0].astype(float)), float(b[0]))
+    return ToxicityModel(*final, tuple(w[:, 0].astype(float)), float(b[0]))
 
 
 def score_toxicity(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

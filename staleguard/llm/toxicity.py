@@ -8,7 +8,8 @@ lacks. Where toxic text has no such stem, a dictionary trained on its windows ta
 gain, the mean of the three greatest, the share of gain and the number of gaining windows are turned into a
 probability by a logistic regression that is fitted on documents that the dictionaries didn't see (two folds).
 
-Dictionaries are built on the driver from at most ``per_class`` labelled documents of each class (a documented bound).
+Dictionaries are built on the driver from at most ``per_class`` labelled documents of each class, and trained on at most
+40 * ORDINARY_BYTES bytes of windows, drawn evenly from all of them (documented bounds).
 All windows of whole texts are compressed in the tasks.
 """
 
@@ -90,9 +91,18 @@ def toxic_runs(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     return [r for r, _ in sorted(runs.items(), key=lambda x: (x[1], x[0]))]
 
 
+def spread_windows(texts: list[bytes], most: int) -> list[bytes]:
+    """About ``most`` windows: all of the short texts, and equally many of the others, spread evenly over each."""
+    counts = [-(-len(t) // WINDOW) for t in texts]
+    share = max(most // max(len(texts), 1), 1)
+    while share < max(counts, default=0) and sum(min(n, share + 1) for n in counts) <= most:
+        share += 1
+    return [t[i * WINDOW:(i + 1) * WINDOW] for t, n in zip(texts, counts) for i in (k * n // min(n, share) for k in range(min(n, share)))]
+
+
 def trained(texts: list[bytes]) -> bytes:
-    """The content of a dictionary trained on windows of the texts."""
-    windows = [t[i:i + WINDOW] for t in texts for i in range(0, len(t), WINDOW)][:40 * ORDINARY_BYTES // WINDOW]
+    """The content of a dictionary trained on windows of all the texts, at most 40 * ORDINARY_BYTES bytes of them."""
+    windows = spread_windows(texts, 40 * ORDINARY_BYTES // WINDOW)
     try:
         return zstandard.train_dictionary(ORDINARY_BYTES, windows).as_bytes()
     except zstandard.ZstdError:  # too few samples to train on: their text itself

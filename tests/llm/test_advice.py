@@ -17,3 +17,10 @@ def test_toxic_text_without_word_stems_is_learned(spark):
     got = toxicity.score_toxicity(df.filter("doc_id >= 160"), model).join(df, "doc_id").groupBy("toxic").agg(F.avg("predicted").alias("p"))
     share = {x["toxic"]: x["p"] for x in got.collect()}
     assert share[1] > 0.9 and share[0] < 0.1
+
+
+def test_dictionaries_learn_from_every_document():
+    texts = [b"x" * 5_000_000, *(f"{k} ".encode() * 500 for k in range(300, 500)), b"", b"short"]
+    got = toxicity.spread_windows(texts, 20480)
+    assert len(got) <= 20480 and all(any(f"{k} ".encode() in w for w in got) for k in range(300, 500)) and b"short" in got
+    assert sorted(toxicity.spread_windows(texts[1:], 20480)) == sorted(t[i:i + 64] for t in texts[1:] for i in range(0, len(t), 64))

@@ -6,11 +6,13 @@ with a digit or an at sign) with one of O, email, ip, card, phone. Its potential
 * words: a softmax regression on hashed features of the word's shape and its neighbours';
 * chain edges between adjacent such words;
 * skip edges from a word to the previous one of the same document with equal digits or letters, or with the same last
-  seven digits, however far apart.
+  seven digits, however far apart; and to the first such word inside a base span of each kind, so that every repeat gets
+  a base span's evidence over one edge.
 
 All three are fitted piecewise on a bounded sample of documents, whose base spans serve as labels; edge potentials are
 the smoothed log ratios of label pairs to independence. In a document the words of base spans are held at their
-label, and loopy sum-product messages carry it along the edges. Words that reach ``ADD_AT`` for a label are added as spans. All
+label, and loopy sum-product messages carry it along the edges until none of a document's changes by more than ``SETTLED``
+(documents whose loops don't settle in ``LIMIT`` rounds stop there). Words that reach ``ADD_AT`` for a label are added as spans. All
 other words are O by definition (the field is sparse, not cut off: every word with a digit or at sign has a node).
 """
 
@@ -34,7 +36,8 @@ SAMPLE = 4000
 ADD_AT = 0.95
 BITS = 13
 FEATURES = 8  # of each word
-ROUNDS = 8
+SETTLED = 1e-4
+LIMIT = 2000
 HELD = 12.0  # log odds that hold a base span's words at their label
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -140,6 +143,7 @@ class Nodes:
     features: np.ndarray
     chain: np.ndarray
     skip: np.ndarray
+    hub: np.ndarray  # skip edges to the first words of base spans that aren't also the previous words
 
 
 def nodes_of(col: pa.Array):
@@ -156,7 +160,7 @@ def nodes_of(col: pa.Array):
         word = lambda k: raw[starts[k]:ends[k]].decode("utf-8")  # noqa: B023,E731
         spans, feats, chain, skip, base = [[] for _ in range(b - a)], [], [], [], np.zeros(len(live), int)
         begin, stop = points[starts[live]] - points[offsets[row]], points[ends[live]] - points[offsets[row]]
-        latest: dict[tuple, int] = {}
+        groups: dict[tuple, list[int]] = {}
         for r in np.unique(row):
             spans[r] = base_spans(raw[offsets[r]:offsets[r + 1]].decode("utf-8"))
         for n, (k, r) in enumerate(zip(live, row)):
@@ -165,15 +169,20 @@ def nodes_of(col: pa.Array):
             if n and live[n - 1] == k - 1 and row[n - 1] == r:
                 chain.append((n - 1, n))
             for key in links(own):
-                if (before := latest.get((r, key))) is not None and (not skip or skip[-1] != (before, n)):
-                    skip.append((before, n))
-                latest[r, key] = n
+                same = groups.setdefault((r, key), [])
+                if same and (not skip or skip[-1] != (same[-1], n)):
+                    skip.append((same[-1], n))
+                same.append(n)
         for r in np.unique(row):
             lo, hi = np.searchsorted(row, [r, r + 1])
             for s, kind, e in reversed(spans[r]):  # words are in order and apart, so those inside a span are a range
                 base[lo + np.searchsorted(stop[lo:hi], s, "right"):lo + np.searchsorted(begin[lo:hi], e)] = kind + 1
+        hub, near = set(), set(skip)
+        for same in groups.values():
+            first_of = {base[n]: n for n in reversed(same) if base[n]}
+            hub.update((h, n) for h in first_of.values() for n in same if not base[n] and (h, n) not in near and (n, h) not in near)
         pairs = lambda x: np.array(x, np.int64).reshape(-1, 2)
-        yield a, b - a, spans, Nodes(row, begin, stop, base, np.array(feats, np.int64).reshape(-1, FEATURES), pairs(chain), pairs(skip))
+        yield a, b - a, spans, Nodes(row, begin, stop, base, np.array(feats, np.int64).reshape(-1, FEATURES), pairs(chain), pairs(skip), pairs(sorted(hub)))
 
 
 # --- the field -------------------------------------------------------------------------------------------------
@@ -186,21 +195,28 @@ class Field:
 
     def marginals(self, nodes: Nodes) -> np.ndarray:
         """Label probabilities of all nodes by loopy sum-product messages; base words are held."""
-        unary = self.weights[nodes.features].sum(axis=1)
-        unary[np.arange(len(unary)), nodes.base] += HELD * (nodes.base > 0)
-        edges = np.concatenate([nodes.chain, nodes.skip])
+        unary, held = self.weights[nodes.features].sum(axis=1), nodes.base > 0
+        unary[held] = HELD * np.eye(unary.shape[1])[nodes.base[held]]
+        skip = np.concatenate([nodes.skip, nodes.hub])
+        edges = np.concatenate([nodes.chain, skip])
         if len(edges):
             psi = np.concatenate([np.broadcast_to(self.chain, (len(nodes.chain), *self.chain.shape)),
-                                  np.broadcast_to(self.skip, (len(nodes.skip), *self.skip.shape))])
+                                  np.broadcast_to(self.skip, (len(skip), *self.skip.shape))])
             source, target = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
             psi = np.concatenate([psi, psi.transpose(0, 2, 1)])
             back = np.roll(np.arange(len(source)), len(edges))
             message = np.zeros((len(source), unary.shape[1]))
-            for _ in range(ROUNDS):
+            live, row = np.flatnonzero(~held[target]), nodes.row[target]  # nothing is sent to held words
+            for _ in range(LIMIT):
                 belief = unary.copy()
                 np.add.at(belief, target, message)
-                sent = _logsum((belief[source] - message[back])[:, :, None] + psi, axis=1)
-                message = 0.5 * message + 0.5 * (sent - _logsum(sent, axis=1)[:, None])
+                sent = _logsum((belief[source[live]] - message[back[live]])[:, :, None] + psi[live], axis=1)
+                step = 0.5 * (sent - _logsum(sent, axis=1)[:, None] - message[live])
+                message[live] += step
+                moving = np.unique(row[live[np.abs(step).max(axis=1) > SETTLED]])
+                if len(moving) == 0:
+                    break
+                live = live[np.isin(row[live], moving)]
             np.add.at(unary, target, message)
         return np.exp(unary - _logsum(unary, axis=1)[:, None])
 

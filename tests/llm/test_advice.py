@@ -2,9 +2,36 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from staleguard.llm import toxicity
+from staleguard.llm import pii, toxicity
+
+
+def test_each_of_fifty_repeats_gets_the_base_spans_evidence():
+    k = len(pii.KINDS) + 1
+    weights, even = np.zeros((1 << pii.BITS, k)), np.ones((k, k)) + 30 * np.eye(k)
+    field = pii.Field(weights, np.zeros((k, k)), np.log(even / even.mean()).clip(-3, 3))
+    text = "Call +1 (988) 555-2485 now. " + "some quiet words and 555.2485 again " * 50
+    col = pa.array([text, text[28:], "plain 17"], pa.large_string())
+    (_, _, _, nodes), = pii.nodes_of(col)
+    p = field.marginals(nodes)
+    own = np.flatnonzero((nodes.row == 0) & (nodes.base == 0))
+    assert len(own) == 50 and (p[own, 4] > pii.ADD_AT).all()
+    assert np.allclose(p[nodes.row > 0], 1 / k)  # without a base span nothing is told
+    (base, spans), *others = pii.spans_of(col, field)
+    assert len(spans) - len(base) == 50 and others == [([], []), ([], [])]
+
+
+def test_messages_are_passed_until_they_settle():
+    """A chain of unlike words: the evidence at its end is that of exact inference."""
+    k = len(pii.KINDS) + 1
+    weights, even = np.zeros((1 << pii.BITS, k)), np.ones((k, k)) + 60 * np.eye(k)
+    field = pii.Field(weights, np.log(even), np.zeros((k, k)))
+    (_, _, _, nodes), = pii.nodes_of(pa.array(["a@b.co " + " ".join(f"x{i}" for i in range(30))], pa.large_string()))
+    want = np.linalg.matrix_power(even / even.sum(axis=1), 30)[1]
+    assert np.allclose(field.marginals(nodes)[30], want, atol=0.01)
 
 
 def test_toxic_text_without_word_stems_is_learned(spark):

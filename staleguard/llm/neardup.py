@@ -265,9 +265,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """One document of each group, with all its columns: the one with the least id.
 
-    Rows with a null id are kept as they are; of rows that repeat an id one is kept.
+    Rows with a null id are kept as they are; of rows that repeat an id with the same text one is kept. Different texts
+    under one id are documents of their own and are merged only if they are near copies.
     """
-    kept = near_duplicates(df, id_col, text_col, k, num, den).filter("kept").select(F.col(id_col).alias("__kept"))
-    named = df.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return named.join(kept, F.col(id_col) == F.col("__kept"), "left_semi").select(*df.columns) \
-        .unionAll(df.filter(F.col(id_col).isNull()))
+    named, nameless = df.filter(F.col(id_col).isNotNull()), df.filter(F.col(id_col).isNull())
+    own, text = F.col(id_col).cast("long").alias("__id"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("__text")
+    torn = written(named.select(own, text).groupBy("__id").agg(F.min("__text").alias("__first"), F.max("__text").alias("__last"))
+                   .filter("__first != __last").select("__id", "__first"), "torn")
+    if torn.isEmpty():
+        kept = near_duplicates(df, id_col, text_col, k, num, den).filter("kept").select(F.col(id_col).alias("__kept"))
+        return named.dropDuplicates([id_col]).join(kept, F.col(id_col) == F.col("__kept"), "left_semi").select(*df.columns).unionAll(nameless)
+
+    # all but one text of such an id get a number above all ids
+    top = named.agg(F.max(own)).first()[0]
+    others = written(named.select(own, text).join(torn, "__id").filter("__text != __first").select("__id", "__text").distinct()
+                     .withColumn("__other", F.lit(top + 1) + F.monotonically_increasing_id()), "others")
+    keyed = named.select("*", own, text).join(others, ["__id", "__text"], "left").withColumn("__key", F.coalesce("__other", "__id"))
+    groups = near_duplicates(keyed.select("__key", text_col), "__key", text_col, k, num, den).select("__key", "component_id")
+    kept = groups.join(others.select(F.col("__other").alias("__key"), "__id"), "__key", "left") \
+        .groupBy("component_id").agg(F.min(F.struct(F.coalesce("__id", "__key"), F.col("__key").alias("__kept")))["__kept"].alias("__kept"))
+    return keyed.dropDuplicates(["__key"]).join(kept, F.col("__key") == F.col("__kept"), "left_semi").select(*df.columns).unionAll(nameless)

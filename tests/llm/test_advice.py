@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from staleguard.llm import pii, toxicity
+from staleguard.llm import neardup, pii, toxicity
 
 
 def test_each_of_fifty_repeats_gets_the_base_spans_evidence():
@@ -51,3 +51,10 @@ def test_dictionaries_learn_from_every_document():
     got = toxicity.spread_windows(texts, 20480)
     assert len(got) <= 20480 and all(any(f"{k} ".encode() in w for w in got) for k in range(300, 500)) and b"short" in got
     assert sorted(toxicity.spread_windows(texts[1:], 20480)) == sorted(t[i:i + 64] for t in texts[1:] for i in range(0, len(t), 64))
+
+
+def test_different_texts_under_one_id_are_all_kept(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "xyz")
+    rows = [(3, one), (3, one), (3, two), (3, two + " more"), (5, two), (7, three), (9, one), (9, None), (None, one)]
+    got = [tuple(r) for r in neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) in [sorted([(3, one), (3, t), (7, three), (9, None), (None, one)], key=str) for t in (two, two + " more")]

@@ -21,6 +21,41 @@ def test_oracle_keys_subset_of_queries():
     assert len(E.queries()) >= 70
 
 
+BARE = """
+import sys
+class Hidden:
+    def find_spec(self, name, path=None, target=None):
+        if name.split(".")[0] in {hidden!r}:
+            raise ModuleNotFoundError(f"No module named {{name!r}}", name=name)
+sys.meta_path.insert(0, Hidden())
+import glob, zipfile
+glob.glob = zipfile.ZipFile = None  # no look at installed files
+import warnings
+warnings.simplefilter("ignore")
+import __spark_entry__ as E
+q, s = E.queries(), E.oracle_sql()
+assert "tfidf" in q and "tfidf" in s and set(s) <= set(q)
+assert "pyspark.core.context" not in sys.modules or sys.modules["pyspark.core.context"].SparkContext._active_spark_context is None
+"""
+
+
+@pytest.mark.parametrize("hidden", [(), ("zstandard",), ("tokenizers",), ("public_tokenizers",), ("regex",)])
+def test_registry_needs_no_session_no_jar_and_no_extra(hidden):
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.abspath(E.__file__))
+    got = subprocess.run([sys.executable, "-c", BARE.format(hidden=hidden)], cwd=root, capture_output=True, text=True)
+    assert got.returncode == 0, got.stderr
+
+
+def test_stop_words_are_sparks(spark):
+    from pyspark.ml.feature import StopWordsRemover
+
+    from staleguard.config import ENGLISH_STOP_WORDS
+    assert ENGLISH_STOP_WORDS == StopWordsRemover.loadDefaultStopWords("english")
+
+
 @pytest.fixture(scope="module")
 def duck():
     import duckdb

@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staleguard.llm import bpe, chat, fingerprint, langid, neardup, packing, pii, quality, tokenfile, toxicity
+from staleguard.llm import bpe, chat, fingerprint, langid, neardup, packing, pii, quality, runs, tokenfile, toxicity
 from staleguard.llm.shared import text_batches
 from staleguard.session import checkpoint_dir
 from staleguard.sources.tables import load
@@ -193,3 +193,26 @@ def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter(F.split("base_spans", ","), lambda s: s != "")
     number = lambda kind: F.size(F.filter(base, lambda s: s.startswith(f"{kind}:"))).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *map(number, pii.KINDS), F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+def with_planted_tail(docs: DataFrame) -> DataFrame:
+    """The texts of ids whose crc32 is divisible by 10 with their words from some place on made periodic; the others as they are."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    split = docs.select("doc_id", "text", g.alias("g"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("w"))
+    n = F.size("w")
+    placed = split.select("doc_id", "text", "w", F.when(n > 0, F.struct(
+        (F.col("g") % n).alias("a"), (1 + F.floor((n - F.col("g") % n) / (3 + F.col("g") % 8))).alias("p"))).alias("tail"))
+    a, p = F.col("tail.a"), F.col("tail.p")
+    again = F.transform("w", lambda w, i: F.when(i < a, w).otherwise(F.element_at("w", (a + (i - a) % p + 1).cast("int"))))
+    return placed.select("doc_id", F.when(F.col("tail").isNotNull(), F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_periodic_runs")
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(with_planted_tail(load(spark, sf_dir, "documents", "doc_id", "text")), "doc_id", "text")
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    top = found.withColumn("top", runs.strongest(F.col("runs")))
+    return top.select(F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period",
+                      F.floor(1000 * F.col("top.length") / F.col("top.period")).alias("exponent_milli"),
+                      F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))

@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staleguard.llm import bpe, chat, fingerprint, langid, neardup, packing, pii, quality, runs, tokenfile, toxicity
+from staleguard.llm import bpe, chat, fingerprint, langid, neardup, packing, pii, quality, runs, tokenfile, toxicity, warc
 from staleguard.llm.shared import text_batches
 from staleguard.session import checkpoint_dir
 from staleguard.sources.tables import load
@@ -195,6 +195,24 @@ def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(number, pii.KINDS), F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+PAYLOAD_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+held AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS holder FROM p),
+said AS (SELECT *, payload_bytes >= 1000 AND page_id IS DISTINCT FROM holder AS again FROM held)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN holder END AS refers_to FROM said
+"""
+
+
+@query("op11_capture_index", PAYLOAD_SQL)
+def capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives and index are written, every page is looked up in the index by its URL and id, and its record read."""
+    pages = load(spark, sf_dir, "pages", "page_id", "url", "html")
+    folder = warc.write_index(warc.write_archives(pages, "page_id", "url", "html"))
+    records = warc.read_records(warc.lookup(warc.keys_of(pages, "page_id", "url"), folder))
+    return records.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to")
+
+
 def with_planted_tail(docs: DataFrame) -> DataFrame:
     """The texts of ids whose crc32 is divisible by 10 with their words from some place on made periodic; the others as they are."""
     h = F.crc32(F.col("doc_id").cast("string"))

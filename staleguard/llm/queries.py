@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staleguard.llm import bpe, chat, fingerprint, langid, neardup, packing, pii, quality, runs, tokenfile, toxicity, warc
+from staleguard.llm import bpe, chat, fingerprint, langid, neardup, packing, pii, quality, runs, tokenfile, toxicity, warc, whitening
 from staleguard.llm.shared import text_batches
 from staleguard.session import checkpoint_dir
 from staleguard.sources.tables import load
@@ -213,6 +213,12 @@ def capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to")
 
 
+@query("op12_whitening")
+def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return whitening.whiten(rows, "vec_id", "embedding", whitening.fit_whitening(rows, "embedding"))
+
+
 def with_planted_tail(docs: DataFrame) -> DataFrame:
     """The texts of ids whose crc32 is divisible by 10 with their words from some place on made periodic; the others as they are."""
     h = F.crc32(F.col("doc_id").cast("string"))

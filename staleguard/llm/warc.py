@@ -36,6 +36,8 @@ from staleguard.session import checkpoint_dir
 
 SMALLEST = 1000  # bytes from which equal payloads are stored once
 BLOCK_LINES = 1024
+FILE_LINES = 50_000  # captures in an index file, about
+READ_BYTES = 16 << 20  # of archive that a task reads back, about
 BROADCAST_GROUPS = 50_000  # groups of equal payloads (about 60 bytes each) that are broadcast at most
 HOT_SHARE = 1000  # a group with a thousandth of all rows is hot; there are at most so many
 CAPTURE = "key string, kind string, digest string, file string, offset long, length long"
@@ -211,11 +213,12 @@ def write_archives(df: DataFrame, id_col: str, url_col: str, html_col: str, fold
 def write_index(captures: DataFrame, folder: str | None = None, block_lines: int = BLOCK_LINES, shards: int | None = None) -> str:
     """Sorts the captures by key, writes blocks and directories, a file of each per key range, and the list of files; returns the folder.
 
+    ``shards`` is the number of key ranges, by default one for ``FILE_LINES`` captures.
     A key that many captures share may fill many blocks and files. No captures give an empty list.
     """
     spark = captures.sparkSession
     folder = folder or new_folder(spark, "capture-index")
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or 1 + captures.count() // FILE_LINES
 
     def run(batches):
         name = f"{folder}/{uuid.uuid4().hex}"
@@ -290,7 +293,7 @@ def find(files: list[tuple[bytes, bytes, str]], prefix: bytes):
 def lookup(keys: DataFrame, folder: str, key_col: str = "key") -> DataFrame:
     """The captures (``CAPTURE``) of every distinct key or prefix in ``keys``; null and unknown keys have none.
 
-    Keys are sorted first, so that a task's searches fall on the same few blocks.
+    Keys are sorted first, in as many ranges as there are files, so that a task's searches fall on the same few blocks.
     """
     files = index_files(folder)
 
@@ -302,7 +305,7 @@ def lookup(keys: DataFrame, folder: str, key_col: str = "key") -> DataFrame:
                                              names=["key", "kind", "digest", "file", "offset", "length"])
 
     wanted = keys.select(F.col(key_col).alias("key")).filter("key IS NOT NULL").distinct()
-    return wanted.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(run, CAPTURE)
+    return wanted.repartitionByRange(max(1, len(files)), "key").sortWithinPartitions("key").mapInArrow(run, CAPTURE)
 
 
 def keys_of(df: DataFrame, id_col: str, url_col: str) -> DataFrame:
@@ -327,5 +330,7 @@ def read_records(captures: DataFrame, payloads: bool = False) -> DataFrame:
             got = [parse_record(_range(file, offset, length)) for file, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in got], kinds[t]) for n, t in fields], names=[n for n, _ in fields])
 
-    places = captures.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    found = written(captures.select("file", "offset", "length"), "places")
+    tasks = 1 + (found.agg(F.sum("length")).first()[0] or 0) // READ_BYTES
+    places = found.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return text_batches(places).mapInArrow(run, ", ".join(f"{n} {t}" for n, t in fields))

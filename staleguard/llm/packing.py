@@ -218,9 +218,9 @@ def token_pieces(df: DataFrame, id_col: str, text_col: str, tokenizer: str, end_
     def run(batches):
         for batch in batches:
             encoder = library_encoder(tokenizer)
-            ids, texts = batch.column(0).to_pylist(), texts_of(batch, batch.schema.names[1]).to_pylist()
+            ids, texts = batch.column(0).to_pylist(), texts_of(batch, "__text")
             rows = []
-            for k, (doc, raw) in enumerate(zip(ids, encoder.encode(texts), strict=True)):
+            for k, (doc, raw) in enumerate(zip(ids, encoder.encode_column(texts), strict=True)):
                 raw += end
                 n = len(raw) // 4
                 first = n % capacity or min(n, capacity)

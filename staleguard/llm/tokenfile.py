@@ -2,8 +2,8 @@
 
 A dataset is a folder of shards in ascending id order. ``shard-00000.bin`` holds the ids of its documents one after
 another as flat little-endian unsigned integers of 16 or 32 bits, as the vocabulary asks; ``shard-00000.idx`` holds 64-bit
-integers: the number n of documents, then n document ids, then n + 1 offsets in ids from the shard's start. The shards'
-bases, the ids of all documents before each shard, are prefix sums of their sizes and lie in ``bases.idx``.
+integers: the number n of documents and how many of the first have no id, then n document ids, then n + 1 offsets in ids from
+the shard's start. The shards' bases, the ids of all documents before each shard, are prefix sums of their sizes and lie in ``bases.idx``.
 
 Every range of document ids is written by the task that holds it, under a name of its own that is then renamed, so a
 task that runs again, or twice, leaves the same whole shard. The folder must be a path that the driver and all executors
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staleguard.llm.arrowtext import texts_of
-from staleguard.llm.shared import text_batches
+from staleguard.llm.shared import text_batches, written
 from staleguard.llm.tokens import library_encoder
 from staleguard.session import checkpoint_dir
 
@@ -57,39 +57,47 @@ def write_token_files(df: DataFrame, id_col: str, text_col: str, tokenizer: str,
                       shards: int | None = None) -> str:
     """Encodes whole texts, appends ``end_id`` to each, writes the shards; returns the folder.
 
-    Documents lie in ascending order of id (null ids first, as the least 64-bit integer; equal ids in order of their
-    text). A null text is empty: it has the end id alone. An empty table gives a folder with no shards.
+    Texts are encoded where they are read; only their ids are kept and dealt out by ranges of document ids. Documents lie in
+    ascending order of id (null ids first; equal ids in order of their token ids' bytes). A null text is empty: it has the end id alone. An empty table gives a folder with no shards.
     """
     spark = df.sparkSession
     folder = folder or new_folder(spark)
     os.makedirs(folder, exist_ok=True)
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def run(batches):
-        from pyspark import TaskContext
+    def encode(batches):
         encoder = library_encoder(tokenizer)
         kind = id_type(max(encoder.vocabulary, end_id + 1))
         end = int(end_id).to_bytes(4, "little")
+        for batch in batches:
+            raw = [np.frombuffer(ids + end, "<u4").astype(kind).tobytes() for ids in encoder.encode_column(texts_of(batch, "__text"))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary()), pa.array([kind] * len(raw), pa.string())], names=["id", "ids", "kind"])
+
+    def run(batches):
+        from pyspark import TaskContext
         name = os.path.join(folder, f"shard-{TaskContext.get().partitionId():05d}")
-        ids, sizes = [], []
+        ids, sizes, kinds = [], [], set()
 
         def write(f):
             for batch in batches:
                 ids.extend(batch.column(0).to_pylist())
-                for raw in encoder.encode(texts_of(batch, "__text").to_pylist()):
-                    f.write(np.frombuffer(raw + end, "<u4").astype(kind).tobytes())
-                    sizes.append(len(raw) // 4 + 1)
+                kinds.update(batch.column(2).unique().to_pylist())
+                for raw in batch.column(1):
+                    f.write(raw.as_buffer())
+                    sizes.append(raw.as_buffer().size)
 
         _into_place(write, f"{name}.bin")
-        starts = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-        head = np.concatenate([[len(ids)], ids, starts]).astype("<i8") if ids else np.array([0, 0], "<i8")
+        kind = kinds.pop() if kinds else "<u2"
+        starts = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]) // int(kind[2])
+        nulls = ids.count(None)  # they come first
+        head = np.concatenate([[len(ids), nulls], np.array([i or 0 for i in ids], np.int64), starts]).astype("<i8")
         _into_place(lambda f: f.write(head.tobytes()), f"{name}.idx")
         yield pa.RecordBatch.from_arrays([pa.array([f"{os.path.basename(name)}"]), pa.array([int(starts[-1])], pa.int64()),
                                           pa.array([kind])], names=["shard", "n_ids", "kind"])
 
-    lowest = F.lit(-(1 << 63)).cast("long")
-    rows = text_batches(df).select(F.coalesce(F.col(id_col).cast("long"), lowest).alias("__id"), F.col(text_col).alias("__text"))
-    done = rows.repartitionByRange(shards, "__id").sortWithinPartitions("__id", "__text") \
+    rows = text_batches(df).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("__text"))
+    encoded = written(rows.mapInArrow(encode, "id long, ids binary, kind string"), "token-ids")
+    done = encoded.repartitionByRange(shards, "id").sortWithinPartitions("id", "ids") \
         .mapInArrow(run, "shard string, n_ids long, kind string").collect()  # one row per shard
     done = sorted(r for r in done if r["n_ids"])
     bases = np.concatenate([[0], np.cumsum([r["n_ids"] for r in done], dtype=np.int64)]).astype("<i8")
@@ -99,10 +107,10 @@ def write_token_files(df: DataFrame, id_col: str, text_col: str, tokenizer: str,
 
 
 def read_shard(folder: str, shard: str, kind: str):
-    """(document ids, offsets, ids) of a shard, the ids as a memory map."""
+    """(document ids, offsets, ids) of a shard: the document ids as an Arrow array, the ids as a memory map."""
     head = np.fromfile(os.path.join(folder, f"{shard}.idx"), "<i8")
-    n = int(head[0])
-    return head[1:n + 1], head[n + 1:], np.memmap(os.path.join(folder, f"{shard}.bin"), kind, "r")
+    n, nulls = int(head[0]), int(head[1])
+    return pa.array(head[2:n + 2], mask=np.arange(n) < nulls), head[n + 2:], np.memmap(os.path.join(folder, f"{shard}.bin"), kind, "r")
 
 
 def shard_list(folder: str) -> list[tuple[str, str, int]]:
@@ -114,7 +122,7 @@ def shard_list(folder: str) -> list[tuple[str, str, int]]:
 
 
 def read_token_files(spark: SparkSession, folder: str, summarise, schema: str) -> DataFrame:
-    """Rows of ``summarise(document ids, starts in the whole set, sizes, iterator of id arrays)``, a RecordBatch per shard.
+    """Rows of ``summarise(document ids (Arrow), starts in the whole set, sizes, iterator of id arrays)``, a RecordBatch per shard.
 
     One task per shard; each maps its shard's file and touches one document at a time.
     """

@@ -1,7 +1,7 @@
-"""Token ids by the tokenizers library, a distinct white-space chunk at a time.
+"""Token ids by the tokenizers library, a distinct word at a time.
 
-The pre-tokenizers of the two supported kinds never look across the chunk borders used here, so the ids of a
-text are those of its chunks, and every chunk that comes again is taken from a bounded cache. Texts that hold
+The pre-tokenizers of the two supported kinds never look across the borders used here (``wordtable.units``), so the ids of a
+text are those of its stretches, and every stretch that comes again is taken from a bounded table. Texts that hold
 one of the tokenizer's special strings, and tokenizers of any other kind, are encoded whole.
 """
 
@@ -13,16 +13,17 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
+
+from staleguard.llm.arrowtext import byte_pieces
+from staleguard.llm.wordtable import LETTER, LONGEST, WordTable, classes, keys_of, units
 
 #: Unicode white space, as the tokenizers' own patterns see it (fixed values).
 WHITE = "\t-\r \x85\xa0  -     　"
 CACHE_CHUNKS = 400_000
+TABLE_WORDS = 700_000
 TOGETHER = 200  # plain words that are encoded in one call
-PIECE_CHARS = 1 << 20
 
-_plain = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-#: A word of plain letters and what punctuation follows it; both are pre-tokens of their own.
-_worded = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|*&%$#]*)")
 _odd = re.compile("[\x1c-\x1f]")
 _solid = re.compile(f"[^{WHITE}]+")
 _spaced = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
@@ -80,7 +81,7 @@ def chunker_for(spec: dict):
 class LibraryEncoder:
     """ids of whole texts, as ``encode(text, add_special_tokens=False)`` gives them, as little-endian uint32 bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, table_size: int = TABLE_WORDS):
         from tokenizers import Tokenizer
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -89,73 +90,116 @@ class LibraryEncoder:
         self.tokenizer.no_padding()
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.specials = [t["content"] for t in spec.get("added_tokens", [])]
-        self.chunks = chunker_for(spec)
-        self.cache = ChunkCache()
+        chunks = chunker_for(spec)
+        self.known, self.spaced = chunks is not None, chunks is spaced_chunks
+        self.table = WordTable(table_size)
         self.newline = self.tokenizer.token_to_id("\u010a")
         #: Tokens that end (white_chunks) or start (spaced_chunks) a plain word.
         self.border = np.zeros(self.vocabulary, bool)
         suffix = spec["model"].get("end_of_word_suffix") or "\0"
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
-            self.border[i] = token.endswith(suffix) if self.chunks is white_chunks else token.startswith("\u0120")
+            self.border[i] = token.startswith("\u0120") if self.spaced else token.endswith(suffix)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _chunks(self, new: list[str]):
-        """(chunk, ids) of every chunk, and of the words inside chunks with punctuation after a word."""
-        parted = {c: m for c in new if (m := _worded.fullmatch(c))}
-        words = {m[1] for m in parted.values()}.difference(new).difference(self.cache)
-        tails = {m[2] for m in parted.values()}
-        known = dict(self._words([w for w in (*words, *new) if w not in parted or not parted[w][2]]))
-        known.update(zip(tails, self._library(list(tails)), strict=True))
-        for c, m in parted.items():
-            if m[2]:
-                word = known.get(m[1])
-                known[c] = (self.cache[m[1]] if word is None else word) + known[m[2]]
-        tails.difference_update(new)
-        return ((c, ids) for c, ids in known.items() if c not in tails)
-
-    def _words(self, new: list[str]):
-        """(chunk, ids) of every chunk. Words of plain letters are one pre-token each, so many go into one call."""
-        leads = (" ", "") if self.chunks is spaced_chunks else ("",)
-        plain = [[c for c in new if c[:1].isspace() == bool(lead) and _plain.fullmatch(c, len(lead))] for lead in leads]
-        yield from zip(rest := list(set(new).difference(*plain)), self._library(rest), strict=True)
-        for lead, words in zip(leads, plain):
-            between = "" if lead else " " if self.chunks is white_chunks else "\n"
-            groups = [words[i:i + TOGETHER] for i in range(0, len(words), TOGETHER)]
-            found = self.tokenizer.encode_batch_fast([between.join(g) for g in groups], add_special_tokens=False)
-            for group, e in zip(groups, found, strict=True):
-                ids = np.array(e.ids, "<u4")
-                if between == "\n":
-                    stops = np.append(np.flatnonzero(ids == self.newline), len(ids))
-                    begins = np.append(0, stops[:-1] + 1)
-                else:
-                    cut = np.flatnonzero(self.border[ids])
-                    begins, stops = (cut, np.append(cut[1:], len(ids))) if lead else (np.append(0, cut[:-1] + 1), cut + 1)
-                if len(begins) != len(group):  # a vocabulary without such borders
-                    yield from zip(group, self._library(group), strict=True)
-                    continue
-                raw = ids.tobytes()
-                yield from ((c, raw[4 * a:4 * b]) for c, a, b in zip(group, begins.tolist(), stops.tolist()))
-
-    def _piece(self, texts: list[str]) -> list[bytes]:
-        if self.chunks is None:
-            return self._library(texts)
-        parts = [None if any(s in t for s in self.specials) else self.chunks(t) for t in texts]
-        self.cache.trim()
-        new = self.cache.unknown(c for p in parts if p for c in p)
-        self.cache.update(self._chunks(new))
-        take = self.cache.__getitem__
-        return [self._library([t])[0] if p is None else b"".join(map(take, p)) for t, p in zip(texts, parts, strict=True)]
+    def _plain_words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, led: bool) -> tuple[np.ndarray, np.ndarray] | None:
+        """(ids of all, counts) of words of plain letters, each with the space before it where ``led``.
+
+        Each is a pre-token of its own, so many go into one call; None where the vocabulary doesn't show their borders.
+        """
+        between = b"" if led else b"\n" if self.spaced else b" "
+        sizes = ends - starts + len(between)
+        stops = np.cumsum(sizes)
+        raw = data[np.minimum(np.arange(stops[-1]) + np.repeat(starts - stops + sizes, sizes), len(data) - 1)]
+        if between:
+            raw[stops - 1] = between[0]
+        cuts = [0, *stops[TOGETHER - 1:-1:TOGETHER].tolist(), int(stops[-1])]
+        whole = raw.tobytes()
+        found = self.tokenizer.encode_batch_fast([whole[a:b - len(between)].decode() for a, b in zip(cuts, cuts[1:])], add_special_tokens=False)
+        flat, counts = [], []
+        for k, e in enumerate(found):
+            ids = np.array(e.ids, np.uint32)
+            if between == b"\n":
+                line = np.flatnonzero(ids == self.newline)
+                flat.append(np.delete(ids, line))
+                counts.append(np.diff(np.concatenate([[-1], line, [len(ids)]])) - 1)
+            else:
+                edge = np.flatnonzero(self.border[ids])
+                flat.append(ids)
+                counts.append(np.diff(np.append(edge, len(ids))) if led else np.diff(np.append(-1, edge)))
+            if len(counts[-1]) != min(TOGETHER, len(starts) - k * TOGETHER) or counts[-1].sum() != len(flat[-1]):
+                return None
+        return np.concatenate(flat), np.concatenate(counts)
+
+    def _learn(self, data: np.ndarray, starts, ends, keys, heads, sizes, missing: np.ndarray) -> None:
+        """Adds the missing stretches to the table, each once."""
+        at = missing[np.unique(keys[missing], return_index=True)[1]]
+        letters = np.concatenate([[0], np.cumsum(classes(data)[0] == LETTER)])
+        led = (data[starts[at]] == 32) & self.spaced
+        plain = letters[ends[at]] - letters[starts[at]] == sizes[at] - led
+        for own, space in ((at[plain & led], True), (at[plain & ~led], False)):
+            got = self._plain_words(data, starts[own], ends[own], space) if len(own) else None
+            if got:
+                self.table.add(keys[own], heads[own], sizes[own], *got)
+            else:
+                plain[np.isin(at, own)] = False
+        rest = at[~plain]
+        if len(rest):
+            raw = data.tobytes()
+            ids = self._library([raw[a:b].decode() for a, b in zip(starts[rest].tolist(), ends[rest].tolist())])
+            self.table.add(keys[rest], heads[rest], sizes[rest], np.frombuffer(b"".join(ids), "<u4"), np.array([len(b) >> 2 for b in ids]))
+
+    def _piece(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        rows = len(offsets) - 1
+        raw = data.tobytes()
+        if not self.known:
+            return self._library([raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())])
+        starts, ends = units(data, offsets, self.spaced, self.spaced)
+        keys, heads, sizes = keys_of(data, starts, ends)
+        self.table.trim()
+        entry = self.table.find(keys, heads, sizes)
+        fits = sizes <= LONGEST
+        missing = np.flatnonzero((entry < 0) & fits)
+        if len(missing):
+            self._learn(data, starts, ends, keys, heads, sizes, missing)
+            entry[missing] = self.table.find(keys[missing], heads[missing], sizes[missing])
+        flat, stops = self.table.gather(np.where(entry < 0, 0, entry)) if self.table.size else (np.zeros(0, np.uint32), np.zeros(len(entry), np.int64))
+        begins = np.concatenate([[0], stops])
+        first = np.searchsorted(starts, offsets)
+        cuts, ids = begins[first].tolist(), flat.astype("<u4").tobytes()
+        out = [ids[4 * a:4 * b] for a, b in zip(cuts, cuts[1:])]
+        lost = entry < 0  # long stretches, and one that shares its hash with another
+        again = set((np.searchsorted(first, np.flatnonzero(lost), side="right") - 1).tolist())
+        for r in again:
+            out[r] = self._row_with_long_stretches(raw, starts, ends, entry, range(first[r], first[r + 1]))
+        special = [s.encode() for s in self.specials]
+        if any(s in raw for s in special):
+            for r in range(rows):
+                text = raw[offsets[r]:offsets[r + 1]]
+                if any(s in text for s in special):
+                    out[r] = self._library([text.decode()])[0]
+        return out
+
+    def _row_with_long_stretches(self, raw: bytes, starts, ends, entry, own: range) -> bytes:
+        at = np.arange(own.start, own.stop)
+        lost = at[entry[at] < 0]
+        texts = [raw[starts[i]:ends[i]].decode() for i in lost]
+        found = dict(zip(distinct := list(set(texts)), self._library(distinct), strict=True))
+        parts, a = [], own.start
+        for i, text in zip(lost.tolist(), texts):
+            parts += [self.table.gather(entry[a:i])[0].astype("<u4").tobytes(), found[text]]
+            a = i + 1
+        return b"".join([*parts, self.table.gather(entry[a:own.stop])[0].astype("<u4").tobytes()])
+
+    def encode_column(self, col: pa.Array):
+        """Yields the id bytes of each text of a null-free large_string array, working on about a million bytes at a time."""
+        for _, _, data, offsets in byte_pieces(col):
+            yield from self._piece(data, offsets)
 
     def encode(self, texts: list[str]):
-        """Yields the id bytes of each text in order, working on about a million characters at a time."""
-        start = size = 0
-        for i, t in enumerate(texts):
-            size += len(t)
-            if size >= PIECE_CHARS or i == len(texts) - 1:
-                yield from self._piece(texts[start:i + 1])
-                start, size = i + 1, 0
+        """Yields the id bytes of each text in order."""
+        return self.encode_column(pa.array(texts, pa.large_string()))
 
 
 @functools.lru_cache(maxsize=2)

@@ -39,6 +39,25 @@ def test_chunked_encoding_is_the_librarys(path):
     assert [numbers(b) for b in tokens.LibraryEncoder(path).encode(texts)] == library(path, texts)
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_a_small_table_forgets_and_learns_again(path):
+    r = random.Random(8)
+    letters = LETTERS + "19<|×÷ÿ\u2009-_"
+    texts = ["".join(r.choice(letters) for _ in range(r.randrange(0, 300))) for _ in range(2000)] + ["q" * 70 + " x", "x " + "é" * 40, "\xa0" * 80 + "a"]
+    own = tokens.LibraryEncoder(path, table_size=300)
+    for _ in range(2):
+        assert [numbers(b) for b in own.encode(texts)] == library(path, texts)
+        own.table.trim()
+        assert own.table.size <= 300
+
+
+def test_words_that_share_a_hash_keep_their_own_ids(monkeypatch):
+    whole = tokens.keys_of
+    monkeypatch.setattr(tokens, "keys_of", lambda *a: ((whole(*a)[0] % np.uint64(7)) + np.uint64(1), *whole(*a)[1:]))
+    texts = ["one two three four five six seven eight nine ten", "ten nine eight", "one two"]
+    assert [numbers(b) for b in tokens.LibraryEncoder(WORD).encode(texts)] == library(WORD, texts)
+
+
 def test_cache_stays_bounded_and_keeps_what_is_used():
     cache = tokens.ChunkCache(limit=10)
     for k in range(100):
@@ -76,7 +95,7 @@ def read_all(spark, folder):
     def rows(ids, starts, sizes, arrays):
         crc = [zlib.crc32(np.asarray(a).astype("<u4").tobytes()) for a in arrays]
         return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(starts), pa.array(sizes), pa.array(crc, pa.int64())], names=["id", "start", "n", "crc"])
-    return sorted(tuple(r) for r in tokenfile.read_token_files(spark, folder, rows, "id long, start long, n long, crc long").collect())
+    return sorted((tuple(r) for r in tokenfile.read_token_files(spark, folder, rows, "id long, start long, n long, crc long").collect()), key=lambda r: r[1])
 
 
 def test_token_files_round_trip(spark, tmp_path):
@@ -96,7 +115,9 @@ def test_token_files_round_trip(spark, tmp_path):
 def test_token_files_of_ties_nulls_and_nothing(spark, tmp_path):
     df = spark.createDataFrame([(5, "b"), (5, "a"), (5, "a"), (None, "c")], "id long, text string")
     got = read_all(spark, tokenfile.write_token_files(df, "id", "text", WORD, 2, str(tmp_path / "ties"), shards=3))
-    assert [r[0] for r in got] == [-(1 << 63), 5, 5, 5] and sorted(r[1] for r in got) == [0, 2, 4, 6]
+    assert sorted((r[0] for r in got), key=str) == [5, 5, 5, None] and sorted(r[1] for r in got) == [0, 2, 4, 6]
+    least = spark.createDataFrame([(-(1 << 63), "b"), (None, "c")], "id long, text string")
+    assert [r[:2] for r in read_all(spark, tokenfile.write_token_files(least, "id", "text", WORD, 2, str(tmp_path / "least"), shards=1))] == [(None, 0), (-(1 << 63), 2)]
     assert read_all(spark, tokenfile.write_token_files(df.limit(0), "id", "text", WORD, 2, str(tmp_path / "none"))) == []
 
 

@@ -51,48 +51,38 @@ def distance_recall(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                    F.try_divide(F.lit(2.0) * F.count("found"), F.sum("nd").cast("double")).alias("avg_comparisons"))
 
 
-def _grid_index(dist, grid):
-    e = None
-    for i, t in enumerate(grid):
-        cond = dist <= F.lit(float(t))
-        e = F.when(cond, F.lit(i)) if e is None else e.when(cond, F.lit(i))
-    return e
-
-
 def threshold_sweep(docs: DataFrame, vecs: DataFrame, grid: list[float], target: float = 0.99,
                     metric: str = "cosine", id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """Recall and comparisons for every threshold of ``grid`` in one pass.
+    """Recall and comparisons for the thresholds of ``grid`` up to the first whose recall reaches ``target`` (``selected``).
 
-    The lineage links get their own distances by two joins; all other pairs are only counted, per grid index and inside
-    their distance block, so no pair is ever a row. The tiny per-index sums are added up along the grid. ``selected``
-    marks the first threshold whose recall reaches ``target`` (the sweep's stopping point).
+    Two phases. The lineage links get their own distances by two joins, which fixes every recall and so the level at which the
+    sweep stops (the last of the grid, if none reaches the target). Only then all other pairs are counted, per level and
+    inside their distance block, in a join with that level as its radius: no pair is a row, and none beyond it is looked for.
     """
     spark = docs.sparkSession
-    zero = F.lit(0).cast("bigint")
-    links = P.link_distances(lineage_links(docs), vecs, id_col, vec_col, metric) \
-        .select(F.when(F.col("dist") > 0, _grid_index(F.col("dist"), grid)).alias("gi"), F.lit(1).cast("bigint").alias("nl"),
-                _not_tabular("doc_id").cast("bigint").alias("nlt"), zero.alias("np"), zero.alias("nd"))
-    counts = P.level_counts(vecs, id_col, vec_col, grid, metric) \
-        .select("gi", zero.alias("nl"), zero.alias("nlt"), "np", zero.alias("nd"))
-    size = docs.select(F.lit(None).cast("int").alias("gi"), zero.alias("nl"), zero.alias("nlt"), zero.alias("np"), F.lit(1).cast("bigint").alias("nd"))
-    # one zero row per grid index so every threshold appears in the report
-    g = spark.range(len(grid)).select(F.col("id").cast("int").alias("gi"), *[zero.alias(c) for c in ("nl", "nlt", "np", "nd")])
-    per = links.unionByName(counts).unionByName(size).unionByName(g).groupBy("gi").agg(*[F.sum(c).alias(c) for c in ("nl", "nlt", "np", "nd")])
+    levels = [float(t) for t in grid]
+    links = P.link_distances(lineage_links(docs), vecs, id_col, vec_col, metric)
+    at = F.when(F.col("dist") > 0, F.expr(f"array_position(transform(array({', '.join(map(repr, levels))}), t -> dist <= t), true)") - 1)
+    per = {r["gi"]: r for r in links.select(at.alias("gi"), _not_tabular("doc_id").cast("bigint").alias("nt"))
+           .groupBy("gi").agg(F.count("*").alias("n"), F.sum("nt").alias("nt")).collect()}  # at most a row per level, and two for the rest
+    n, nt = sum(r["n"] for r in per.values()), sum(r["nt"] for r in per.values())
+    rows, got, got_nt = [], 0, 0
+    for i, t in enumerate(levels):
+        got, got_nt = got + (per[i]["n"] if i in per else 0), got_nt + (per[i]["nt"] if i in per else 0)
+        done = n > 0 and got / n >= target
+        rows.append((i, t, got / n if n else None, got_nt / nt if nt else None, done))
+        if done:
+            break
+    counts = P.level_counts(vecs, id_col, vec_col, levels[:len(rows)], metric).select("gi", "np", F.lit(0).cast("bigint").alias("nd"))
+    size = docs.select(F.lit(None).cast("int").alias("gi"), F.lit(0).cast("bigint").alias("np"), F.lit(1).cast("bigint").alias("nd"))
+    steps = spark.createDataFrame(rows, "gi int, threshold double, recall double, recall_without_tabular double, selected boolean")
+    added = counts.unionByName(size).unionByName(steps.select("gi", F.lit(0).cast("bigint").alias("np"), F.lit(0).cast("bigint").alias("nd"))) \
+        .groupBy("gi").agg(F.sum("np").alias("np"), F.sum("nd").alias("nd"))
     everything = Window.partitionBy(F.lit(0))  # at most len(grid) + 1 rows
-    per = per.select("gi", "nl", "nlt", "np",
-                     F.sum("nl").over(everything).alias("tl"), F.sum("nlt").over(everything).alias("tlt"),
-                     F.sum("nd").over(everything).alias("td"))
-    cum = Window.partitionBy(F.lit(0)).orderBy("gi").rowsBetween(Window.unboundedPreceding, 0)
-    thr = None
-    for i, t in enumerate(grid):
-        thr = F.when(F.col("gi") == i, F.lit(float(t))) if thr is None else thr.when(F.col("gi") == i, F.lit(float(t)))
-    rows = per.where(F.col("gi").isNotNull()).select(
-        "gi", thr.alias("threshold"),
-        (F.sum("nl").over(cum) / F.col("tl")).alias("recall"),
-        (F.sum("nlt").over(cum) / F.col("tlt")).alias("recall_without_tabular"),
-        (F.lit(2.0) * F.sum("np").over(cum) / F.col("td")).alias("avg_comparisons"))
-    first = F.min(F.when(F.col("recall") >= F.lit(target), F.col("gi"))).over(Window.partitionBy(F.lit(0)))
-    return rows.withColumn("selected", F.coalesce(F.col("gi") == first, F.lit(False))).drop("gi")
+    run = everything.orderBy("gi").rowsBetween(Window.unboundedPreceding, 0)
+    summed = added.select("gi", F.try_divide(F.lit(2.0) * F.sum("np").over(run), F.sum("nd").over(everything).cast("double")).alias("avg_comparisons"))
+    return steps.join(F.broadcast(summed.where("gi IS NOT NULL")), "gi") \
+        .select("threshold", "recall", "recall_without_tabular", "avg_comparisons", "selected")
 
 
 def cluster_recall(docs: DataFrame, cluster_col: str, id_col: str = "doc_id",

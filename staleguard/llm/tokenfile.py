@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staleguard.llm.arrowtext import texts_of
-from staleguard.llm.shared import text_batches, written
+from staleguard.llm.shared import text_batches
 from staleguard.llm.tokens import library_encoder
 from staleguard.session import checkpoint_dir
 
@@ -57,7 +57,7 @@ def write_token_files(df: DataFrame, id_col: str, text_col: str, tokenizer: str,
                       shards: int | None = None) -> str:
     """Encodes whole texts, appends ``end_id`` to each, writes the shards; returns the folder.
 
-    Texts are encoded where they are read; only their ids are kept and dealt out by ranges of document ids. Documents lie in
+    Texts are encoded where they are read; only their ids are kept and dealt out by ranges of document ids (approximate quantiles). Documents lie in
     ascending order of id (null ids first; equal ids in order of their token ids' bytes). A null text is empty: it has the end id alone. An empty table gives a folder with no shards.
     """
     spark = df.sparkSession
@@ -65,13 +65,20 @@ def write_token_files(df: DataFrame, id_col: str, text_col: str, tokenizer: str,
     os.makedirs(folder, exist_ok=True)
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
+    rows = text_batches(df).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("__text"))
+    cuts = rows.agg(F.percentile_approx("id", [k / shards for k in range(1, shards)], 10_000)).first()[0] if shards > 1 else []
+    cuts = np.array(cuts or [], np.int64)  # one document id per shard
+
     def encode(batches):
         encoder = library_encoder(tokenizer)
         kind = id_type(max(encoder.vocabulary, end_id + 1))
         end = int(end_id).to_bytes(4, "little")
         for batch in batches:
             raw = [np.frombuffer(ids + end, "<u4").astype(kind).tobytes() for ids in encoder.encode_column(texts_of(batch, "__text"))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary()), pa.array([kind] * len(raw), pa.string())], names=["id", "ids", "kind"])
+            ids = batch.column(0)
+            shard = np.where(ids.is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(cuts, ids.fill_null(0).to_numpy()))
+            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), ids, pa.array(raw, pa.binary()), pa.array([kind] * len(raw), pa.string())],
+                                             names=["shard", "id", "ids", "kind"])
 
     def run(batches):
         from pyspark import TaskContext
@@ -80,9 +87,9 @@ def write_token_files(df: DataFrame, id_col: str, text_col: str, tokenizer: str,
 
         def write(f):
             for batch in batches:
-                ids.extend(batch.column(0).to_pylist())
-                kinds.update(batch.column(2).unique().to_pylist())
-                for raw in batch.column(1):
+                ids.extend(batch.column(1).to_pylist())
+                kinds.update(batch.column(3).unique().to_pylist())
+                for raw in batch.column(2):
                     f.write(raw.as_buffer())
                     sizes.append(raw.as_buffer().size)
 
@@ -95,10 +102,8 @@ def write_token_files(df: DataFrame, id_col: str, text_col: str, tokenizer: str,
         yield pa.RecordBatch.from_arrays([pa.array([f"{os.path.basename(name)}"]), pa.array([int(starts[-1])], pa.int64()),
                                           pa.array([kind])], names=["shard", "n_ids", "kind"])
 
-    rows = text_batches(df).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("__text"))
-    encoded = written(rows.mapInArrow(encode, "id long, ids binary, kind string"), "token-ids")
-    done = encoded.repartitionByRange(shards, "id").sortWithinPartitions("id", "ids") \
-        .mapInArrow(run, "shard string, n_ids long, kind string").collect()  # one row per shard
+    done = rows.mapInArrow(encode, "shard int, id long, ids binary, kind string").repartitionById(shards, F.col("shard")) \
+        .sortWithinPartitions("id", "ids").mapInArrow(run, "shard string, n_ids long, kind string").collect()  # one row per shard
     done = sorted(r for r in done if r["n_ids"])
     bases = np.concatenate([[0], np.cumsum([r["n_ids"] for r in done], dtype=np.int64)]).astype("<i8")
     _into_place(lambda f: f.write(bases.tobytes()), os.path.join(folder, "bases.idx"))

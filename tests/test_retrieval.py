@@ -48,7 +48,7 @@ def test_lexical_topk_matches_brute_force(spark):
 def test_nmf_and_lsa_shapes(spark):
     rows = [(d, f"t{t}", float(1 + (d * t) % 3)) for d in range(12) for t in range(8) if (d + t) % 3]
     w = spark.createDataFrame(rows, "doc_id long, term string, weight double")
-    W = {r.doc_id: r.w for r in TM.nmf(w, 3, iterations=5).collect()}
+    W = {r.doc_id: r.w for r in TM.nmf(w, 3, updates=5).collect()}
     assert len(W) == 12 and all(len(v) == 3 and min(v) >= 0 for v in W.values())
     L = {r.doc_id: r.vec for r in TM.lsa(w, 2, oversample=3, power_iterations=1).collect()}
     A = np.zeros((12, 8))

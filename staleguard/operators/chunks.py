@@ -17,25 +17,40 @@ from staleguard.operators.windows import sequential_offsets
 
 # --- native fixed-window chunks ---------------------------------------------
 
+def _chunk_count(text_col: str, size: int, overlap: int):
+    n = F.length(text_col)
+    return F.when(n <= size, F.lit(1)).otherwise(F.ceil((n - size) / F.lit(size - overlap)).cast("int") + 1)
+
+
 def fixed_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "content",
-                 size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
+                 size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, first_id: str | None = None) -> DataFrame:
     """Windows of ``size`` characters every ``size - overlap`` characters, JVM-only.
 
-    (doc_id, pos, text); the last window ends at or after the end of the text.
+    (doc_id, pos, text); the last window ends at or after the end of the text. With ``first_id``, a column of ``docs``, also chunk_id.
     """
-    step = size - overlap
-    n = F.length(text_col)
-    n_chunks = F.when(n <= size, F.lit(1)).otherwise(F.ceil((n - size) / F.lit(step)).cast("int") + 1)
-    ex = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"),
-                     F.posexplode(F.sequence(F.lit(0), n_chunks - 1)).alias("pos", "_i"))
-    return ex.select("doc_id", "pos", F.substring("_t", F.col("pos") * step + 1, size).alias("text"))
+    ids = [F.col(first_id).alias("_o")] if first_id else []
+    ex = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"), *ids,
+                     F.posexplode(F.sequence(F.lit(0), _chunk_count(text_col, size, overlap) - 1)).alias("pos", "_i"))
+    named = [(F.col("_o") + F.col("pos")).alias("chunk_id")] if first_id else []
+    return ex.select("doc_id", "pos", F.substring("_t", F.col("pos") * (size - overlap) + 1, size).alias("text"), *named)
 
 
-def with_chunk_ids(chunks: DataFrame) -> DataFrame:
-    """Global sequential ``chunk_id`` in (doc_id, pos) order without a global window."""
-    per_doc = chunks.groupBy("doc_id").agg(F.count("*").alias("_n"))
-    off = sequential_offsets(per_doc, "doc_id", "_n").select("doc_id", "offset")
-    return chunks.join(off, "doc_id").withColumn("chunk_id", F.col("offset") + F.col("pos")).drop("offset")
+BROADCAST_DOCS = 1_000_000  # documents whose offsets (16 bytes each) are broadcast at most
+
+
+def numbered_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "content",
+                    size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
+    """``fixed_chunks`` with a global sequential ``chunk_id`` in (doc_id, pos) order (E3), for unique document ids that aren't null.
+
+    A text's length gives its number of chunks, so the offsets are running sums over (id, number) rows alone. They meet the
+    documents before the chunks are made: by broadcast, or beyond ``BROADCAST_DOCS`` in a join on the id that moves each
+    text once; no chunk is shuffled.
+    """
+    counts = docs.select(F.col(id_col).alias("_d"), _chunk_count(text_col, size, overlap).alias("_n")).where("_n IS NOT NULL")
+    offsets = sequential_offsets(counts, "_d", "_n").select("_d", F.col("offset").alias("_first"))
+    if docs.count() <= BROADCAST_DOCS:
+        offsets = F.broadcast(offsets)
+    return fixed_chunks(docs.join(offsets, docs[id_col] == F.col("_d")), id_col, text_col, size, overlap, "_first")
 
 
 # --- recursive character splitter (per-row helper, Arrow batches) -----------

@@ -42,7 +42,7 @@ FLAGS_SQL = f"""
 
 def chunk_table(spark, d):
     docs = TD.documents(spark, d)
-    return CH.with_chunk_ids(CH.fixed_chunks(docs))
+    return CH.numbered_chunks(docs)
 
 
 def conflict_table(spark, d):

@@ -8,6 +8,7 @@ from staleguard.plans.p4_chunks import CHUNKS_SQL, chunk_table
 from staleguard.plans.registry import query
 from staleguard.sources import files as FS
 from staleguard.sources import testdata as TD
+from staleguard.sources.store import Store
 
 
 @query("csv_roundtrip", TD.ctes("queries") + """
@@ -39,9 +40,8 @@ SELECT doc_id, count(*) AS n_chunks FROM ch GROUP BY doc_id""")
 def append_resume(spark, d):
     """Create-only write of the chunk table, then two resumable appends that add nothing new."""
     ch = FS.chunk_table_for_store(chunk_table(spark, d))
-    path = FS.scratch_path(spark, "chunks")
-    FS.write_once(ch, path)
-    FS.append_new(ch, path, ["chunk_id"])
-    FS.append_new(ch, path, ["chunk_id"])
-    back = spark.read.parquet(path)
-    return back.groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
+    store = Store(spark, FS.scratch_path(spark, "chunks"), ("chunk_id",))
+    store.create(ch)
+    store.append(ch)
+    store.append(ch)
+    return store.read().groupBy("doc_id").agg(F.count("*").alias("n_chunks"))

@@ -24,6 +24,7 @@ from staleguard.session import materialize
 from staleguard.sources import files as FS
 from staleguard.sources import prompts as PR
 from staleguard.sources import testdata as TD
+from staleguard.sources.store import Store
 
 SELECTORS = ("all", "original_only", "manipulated_only")
 
@@ -242,13 +243,11 @@ def multi_altered_store(spark, d):
     """Three runs into one store. The first writes one domain; the second, with ``skip``, leaves those rows and adds
     the rest; the third, with ``override``, replaces another domain's rows."""
     docs = TD.documents(spark, d).where(F.col("kind") == "multi_textual").select("doc_id", "domain", "content")
-    path = FS.scratch_path(spark, "multi")
-    FS.write_once(_altered(docs.where("domain = 'en'"), "first"), path)
-    stored = spark.read.parquet(path)
-    RQ.apply_on_exist(_altered(docs, "second"), stored, "doc_id", "skip").write.mode("append").parquet(path)
-    stored = spark.read.parquet(path)
-    new = RQ.apply_on_exist(_altered(docs.where("domain = 'de'"), "third"), stored, "doc_id", "override")
-    out = RS.id_anti(stored, new, "doc_id").unionByName(new)
+    store = Store(spark, FS.scratch_path(spark, "multi"), ("doc_id",))
+    store.create(_altered(docs.where("domain = 'en'"), "first"))
+    store.append(_altered(docs, "second"), "skip")
+    store.append(_altered(docs.where("domain = 'de'"), "third"), "override")
+    out = store.read()
     return out.select("doc_id", F.get(F.col("original_doc_ids"), 0).alias("original_doc_id"), "run", F.md5("content").alias("content_md5"))
 
 

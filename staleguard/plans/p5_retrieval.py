@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from staleguard.config import CONTEXT_DELIMITER
 from staleguard.functions import arrays as A
 from staleguard.functions import text as T
+from staleguard.operators import nearest as NN
+from staleguard.operators import pairs as P
 from staleguard.operators import requests as RQ
 from staleguard.operators import retrieve as RT
 from staleguard.plans import sqlutil as S
 from staleguard.operators import textml as TM
-from staleguard.operators import windows as W
 from staleguard.plans.p4_chunks import CHUNKS_SQL, FLAGS_SQL, chunk_table, flagged_chunks
 from staleguard.plans.registry import query, r6
 from staleguard.sources import prompts as PR
@@ -74,9 +75,9 @@ _BASE = CHUNKS_SQL + FLAGS_SQL + f"""
 , modes AS (SELECT 'with_dq' AS mode UNION ALL SELECT 'without_dq')"""
 
 
-def _sql(body: str) -> str:
+def _sql(body: str, base: str = _BASE) -> str:
     head = TD.ctes("docs", "docs_lin", "conflicts", "queries")
-    return head.replace("WITH ", "WITH RECURSIVE ", 1) + _BASE + body
+    return head.replace("WITH ", "WITH RECURSIVE ", 1) + base + body
 
 
 @query("newer_closure", _sql("""
@@ -194,7 +195,7 @@ _DIMS = 64
 _WORDS = "regexp_extract_all(lower({}), '([\\p{{L}}\\p{{N}}_][\\p{{L}}\\p{{N}}_]+)', 1)"
 
 
-@query("topk_chunks_vector", TD.ctes("docs", "queries") + CHUNKS_SQL + f"""
+_NEAREST_SQL = f"""
 , cb AS (SELECT chunk_id, CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % {_DIMS} AS b, count(*) AS n
          FROM (SELECT chunk_id, unnest({_WORDS.format('text')}) AS t FROM ch) GROUP BY 1, 2)
 , qb AS (SELECT query_id, CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % {_DIMS} AS b, count(*) AS n
@@ -205,11 +206,40 @@ _WORDS = "regexp_extract_all(lower({}), '([\\p{{L}}\\p{{N}}_][\\p{{L}}\\p{{N}}_]
 , dist AS (SELECT q.query_id, c.chunk_id, round(least(greatest(1.0 - coalesce(dot / (qn.nrm * cn.nrm), 0.0), 0.0), 2.0), 9) AS dist
            FROM queries q CROSS JOIN ch c LEFT JOIN dots d ON d.query_id = q.query_id AND d.chunk_id = c.chunk_id
            LEFT JOIN qn ON qn.query_id = q.query_id LEFT JOIN cn ON cn.chunk_id = c.chunk_id)
-SELECT query_id, chunk_id, rank, round(dist, 6) AS dist FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, chunk_id) AS rank FROM dist) WHERE rank <= {K}""")
+, near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, chunk_id) AS rank FROM dist) WHERE rank <= {K})"""
+
+
+def nearest_chunks(spark, d, chunks):
+    """(query_id, id, dist, rank): the ``K`` nearest chunks of every query by the cosine distance of their text vectors."""
+    vectors = materialize(TM.md5_text_vectors(chunks, "chunk_id", "text", _DIMS))
+    balls = P.deal_out(vectors, "chunk_id", "vec", balls=-(-vectors.count() // NN.CORPUS_BALL) or 1)
+    return NN.nearest(balls, TM.md5_text_vectors(TD.queries(spark, d), "query_id", "content", _DIMS), K)
+
+
+@query("topk_chunks_vector", TD.ctes("docs", "queries") + CHUNKS_SQL + _NEAREST_SQL + """
+SELECT query_id, chunk_id, rank, round(dist, 6) AS dist FROM near""")
 def topk_chunks_vector(spark, d):
     """K3 / F1: the nearest chunks of every query by the cosine distance of their text vectors."""
-    chunks = TM.md5_text_vectors(chunk_table(spark, d), "chunk_id", "text", _DIMS)
-    wanted = TM.md5_text_vectors(TD.queries(spark, d), "query_id", "content", _DIMS)
-    got = W.topk_nearest(chunks, "chunk_id", "vec", wanted, K)
+    got = nearest_chunks(spark, d, chunk_table(spark, d))
     return got.select("query_id", F.col("id").alias("chunk_id"), F.col("rank").cast("bigint").alias("rank"), r6("dist").alias("dist"))
+
+
+# the same context job with the top-k of the vectors in place of the lexical one
+_VECTOR_BASE = CHUNKS_SQL + _NEAREST_SQL + FLAGS_SQL + _BASE[len(CHUNKS_SQL + FLAGS_SQL):_BASE.index(", qt AS")] \
+    + "\n, top AS (SELECT query_id, chunk_id, rank FROM near)\n" + _BASE[_BASE.index(", edges AS"):]
+
+
+@query("retrieve_context_vector", _sql(f"""
+SELECT mode, query_id, count(*) AS n_chunks,
+       md5(string_agg(text, {S.lit(CONTEXT_DELIMITER)} ORDER BY position)) AS context_md5
+FROM ctx GROUP BY mode, query_id""", _VECTOR_BASE))
+def retrieve_context_vector(spark, d):
+    """K3: chunks retrieved by vector, with the quality step (closure to newer chunks, newest first) and without."""
+    ch = _chunks(spark, d).transform(materialize)
+    top = materialize(nearest_chunks(spark, d, ch).select("query_id", "rank", F.col("id").alias("chunk_id"), F.lit(0.0).alias("score")))
+    out = None
+    for name, dq in MODES:
+        part = RT.context_strings(RT.contexts_from_top(top, ch, dq)).select(
+            F.lit(name).alias("mode"), "query_id", F.col("n_chunks").cast("bigint").alias("n_chunks"), F.md5("context").alias("context_md5"))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -115,6 +115,27 @@ def tabular_documents(rows: DataFrame, domain_ids: DataFrame) -> DataFrame:
     return g.join(F.broadcast(domain_ids), "domain", "left")
 
 
+def single_alteration_requests(mapping: DataFrame, docs: DataFrame, queries: DataFrame, prompt_name: str, prefix: int,
+                               done_docs: DataFrame | None = None, done_queries: DataFrame | None = None) -> DataFrame:
+    """Front half of the single-textual and single-tabular jobs (K5, K6): a rendered request per (doc_id, query_id) of ``mapping``.
+
+    ``docs``: doc_id, content, entity; ``queries``: query_id, question, answer, references. The templates take what they name of
+    text, question, answer, references (as a JSON list) and entity. Pairs whose altered document or query (the id with ``prefix``)
+    is in ``done_docs`` (doc_id) or ``done_queries`` (query_id) aren't asked again; either table may be absent.
+    """
+    system, user = PR.get(prompt_name)
+    asked = mapping.select("doc_id", "query_id", T.derived_id("doc_id", prefix).alias("new_doc_id"), T.derived_id("query_id", prefix).alias("new_query_id"))
+    if done_docs is not None:
+        asked = asked.join(done_docs.select(F.col("doc_id").alias("new_doc_id")), "new_doc_id", "left_anti")
+    if done_queries is not None:
+        asked = asked.join(done_queries.select(F.col("query_id").alias("new_query_id")), "new_query_id", "left_anti")
+    full = asked.join(docs.select("doc_id", F.col("content").alias("text"), "entity"), "doc_id") \
+        .join(queries.select("query_id", "question", "answer", F.to_json("references").alias("references")), "query_id")
+    return full.select("doc_id", "query_id", "new_doc_id", "new_query_id", F.lit(prompt_name).alias("prompt_name"), F.lit(system).alias("system_prompt"),
+                       T.render(user, text="text", question="question", answer="answer", references="references", entity="entity").alias("user_prompt"),
+                       request_id("doc_id", "query_id", F.lit(prompt_name)).alias("request_id"))
+
+
 def multi_textual_requests(docs: DataFrame, qa: DataFrame, entity_col: str = "entity") -> DataFrame:
     """K7 front half: per document its QA pairs (H8, ordered by query id), numbered (H7) and rendered.
 

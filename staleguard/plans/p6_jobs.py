@@ -218,3 +218,38 @@ def manipulate_textual_queries(spark, d):
     return new.select("query_id", "original_query_id", F.array_join("doc_ids", ",").alias("doc_ids"),
                       F.md5("answer").alias("answer_md5"), F.size("references").alias("n_references"),
                       F.size("keypoints").alias("n_keypoints"))
+
+
+_ENTITY_SQL = ("coalesce(coalesce(nullif(w.hospital_patient_name, ''), nullif(w.court_name, ''), nullif(w.company_name, '')), '')")
+
+
+def _requests_sql(prompt: str, prefix: int) -> str:
+    user = PR.get(prompt)[1]
+    new_doc, new_query = S.derived_id("m.doc_id", str(prefix)), S.derived_id("m.query_id_textual_manipulation", str(prefix))
+    shown = S.render(user, text="w.content", question="q.content", answer="q.content", references='to_json(q."references")', entity=_ENTITY_SQL)
+    return TD.ctes("docs", "queries") + _WIDE_SQL + MAPPING_SQL + f"""
+SELECT m.doc_id, m.query_id_textual_manipulation AS query_id, {new_doc} AS new_doc_id, md5({shown}) AS prompt_md5
+FROM mapping m JOIN wide w USING (doc_id) JOIN queries q ON q.query_id = m.query_id_textual_manipulation
+WHERE m.doc_id % 7 <> 0 AND m.query_id_textual_manipulation % 5 <> 0"""
+
+
+def _alteration_requests(spark, d, prompt: str, prefix: int):
+    m = doc_query_mapping(spark, d).select("doc_id", F.col("query_id_textual_manipulation").alias("query_id"))
+    docs = _wide_docs(spark, d).select("doc_id", "content", T.first_entity("hospital_patient_name", "court_name", "company_name").alias("entity"))
+    q = TD.queries(spark, d).select("query_id", F.col("content").alias("question"), F.col("content").alias("answer"), "references")
+    stored = m.select(T.derived_id("doc_id", prefix).alias("doc_id")).where(m["doc_id"] % 7 == 0)
+    stored_queries = m.select(T.derived_id("query_id", prefix).alias("query_id")).where(m["query_id"] % 5 == 0)
+    r = RQ.single_alteration_requests(m, docs, q, prompt, prefix, stored, stored_queries)
+    return r.select("doc_id", "query_id", "new_doc_id", F.md5("user_prompt").alias("prompt_md5"))
+
+
+@query("textual_requests", _requests_sql("manipulations/manipulation_single_textual", 1))
+def textual_requests(spark, d):
+    """K5: the single-textual job's requests, rendered from its template; what is stored under the derived ids isn't asked again."""
+    return _alteration_requests(spark, d, "manipulations/manipulation_single_textual", 1)
+
+
+@query("tabular_requests", _requests_sql("manipulations/manipulation_single_tabular", 3))
+def tabular_requests(spark, d):
+    """K6: the single-tabular job's requests, with the document's first entity."""
+    return _alteration_requests(spark, d, "manipulations/manipulation_single_tabular", 3)

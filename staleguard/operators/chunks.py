@@ -6,6 +6,7 @@ import itertools
 import math
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as TT
@@ -13,6 +14,7 @@ from pyspark.sql import types as TT
 from staleguard.config import CHUNK_OVERLAP, CHUNK_SIZE, SPLIT_SEPARATORS
 from staleguard.functions import text as T
 from staleguard.operators.windows import sequential_offsets
+from staleguard.session import materialize
 
 
 # --- native fixed-window chunks ---------------------------------------------
@@ -139,6 +141,57 @@ def orient_conflicts(conflicts: DataFrame, docs: DataFrame) -> DataFrame:
         F.when(newer2, F.col("conflicting_passage_doc2")).otherwise(F.col("conflicting_passage_doc1")).alias("p_new"))
 
 
+PASSAGE_SLICE, CHUNK_SLICE = 2_000, 1_000  # passages and chunks of one document that meet in one group
+DOCS_A_GROUP = 64  # documents of a group, about
+
+
+def _scan_group(passages: pa.Table, chunks: pa.Table) -> pa.Table:
+    """(ord, old, chunk_id) of every passage of a document that a chunk of it contains; each chunk is scanned once."""
+    import ahocorasick
+    patterns: dict[int, dict[str, list]] = {}
+    for doc, number, old, text in zip(*(passages.column(i).to_pylist() for i in range(4))):
+        patterns.setdefault(doc, {}).setdefault(text, []).append((number, old))
+    machines = {}
+    for doc, by_text in patterns.items():
+        everywhere, machine = by_text.pop("", []), None
+        if by_text:
+            machine = ahocorasick.Automaton()
+            for text, marks in by_text.items():
+                machine.add_word(text, (text, marks))
+            machine.make_automaton()
+        machines[doc] = everywhere, machine
+    out = []
+    for doc, chunk, text in zip(*(chunks.column(i).to_pylist() for i in range(3))):
+        if doc not in machines or text is None:
+            continue
+        everywhere, machine = machines[doc]
+        met = {t: marks for _, (t, marks) in machine.iter(text)} if machine else {}
+        out += [(number, old, chunk) for marks in (everywhere, *met.values()) for number, old in marks]
+    numbers, olds, ids = zip(*out) if out else ((), (), ())
+    return pa.table([pa.array(numbers, pa.int64()), pa.array(olds, pa.bool_()), pa.array(ids, pa.int64())], names=["number", "old", "chunk_id"])
+
+
+def passages_in_chunks(sides: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(number, old, chunk_id): which passages (doc_id, number, old, passage) lie in which chunks (doc_id, chunk_id, text) of the same document.
+
+    Documents are dealt out in groups; one with many passages or chunks is cut into slices of both, and every slice of its
+    passages, compiled into one automaton, meets every slice of its chunks. So a chunk is scanned once for each
+    ``PASSAGE_SLICE`` passages, however many conflicts name its document, and a hot document is spread over tasks.
+    """
+    p, c = sides.groupBy("doc_id").agg(F.count("*").alias("np")), chunks.groupBy("doc_id").agg(F.count("*").alias("nc"))
+    sizes = materialize(p.join(c, "doc_id").select("doc_id", F.ceil(F.col("np") / PASSAGE_SLICE).cast("int").alias("ps"),
+                                                   F.ceil(F.col("nc") / CHUNK_SLICE).cast("int").alias("cs")))
+    groups = max(1, sizes.count() // DOCS_A_GROUP)
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("g")
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = sides.join(sizes, "doc_id").select("doc_id", "number", "old", "passage", bucket, own("number", "ps").alias("a"), each("cs").alias("b"))
+    right = chunks.join(sizes, "doc_id").select(F.col("doc_id").alias("c_doc"), F.col("chunk_id").alias("c_id"), F.col("text").alias("c_text"),
+                                                bucket.alias("c_g"), own("chunk_id", "cs").alias("c_b"), each("ps").alias("c_a"))
+    return left.groupBy("g", "a", "b").cogroup(right.groupBy("c_g", "c_a", "c_b")) \
+        .applyInArrow(lambda lt, rt: _scan_group(lt, rt), "number long, old boolean, chunk_id long")
+
+
 def flag_outdated(chunks: DataFrame, conflicts: DataFrame, docs: DataFrame, mode: str = "last") -> DataFrame:
     """Chunks whose ``outdated_by`` was set by a conflict (K1).
 
@@ -150,29 +203,27 @@ def flag_outdated(chunks: DataFrame, conflicts: DataFrame, docs: DataFrame, mode
     ``mode='union'`` unions the lists instead. Conflicts with a null passage
     are skipped. Returns (chunk_id, outdated_by ARRAY<BIGINT>).
     """
+    if mode not in ("last", "union"):
+        raise ValueError(mode)
     oc = orient_conflicts(conflicts.where(F.col("conflicting_passage_doc1").isNotNull() &
                                           F.col("conflicting_passage_doc2").isNotNull()), docs)
-    sides = oc.select("ord", T.normalize("p_old").alias("p_old"), T.normalize("p_new").alias("p_new"),
-                      F.explode(F.array_distinct(F.array("old_id", "new_id"))).alias("doc_id"))
+    oc = materialize(oc.select("ord", "old_id", "new_id", T.normalize("p_old").alias("p_old"), T.normalize("p_new").alias("p_new"))
+                     .withColumn("number", F.xxhash64("ord")))  # conflicts are told apart by a hash of their order
+    passage = F.inline(F.array(F.struct(F.lit(True).alias("old"), F.col("p_old").alias("passage")),
+                               F.struct(F.lit(False).alias("old"), F.col("p_new").alias("passage"))))
+    sides = oc.select("number", F.col("p_old"), F.col("p_new"), F.explode(F.array_distinct(F.array("old_id", "new_id"))).alias("doc_id")) \
+        .select("doc_id", "number", passage)
     # only chunks of documents that take part in a conflict are normalised (semi join first)
     involved = sides.select("doc_id").distinct()
-    cn = chunks.join(involved, "doc_id", "left_semi").select("doc_id", "chunk_id", T.normalize("text").alias("_nt"))
-    j = sides.join(cn, "doc_id")
-    is_old = F.contains(F.col("_nt"), F.col("p_old"))
-    is_new = ~is_old & F.contains(F.col("_nt"), F.col("p_new"))
-    # one pass: per conflict the old and the new chunk ids (bounded by the chunks of two documents)
-    per_conflict = j.groupBy("ord").agg(
-        F.collect_set(F.when(is_old, F.col("chunk_id"))).alias("old_ids"),
-        F.array_sort(F.collect_set(F.when(is_new, F.col("chunk_id")))).alias("new_ids"))
-    a = per_conflict.select("ord", "new_ids", F.explode("old_ids").alias("chunk_id"))
+    cn = chunks.join(involved, "doc_id", "left_semi").select("doc_id", F.col("chunk_id").cast("long").alias("chunk_id"), T.normalize("text").alias("text"))
+    met = passages_in_chunks(sides, cn).groupBy("number", "chunk_id").agg(F.max("old").alias("is_old"))
+    per_conflict = met.groupBy("number").agg(
+        F.collect_set(F.when(F.col("is_old"), F.col("chunk_id"))).alias("old_ids"),
+        F.array_sort(F.collect_set(F.when(~F.col("is_old"), F.col("chunk_id")))).alias("new_ids"))  # the chunks of two documents at most
+    a = per_conflict.join(oc.select("number", "ord"), "number").select("ord", "new_ids", F.explode("old_ids").alias("chunk_id"))
     if mode == "last":
-        out = a.groupBy("chunk_id").agg(F.max_by("new_ids", "ord").alias("outdated_by"))
-    elif mode == "union":
-        out = a.groupBy("chunk_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("new_ids"))))
-                                        .alias("outdated_by"))
-    else:
-        raise ValueError(mode)
-    return out
+        return a.groupBy("chunk_id").agg(F.max_by("new_ids", "ord").alias("outdated_by"))
+    return a.groupBy("chunk_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("new_ids")))).alias("outdated_by"))
 
 
 def apply_flags(chunks: DataFrame, flags: DataFrame) -> DataFrame:

@@ -56,6 +56,23 @@ def test_flag_outdated_last_conflict_wins_and_clears(spark):
     assert got == {0: [1]}
 
 
+def test_a_document_with_many_conflicts_is_cut_into_slices(spark, monkeypatch):
+    monkeypatch.setattr(CH, "PASSAGE_SLICE", 5)
+    monkeypatch.setattr(CH, "CHUNK_SLICE", 3)
+    docs = spark.createDataFrame([(i, f"20{i:02d}-01-01") for i in range(60)], "doc_id long, d string").select("doc_id", F.to_date("d").alias("creation_date"))
+    text = {(d, k): f"Fact {d} of part {k}! and" for d in range(60) for k in range(10 if d == 0 else 1)}
+    ids = {key: i for i, key in enumerate(text)}
+    chunks = spark.createDataFrame([(d, ids[d, k], t, "x") for (d, k), t in text.items()], "doc_id long, chunk_id long, text string, number string")
+    rows = [(0, j, f"fact 0 of part {j % 10}", f"fact {j} of part 0", j) for j in range(1, 60)] + [(0, 5, "", "fact 5", 100), (0, 6, None, "x", 101), (0, 7, "nowhere", "fact 7", 102)]
+    conflicts = spark.createDataFrame(rows, "id1 long, id2 long, conflicting_passage_doc1 string, conflicting_passage_doc2 string, ord int")
+    got = {r.chunk_id: r.outdated_by for r in CH.flag_outdated(chunks, conflicts.where("ord < 100"), docs).collect()}
+    assert got == {ids[0, k]: [ids[max(j for j in range(1, 60) if j % 10 == k), 0]] for k in range(10)}
+    both = {r.chunk_id: r.outdated_by for r in CH.flag_outdated(chunks, conflicts.where("ord < 100"), docs, "union").collect()}
+    assert both[ids[0, 3]] == [ids[j, 0] for j in range(3, 60, 10)]
+    empty = {r.chunk_id: r.outdated_by for r in CH.flag_outdated(chunks, conflicts.where("ord >= 100"), docs).collect()}
+    assert empty == {**{ids[0, k]: [] for k in range(10)}, ids[5, 0]: []}  # the empty passage is in every chunk of both
+
+
 def test_cluster_recall_per_link(spark):
     docs = spark.createDataFrame([(1, [], [0]), (2, [], [1]), (3, [1, 2], [0]), (4, [1], [5])],
                                  "doc_id long, original_doc_ids array<bigint>, clusters array<int>")

@@ -15,117 +15,85 @@ def tokens(c):
     return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(f"({T.WORD_CHAR}+)"), 1))
 
 
-MAX_QUERIES_PER_PASS = 4096
-CHUNK_BATCH = 2048
-JVM_VOCAB_FILTER_MAX = 20_000
-
-
-def _query_batches(queries: DataFrame, size: int):
-    """Query token sets streamed from the executors in batches of at most ``size`` queries."""
-    batch = []
-    for r in queries.select("query_id", tokens(F.col("content")).alias("t")).orderBy("query_id").toLocalIterator():
-        batch.append((int(r["query_id"]), list(r["t"] or [])))
-        if len(batch) >= size:
-            yield batch
-            batch = []
-    if batch:
-        yield batch
-
-
-def _score_partitions(qsets: list[tuple[int, list[str]]], k: int):
-    """Per-partition exact top-k for a batch of queries.
-
-    Rows must arrive in ascending ``chunk_id`` (the caller sorts within
-    partitions), so among equal scores the earlier row wins. Each query keeps
-    its current k best and the k-th score as a threshold; a chunk batch only
-    touches the queries whose threshold one of its rows beats.
-    """
-    import numpy as np
-
-    qids = np.array([q for q, _ in qsets], dtype=np.int64)
-    nq_ = len(qsets)
-    vocab: dict[str, int] = {}
-    for _, ts in qsets:
-        for t in ts:
-            vocab.setdefault(t, len(vocab))
-    Qm = np.zeros((max(len(vocab), 1), nq_), dtype=np.float32)
-    for j, (_, ts) in enumerate(qsets):
-        for t in ts:
-            Qm[vocab[t], j] = 1.0
-    nq = Qm.sum(axis=0).astype(np.float64)
-
-    def run(it):
-        import pandas as pd
-        best_sc = np.full((k, nq_), -np.inf)
-        best_id = np.full((k, nq_), -1, dtype=np.int64)
-        filled = np.zeros(nq_, dtype=np.int64)
-        for pdf in it:
-            for s0 in range(0, len(pdf), CHUNK_BATCH):
-                part = pdf.iloc[s0:s0 + CHUNK_BATCH]
-                ids = part["chunk_id"].to_numpy(dtype=np.int64)
-                nc = part["nc"].to_numpy(dtype=np.float64)
-                M = np.zeros((len(part), Qm.shape[0]), dtype=np.float32)
-                for i, ts in enumerate(part["qt"]):
-                    for t in ts if ts is not None else ():
-                        j = vocab.get(t)
-                        if j is not None:
-                            M[i, j] = 1.0
-                shared = (M @ Qm).astype(np.float64)  # chunks x queries
-                denom = nq[None, :] + nc[:, None] - shared
-                score = np.where(shared > 0, shared / np.where(denom > 0, denom, 1.0), 0.0)
-                thr = np.where(filled >= k, best_sc[k - 1], -np.inf)
-                for j in np.nonzero((score > thr[None, :]).any(axis=0))[0]:
-                    rows = np.nonzero(score[:, j] > thr[j])[0]
-                    cs = np.concatenate([best_sc[:filled[j], j], score[rows, j]])
-                    ci = np.concatenate([best_id[:filled[j], j], ids[rows]])
-                    order = np.argsort(-cs, kind="stable")[:k]  # earlier (smaller id) first on ties
-                    m = len(order)
-                    best_sc[:m, j], best_id[:m, j] = cs[order], ci[order]
-                    filled[j] = m
-        rows = [pd.DataFrame({"query_id": qids[j], "chunk_id": best_id[:filled[j], j], "score": best_sc[:filled[j], j]})
-                for j in range(nq_) if filled[j]]
-        if rows:
-            yield pd.concat(rows, ignore_index=True)
-    return run
+SEED_TOKENS, SEED_POSTINGS = 8, 64
+
+
+def _by_rarity(sets: DataFrame, id_col: str, words: DataFrame) -> DataFrame:
+    """(id, n, arr): ``n`` tokens a row of (id, n, token) names, ``arr`` the ids of those in ``words``, rarest first."""
+    j = sets.join(words, "token")
+    return j.groupBy(id_col).agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "tid"))).alias("_a")) \
+        .select(id_col, "n", F.col("_a.tid").alias("arr"))
+
+
+def _scored(pairs: DataFrame, qsets: DataFrame, csets: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, score): the exact Jaccard of every pair, on the full sets."""
+    j = pairs.join(csets.select("chunk_id", F.col("n").alias("nc"), F.col("arr").alias("ca")), "chunk_id") \
+        .join(qsets.select("query_id", F.col("n").alias("nq"), F.col("arr").alias("qa")), "query_id")
+    s = F.size(F.array_intersect("ca", "qa")).cast("double")
+    return j.select("query_id", "chunk_id", (s / (F.col("nq") + F.col("nc") - s)).alias("score"))
 
 
 def lexical_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """Top-``k`` chunks per query by token Jaccard, ties by smaller ``chunk_id``.
-
-    Exact brute-force scoring without a join: a batch of query token sets (at
-    most ``MAX_QUERIES_PER_PASS``) travels with the task; each chunk partition
-    keeps only the chunk tokens that occur in some query, scores a batch of
-    chunks against all queries with one incidence-matrix product, and emits
-    its ``k`` best per query. A final window over at most ``k x partitions``
-    rows per query keeps the global top ``k``. With more queries than one
-    pass holds, every pass is materialised (checkpoint) before the next batch
-    is read, so the driver holds one batch at a time.
+    """Top-``k`` chunks per query by token Jaccard, ties by smaller ``chunk_id``; exact.
+
+    Both sides' sets are put in one order, rarest token first, over the tokens that queries and chunks share.
+
+    1. Seeds: each query scores the shortest ``SEED_POSTINGS`` chunks (at least ``k``) of its ``SEED_TOKENS`` rarest
+       tokens and of its commonest one. The k-th score found bounds the true one from below; a query whose
+       commonest token has fewer than ``k`` chunks may be left without a bound (0).
+    2. Candidates: a query meets the postings of a token only while the tokens from there on could still reach the
+       bound. At the first shared token, position i of the query and j of the chunk, the overlap is at
+       most o = min(remaining query tokens, remaining chunk tokens), so a chunk whose o / (nq + nc - o) misses the bound
+       is dropped in the join. The commonest tokens fall out first, so hot posting lists are hardly met.
+    3. Candidates are scored on the full sets and ranked; a query with fewer than ``k`` sharing chunks is filled up
+       with the smallest other chunk ids at score 0.
+
+    Chunk tokens that no query names are never shuffled beyond a semi join. Nothing passes through the driver but the
+    2 ``k`` smallest chunk ids. A null text is empty; ``query_id`` and ``chunk_id`` are unique and not null.
     Result: (query_id, rank, chunk_id, score).
     """
-    ct = chunks.select("chunk_id", tokens(F.col("text")).alias("t"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    parts = []
-    for qsets in _query_batches(queries, MAX_QUERIES_PER_PASS):
-        vocab = sorted({t for _, ts in qsets for t in ts})
-        # small vocabularies are filtered in the JVM (an InSet); large ones in the scorer, so the
-        # plan shipped with every task stays small
-        keep = F.filter("t", lambda x: x.isin(vocab) if vocab else F.lit(False)) \
-            if len(vocab) <= JVM_VOCAB_FILTER_MAX else F.col("t")
-        src = ct.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.size("t").cast("double").alias("nc"),
-                        keep.alias("qt"))
-        part = src.sortWithinPartitions("chunk_id") \
-            .mapInPandas(_score_partitions(qsets, k), "query_id long, chunk_id long, score double")
-        part = part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        if parts or len(qsets) >= MAX_QUERIES_PER_PASS:
-            checkpoint_dir(chunks.sparkSession)
-            part = part.transform(materialize)
-        parts.append(part)
-    if not parts:
-        return queries.sparkSession.createDataFrame([], "query_id long, rank int, chunk_id long, score double")
-    out = parts[0]
-    for p_ in parts[1:]:
-        out = out.unionByName(p_)
-    return out.select("query_id", "rank", "chunk_id", "score")
+    def sets(df, id_col, text_col):
+        t = df.select(F.col(id_col).cast("long").alias(id_col), F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>")).alias("t"))
+        return t.select(id_col, F.size("t").alias("n"), "t")
+
+    def rows(df, id_col):
+        # the outer form: for the inner one the optimiser adds a filter on the array, and every text is tokenised again
+        return df.select(id_col, "n", F.explode_outer("t").alias("token")).where("token is not null")
+
+    qt = materialize(sets(queries, "query_id", "content"))
+    qtok = rows(qt, "query_id")
+    postings = materialize(rows(sets(chunks, "chunk_id", "text"), "chunk_id")
+                           .join(qtok.select("token").distinct(), "token", "left_semi"))
+    # the ids are fixed by the checkpoint
+    words = materialize(postings.groupBy("token").agg(F.count("*").alias("df")).withColumn("tid", F.monotonically_increasing_id()))
+    qsets = materialize(_by_rarity(qtok, "query_id", words))
+    csets = materialize(_by_rarity(postings, "chunk_id", words))
+    posts = csets.select("chunk_id", F.col("n").alias("nc"), F.size("arr").alias("mc"), F.posexplode("arr").alias("j", "tid"))
+
+    shortest = Window.partitionBy("tid").orderBy("nc", "chunk_id")
+    heads = posts.select("tid", "nc", "chunk_id").withColumn("_r", F.row_number().over(shortest)) \
+        .where(F.col("_r") <= max(SEED_POSTINGS, k)).select("tid", "chunk_id")
+    probes = qsets.select("query_id", F.explode(F.array_union(F.slice("arr", 1, SEED_TOKENS), F.slice("arr", -1, 1))).alias("tid"))
+    seeds = _scored(probes.join(heads, "tid").select("query_id", "chunk_id").distinct(), qsets, csets)
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    ranked = lambda df: df.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    bounds = ranked(seeds).groupBy("query_id").agg(F.count("*").alias("found"), F.min("score").alias("low")) \
+        .select("query_id", F.when(F.col("found") >= k, F.col("low")).otherwise(0.0).alias("bound"))
+    bounds = materialize(qt.select("query_id").join(bounds, "query_id", "left").select("query_id", F.coalesce("bound", F.lit(0.0)).alias("bound")))
+
+    prefix = qsets.join(bounds, "query_id").select("query_id", F.col("n").alias("nq"), F.size("arr").alias("mq"), "bound",
+                                                   F.posexplode("arr").alias("i", "tid")) \
+        .where((F.col("mq") - F.col("i")) / F.col("nq") >= F.col("bound"))
+    o = F.least(F.col("mq") - F.col("i"), F.col("mc") - F.col("j"))
+    cand = prefix.join(posts, "tid").where(o / (F.col("nq") + F.col("nc") - o) >= F.col("bound")) \
+        .select("query_id", "chunk_id").distinct()
+    # what misses its bound can't be in the top k: about k rows a query are left to store
+    scored = materialize(_scored(cand, qsets, csets).join(bounds, "query_id").where("score >= bound").drop("bound"))
+
+    first = [r[0] for r in chunks.select(F.col("chunk_id").cast("long")).orderBy("chunk_id").limit(2 * k).collect()]
+    rest = bounds.where("bound = 0").select("query_id", F.explode(F.array(*map(F.lit, first)).cast("array<bigint>")).alias("chunk_id")) \
+        .join(scored, ["query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
+    return ranked(scored.unionByName(rest)).select("query_id", "rank", "chunk_id", "score")
 
 
 def newer_closure(seeds: DataFrame, chunks: DataFrame, max_rounds: int | None = None) -> DataFrame:

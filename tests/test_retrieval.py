@@ -90,18 +90,52 @@ def test_tfidf_formula(spark):
     assert (1, "bb") not in w2
 
 
-def test_multi_pass_topk_and_containment(spark, monkeypatch):
-    """Several query passes / passage batches give the same results as one."""
-    rng = np.random.default_rng(2)
-    vocab = [f"w{i}" for i in range(20)]
-    chunks = [(i, " ".join(rng.choice(vocab, size=6))) for i in range(30)]
-    queries = [(100 + j, " ".join(rng.choice(vocab, size=3))) for j in range(7)]
-    cdf = spark.createDataFrame(chunks, "chunk_id long, text string")
+def _brute_topk(queries, chunks, k):
+    toks = lambda s: set(re.findall(r"\w+", (s or "").lower()))
+    out = []
+    for qid, q in queries:
+        qt = toks(q)
+        scored = []
+        for cid, c in chunks:
+            ct = toks(c)
+            s = len(qt & ct)
+            scored.append((-(s / (len(qt) + len(ct) - s)) if s else 0.0, cid))
+        out += [(qid, r, cid, -s) for r, (s, cid) in enumerate(sorted(scored)[:k], 1)]
+    return sorted(out)
+
+
+def test_lexical_topk_prunes_and_stays_exact(spark, monkeypatch):
+    """Zipf-like words, one in nearly every chunk; few seeds, ties, empty and null texts, words no chunk has."""
+    monkeypatch.setattr(RT, "SEED_TOKENS", 2)
+    monkeypatch.setattr(RT, "SEED_POSTINGS", 4)
+    rng = np.random.default_rng(5)
+    vocab = np.array([f"w{i}" for i in range(200)])
+    p = 1 / np.arange(1, 201)
+    p /= p.sum()
+    text = lambda n: " ".join(rng.choice(vocab, size=n, p=p))
+    chunks = [(i, text(int(rng.integers(1, 30)))) for i in range(300)] + [(300 + i, "w0 w1 same text") for i in range(12)] \
+        + [(400, ""), (401, None), (402, "w150 w151")]
+    queries = [(j, text(12)) for j in range(25)] + [(50, "w0"), (51, "same text"), (52, "absent"), (53, ""), (54, None),
+                                                  (55, "w150 absent words"), (56, "w199 w198 w0")]
+    cdf = spark.createDataFrame(chunks, "chunk_id long, text string").repartition(5)
     qdf = spark.createDataFrame(queries, "query_id long, content string")
-    one = sorted(tuple(r) for r in RT.lexical_topk(qdf, cdf, 3).collect())
-    monkeypatch.setattr(RT, "MAX_QUERIES_PER_PASS", 2)
-    many = sorted(tuple(r) for r in RT.lexical_topk(qdf, cdf, 3).collect())
-    assert one == many
+    for k in (1, 4, 7):
+        got = sorted(tuple(r) for r in RT.lexical_topk(qdf, cdf, k).collect())
+        want = _brute_topk(queries, chunks, k)
+        assert [g[:3] for g in got] == [w[:3] for w in want], k
+        assert all(abs(g[3] - w[3]) < 1e-12 for g, w in zip(got, want))
+
+
+def test_lexical_topk_empty_tables(spark):
+    none_c = spark.createDataFrame([], "chunk_id long, text string")
+    none_q = spark.createDataFrame([], "query_id long, content string")
+    some_q = spark.createDataFrame([(1, "a b")], "query_id long, content string")
+    assert RT.lexical_topk(some_q, none_c, 3).collect() == []
+    assert RT.lexical_topk(none_q, spark.createDataFrame([(1, "a")], "chunk_id long, text string"), 3).collect() == []
+
+
+def test_containment_in_several_batches(spark, monkeypatch):
+    """Several passage batches give the same results as one."""
     t = spark.createDataFrame([(1, "abc def"), (2, "xyz abc")], "doc_id long, text string")
     p = spark.createDataFrame([(10, "abc"), (11, "xyz"), (12, "def")], "item_id long, text string")
     want = {(r.id, r.pid) for r in C.passage_hits(t, "doc_id", "text", p, "item_id", "text").collect()}

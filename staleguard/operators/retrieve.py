@@ -16,6 +16,7 @@ def tokens(c):
 
 
 SEED_TOKENS, SEED_POSTINGS = 8, 64
+ORDER_SAMPLE = 16
 
 
 def _by_rarity(sets: DataFrame, id_col: str, words: DataFrame) -> DataFrame:
@@ -26,17 +27,22 @@ def _by_rarity(sets: DataFrame, id_col: str, words: DataFrame) -> DataFrame:
 
 
 def _scored(pairs: DataFrame, qsets: DataFrame, csets: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, score): the exact Jaccard of every pair, on the full sets."""
+    """(query_id, chunk_id, score) of the pairs (query_id, chunk_id, bound) that reach their bound: exact Jaccard on the full sets.
+
+    The bound is tested without a quotient, so that the overlap is computed once a pair, and 1e-9 below it.
+    """
     j = pairs.join(csets.select("chunk_id", F.col("n").alias("nc"), F.col("arr").alias("ca")), "chunk_id") \
         .join(qsets.select("query_id", F.col("n").alias("nq"), F.col("arr").alias("qa")), "query_id")
     s = F.size(F.array_intersect("ca", "qa")).cast("double")
-    return j.select("query_id", "chunk_id", (s / (F.col("nq") + F.col("nc") - s)).alias("score"))
+    both = F.col("nq") + F.col("nc")
+    return j.where(s * (1 + F.col("bound")) >= F.col("bound") * both - 1e-9).select("query_id", "chunk_id", (s / (both - s)).alias("score"))
 
 
 def lexical_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """Top-``k`` chunks per query by token Jaccard, ties by smaller ``chunk_id``; exact.
 
-    Both sides' sets are put in one order, rarest token first, over the tokens that queries and chunks share.
+    Both sides' sets are put in one order, rarest token first, over the tokens that queries name. Any fixed order gives the
+    same rows; the frequencies behind it are counted on every ``ORDER_SAMPLE``-th chunk by a hash of its id.
 
     1. Seeds: each query scores the shortest ``SEED_POSTINGS`` chunks (at least ``k``) of its ``SEED_TOKENS`` rarest
        tokens and of its commonest one. The k-th score found bounds the true one from below; a query whose
@@ -48,7 +54,7 @@ def lexical_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     3. Candidates are scored on the full sets and ranked; a query with fewer than ``k`` sharing chunks is filled up
        with the smallest other chunk ids at score 0.
 
-    Chunk tokens that no query names are never shuffled beyond a semi join. Nothing passes through the driver but the
+    The texts are tokenised once, and chunk tokens that no query names end in the join with the words. Nothing passes through the driver but the
     2 ``k`` smallest chunk ids. A null text is empty; ``query_id`` and ``chunk_id`` are unique and not null.
     Result: (query_id, rank, chunk_id, score).
     """
@@ -62,19 +68,20 @@ def lexical_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
 
     qt = materialize(sets(queries, "query_id", "content"))
     qtok = rows(qt, "query_id")
-    postings = materialize(rows(sets(chunks, "chunk_id", "text"), "chunk_id")
-                           .join(qtok.select("token").distinct(), "token", "left_semi"))
-    # the ids are fixed by the checkpoint
-    words = materialize(postings.groupBy("token").agg(F.count("*").alias("df")).withColumn("tid", F.monotonically_increasing_id()))
+    sampled = chunks.where(F.pmod(F.xxhash64(F.col("chunk_id").cast("long")), F.lit(ORDER_SAMPLE)) == 0)
+    freq = rows(sets(sampled, "chunk_id", "text"), "chunk_id").groupBy("token").agg(F.count("*").alias("df"))
+    words = qtok.select("token").distinct().join(freq, "token", "left") \
+        .select("token", F.coalesce("df", F.lit(0)).alias("df"), F.monotonically_increasing_id().alias("tid"))
+    words = materialize(words)  # fixes the ids
     qsets = materialize(_by_rarity(qtok, "query_id", words))
-    csets = materialize(_by_rarity(postings, "chunk_id", words))
+    csets = materialize(_by_rarity(rows(sets(chunks, "chunk_id", "text"), "chunk_id"), "chunk_id", words))
     posts = csets.select("chunk_id", F.col("n").alias("nc"), F.size("arr").alias("mc"), F.posexplode("arr").alias("j", "tid"))
 
     shortest = Window.partitionBy("tid").orderBy("nc", "chunk_id")
     heads = posts.select("tid", "nc", "chunk_id").withColumn("_r", F.row_number().over(shortest)) \
         .where(F.col("_r") <= max(SEED_POSTINGS, k)).select("tid", "chunk_id")
     probes = qsets.select("query_id", F.explode(F.array_union(F.slice("arr", 1, SEED_TOKENS), F.slice("arr", -1, 1))).alias("tid"))
-    seeds = _scored(probes.join(heads, "tid").select("query_id", "chunk_id").distinct(), qsets, csets)
+    seeds = _scored(probes.join(heads, "tid").select("query_id", "chunk_id", F.lit(0.0).alias("bound")).distinct(), qsets, csets)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     ranked = lambda df: df.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     bounds = ranked(seeds).groupBy("query_id").agg(F.count("*").alias("found"), F.min("score").alias("low")) \
@@ -86,12 +93,15 @@ def lexical_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
         .where((F.col("mq") - F.col("i")) / F.col("nq") >= F.col("bound"))
     o = F.least(F.col("mq") - F.col("i"), F.col("mc") - F.col("j"))
     cand = prefix.join(posts, "tid").where(o / (F.col("nq") + F.col("nc") - o) >= F.col("bound")) \
-        .select("query_id", "chunk_id").distinct()
+        .select("query_id", "chunk_id", "bound").distinct()
     # what misses its bound can't be in the top k: about k rows a query are left to store
-    scored = materialize(_scored(cand, qsets, csets).join(bounds, "query_id").where("score >= bound").drop("bound"))
+    scored = materialize(_scored(cand, qsets, csets))
 
+    open_ = bounds.where("bound = 0").select("query_id")
+    if open_.isEmpty():
+        return ranked(scored).select("query_id", "rank", "chunk_id", "score")
     first = [r[0] for r in chunks.select(F.col("chunk_id").cast("long")).orderBy("chunk_id").limit(2 * k).collect()]
-    rest = bounds.where("bound = 0").select("query_id", F.explode(F.array(*map(F.lit, first)).cast("array<bigint>")).alias("chunk_id")) \
+    rest = open_.select("query_id", F.explode(F.array(*map(F.lit, first)).cast("array<bigint>")).alias("chunk_id")) \
         .join(scored, ["query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
     return ranked(scored.unionByName(rest)).select("query_id", "rank", "chunk_id", "score")
 

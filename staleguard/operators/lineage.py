@@ -83,3 +83,16 @@ def known_conflict_pairs(docs: DataFrame, kind_col: str = "kind", id_col: str =
         .select(F.col(id_col).alias("id2"), F.explode(orig_col).alias("_first"))
     cross = single.join(tab, "_first").select("id1", "id2", F.lit("tabular").alias("why"))
     return links.unionByName(cross)
+
+
+def known_conflict_counts(docs: DataFrame, kind_col: str = "kind", orig_col: str = "original_doc_ids") -> DataFrame:
+    """(original, lineage_pairs, tabular_pairs): how many pairs of ``known_conflict_pairs`` come from each original (C17).
+
+    Copies times tabular documents of one original is a product of two counts, so that one partial aggregation over the
+    links gives it and no pair is ever a row, however many copies an original has. Null and empty lists add nothing.
+    """
+    links = docs.select(F.col(kind_col).alias("_kind"), F.posexplode(orig_col).alias("_pos", "original"))
+    n = links.groupBy("original").agg(F.count("*").alias("lineage_pairs"),
+                                      F.count_if((F.col("_kind") == "single_textual") & (F.col("_pos") == 0)).alias("_single"),
+                                      F.count_if(F.col("_kind") == "tabular").alias("_tab"))
+    return n.select("original", "lineage_pairs", (F.col("_single") * F.col("_tab")).alias("tabular_pairs"))

@@ -121,6 +121,19 @@ def conflict_pairs(spark, d):
     return LN.known_conflict_pairs(dl)
 
 
+@query("conflict_counts", TD.ctes("docs", "docs_lin") + """
+, lin AS (SELECT unnest(original_doc_ids) AS original FROM docs_lin)
+, tab AS (SELECT s.original_doc_ids[1] AS original
+          FROM docs_lin s JOIN docs_lin t ON list_contains(t.original_doc_ids, s.original_doc_ids[1])
+          WHERE s.kind = 'single_textual' AND len(s.original_doc_ids) > 0 AND t.kind = 'tabular')
+SELECT l.original, l.n AS lineage_pairs, coalesce(t.n, 0) AS tabular_pairs
+FROM (SELECT original, count(*) AS n FROM lin GROUP BY original) l
+LEFT JOIN (SELECT original, count(*) AS n FROM tab GROUP BY original) t USING (original)""")
+def conflict_counts(spark, d):
+    """C17 as counts per original, without the pairs."""
+    return LN.known_conflict_counts(TD.with_text_lineage(TD.documents(spark, d)))
+
+
 @query("qa_match", TD.ctes("qa") + f"""
 , resp AS (SELECT conv_id, turn AS pos, '  ' || question || chr(10) AS q FROM qa)
 , m AS (SELECT r.conv_id, r.pos, q.turn,

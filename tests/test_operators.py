@@ -183,3 +183,16 @@ def test_null_vectors_and_level_counts(spark):
     links = spark.createDataFrame([(0, 1), (0, 500)], "doc_id long, orig long")
     got = {r.orig: r.dist for r in P.link_distances(links, df, "id", "e").collect()}
     assert abs(got[1] - dist["cosine"][0, 1]) < 1e-9 and got[500] is None
+
+
+def test_known_conflict_counts_are_those_of_the_pairs(spark):
+    from staleguard.operators import lineage as LN
+    rows = [(1, "original", []), (2, "original", None)] + [(10 + i, "single_textual", [1]) for i in range(5)] \
+        + [(20, "single_textual", [2, 1]), (30, "tabular", [1, 2]), (31, "tabular", [1]), (32, "tabular", []), (40, "multi_textual", [2])]
+    docs = spark.createDataFrame(rows, "doc_id long, kind string, original_doc_ids array<long>")
+    got = {r.original: (r.lineage_pairs, r.tabular_pairs) for r in LN.known_conflict_counts(docs).collect()}
+    first = {d: o[0] for d, _, o in rows if o}
+    pairs = [(r.id1, r.id2, r.why) for r in LN.known_conflict_pairs(docs).collect()]
+    want = {o: (sum(w == "lineage" and b == o for _, b, w in pairs), sum(w == "tabular" and first[a] == o for a, _, w in pairs)) for o in (1, 2)}
+    assert got == want == {1: (8, 10), 2: (3, 1)}
+    assert LN.known_conflict_counts(docs.where("doc_id < 3")).count() == 0

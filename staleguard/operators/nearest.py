@@ -18,7 +18,7 @@ from staleguard.operators.pairs import CELLS, SLACK, Balls, _measure, _unit, dis
 from staleguard.session import materialize
 
 DIGITS = 9  # distances are rounded to these, so that equal ones tie whatever the order of summation
-CORPUS_BALL = 1024  # corpus vectors of a ball, about, as ``deal_out(balls=...)`` is given here
+CORPUS_BALL = 1024  # corpus vectors of a ball, about, as ``deal_out(balls=...)`` is given here, up to ``pairs.MAX_BALLS`` balls
 BLOCK = 8192  # rows per side of a group
 
 FOUND = "query_id long, id long, dist double"

@@ -212,7 +212,7 @@ _NEAREST_SQL = f"""
 def nearest_chunks(spark, d, chunks):
     """(query_id, id, dist, rank): the ``K`` nearest chunks of every query by the cosine distance of their text vectors."""
     vectors = materialize(TM.md5_text_vectors(chunks, "chunk_id", "text", _DIMS))
-    balls = P.deal_out(vectors, "chunk_id", "vec", balls=-(-vectors.count() // NN.CORPUS_BALL) or 1)
+    balls = P.deal_out(vectors, "chunk_id", "vec", balls=min(P.MAX_BALLS, -(-vectors.count() // NN.CORPUS_BALL) or 1))
     return NN.nearest(balls, TM.md5_text_vectors(TD.queries(spark, d), "query_id", "content", _DIMS), K)
 
 

@@ -19,7 +19,6 @@ from staleguard.plans.p1_scalars import _WIDE_SQL, _wide_docs
 from staleguard.plans.p1_sets import HITS_SQL, MAPPING_SQL, doc_query_hits, doc_query_mapping
 from staleguard.plans.p3_windows import select_for_alteration
 from staleguard.plans.registry import query, r6
-from staleguard.session import materialize
 from staleguard.sources import prompts as PR
 from staleguard.sources import testdata as TD
 
@@ -45,9 +44,9 @@ def pair_check(spark, d):
     docs = TD.documents(spark, d)
     vl = TD.with_vector_lineage(TD.vectors(spark, d))
     pairs = _vec_pairs(spark, d).select("id1", "id2")
-    reqs = RQ.pair_requests(pairs, docs, "comparison/check_for_contradictions", MODELS).transform(materialize)
     flag = _flag(F.col("model"), "id1", "id2")
-    responses = reqs.select("request_id", F.to_json(F.struct(flag.alias("contradictory_info_found"))).alias("response"))
+    reqs, responses = RQ.answered(RQ.pair_requests(pairs, docs, "comparison/check_for_contradictions", MODELS),
+                                  F.to_json(F.struct(flag.alias("contradictory_info_found"))))
     verdicts = RQ.verdict_rows(RQ.decode_responses(reqs, responses, "check"))
     truth = LN.with_ground_truth(verdicts, vl)
     return truth.groupBy("model").agg(

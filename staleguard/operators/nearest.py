@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from staleguard.operators.pairs import CELLS, SLACK, Balls, _measure, _unit, distances, prepare, radius_for
+from staleguard.operators.pairs import CELLS, SLACK, Balls, _measure, _unit, distances, prepare, radius_for, read_vectors
 from staleguard.session import materialize
 
 DIGITS = 9  # distances are rounded to these, so that equal ones tie whatever the order of summation
@@ -71,7 +71,7 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 
 def _search(balls: Balls, asked: DataFrame, k: int) -> DataFrame:
     """The k best of every query in every slice of every ball that it asks."""
-    spark, metric = asked.sparkSession, balls.metric
+    spark, metric, dim = asked.sparkSession, balls.metric, balls.centres.shape[1]
     asking = asked.groupBy("c").count().collect()  # at most a row per ball
     slices = [(r["c"], int(max(1, -(-balls.members[r["c"]] // BLOCK))), -(-r["count"] // BLOCK)) for r in asking]
     if not slices:
@@ -87,7 +87,7 @@ def _search(balls: Balls, asked: DataFrame, k: int) -> DataFrame:
         if not qt.num_rows or not xt.num_rows:
             return empty
         ids = xt.column(0).to_numpy()
-        y = np.frombuffer(b"".join(xt.column(1).to_pylist()), np.float64).reshape(len(ids), -1)
+        y = read_vectors(xt.column(1), dim, metric)
         qid = qt.column(0).to_numpy()
         v = np.frombuffer(b"".join(qt.column(1).to_pylist()), np.float64).reshape(len(qid), -1)
         by = np.argsort(ids)  # ties go to the smaller id

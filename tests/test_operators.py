@@ -3,10 +3,12 @@
 import itertools
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from staleguard.operators import chunks as CH
 from staleguard.operators import evaluate as EV
+from staleguard.operators import lineage as LN
 from staleguard.operators import pairs as P
 from staleguard.operators import retrieve as RT
 from staleguard.operators import sampling as SM
@@ -196,3 +198,19 @@ def test_known_conflict_counts_are_those_of_the_pairs(spark):
     want = {o: (sum(w == "lineage" and b == o for _, b, w in pairs), sum(w == "tabular" and first[a] == o for a, _, w in pairs)) for o in (1, 2)}
     assert got == want == {1: (8, 10), 2: (3, 1)}
     assert LN.known_conflict_counts(docs.where("doc_id < 3")).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["unique", "repeated rows", "torn ids"])
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_recall_of_vectors_is_that_of_their_pairs(spark, monkeypatch, kind, metric):
+    rows = [(i, [float((i * k) % 7) - 3.0 for k in (1, 2, 3)], [] if i % 5 == 0 else [i - i % 5, 3]) for i in range(1, 60)]
+    rows += [(300, [0.0, 0.0, 0.0], [5]), (301, [2.0, 4.0, 6.0], [302, 999]), (302, [1.0, 2.0, 3.0], []), (303, None, [302, None])]
+    rows += {"unique": [], "repeated rows": rows[:9], "torn ids": [(1, [9.0, 1.0, 1.0], [2])]}[kind]
+    df = spark.createDataFrame(rows, "doc_id long, embedding array<double>, original_doc_ids array<long>").repartition(3)
+    vecs = df.select(F.col("doc_id").alias("vec_id"), "embedding")
+    related = P.related_pairs
+    if kind != "torn ids":
+        monkeypatch.setattr(P, "related_pairs", lambda *a: pytest.fail("a row per pair"))
+    t = 0.7 if metric == "cosine" else 4.2
+    got = EV.distance_recall_of_vectors(df, vecs, t, metric).first()
+    assert tuple(got) == tuple(EV.distance_recall(df, related(vecs, "vec_id", "embedding", t, metric)).first()) and 0 < got["recall"] < 1

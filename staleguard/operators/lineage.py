@@ -67,9 +67,12 @@ def lineage_join(docs: DataFrame, id_col: str = "doc_id", orig_col: str = "origi
 
 
 def candidate_pairs(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(id1, id2, expected) for both orientations of every related pair (C4)."""
-    both = pairs.select(F.inline(F.array(F.struct("id1", "id2"), F.struct(F.col("id2").alias("id1"), F.col("id1").alias("id2")))))
-    return with_ground_truth(both, docs).withColumnRenamed("ground_truth", "expected")
+    """(id1, id2, expected) for both orientations of every related pair (C4).
+
+    The truth is the same for both, so a pair meets its documents once and is turned round afterwards.
+    """
+    known = with_ground_truth(pairs.select("id1", "id2"), docs).withColumnRenamed("ground_truth", "expected")
+    return known.select(F.inline(F.array(F.struct("id1", "id2", "expected"), F.struct(F.col("id2").alias("id1"), F.col("id1").alias("id2"), "expected"))))
 
 
 def known_conflict_pairs(docs: DataFrame, kind_col: str = "kind", id_col: str = "doc_id",

@@ -214,3 +214,12 @@ def test_recall_of_vectors_is_that_of_their_pairs(spark, monkeypatch, kind, metr
     t = 0.7 if metric == "cosine" else 4.2
     got = EV.distance_recall_of_vectors(df, vecs, t, metric).first()
     assert tuple(got) == tuple(EV.distance_recall(df, related(vecs, "vec_id", "embedding", t, metric)).first()) and 0 < got["recall"] < 1
+
+
+def test_candidate_pairs_are_turned_round_after_the_joins(spark):
+    docs = spark.createDataFrame([(1, []), (2, [1]), (3, None), (4, [2])], "doc_id long, original_doc_ids array<long>")
+    pairs = spark.createDataFrame([(1, 2, 0.1), (1, 3, 0.2), (2, 4, 0.3), (1, 9, 0.4)], "id1 long, id2 long, dist double")
+    out = LN.candidate_pairs(pairs, docs)
+    assert sorted(map(tuple, out.collect())) == [(1, 2, True), (1, 3, False), (2, 1, True), (2, 4, True), (3, 1, False), (4, 2, True)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join")  # a pair travels once; both orientations did before

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from staleguard.llm import neardup, packing, pii, quality, toxicity
 from staleguard.llm.queries import BYTE_BPE, END_ID, toxicity_model
 from staleguard.llm.shared import written
-from staleguard.session import checkpoint_dir
+from staleguard.session import checkpoint_dir, clean_up
 from staleguard.sources.tables import load
 
 
@@ -54,11 +54,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written in the shared folder and read again by the next."""
+    """All stages over ``documents``; each result is written in the shared folder and read again by the next.
+
+    The driver lets go of a stage's plans before the next one begins.
+    """
     checkpoint_dir(spark)
     docs = spark.read.parquet(os.path.join(sf_dir, "documents.parquet"))
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs, "stage")
+            clean_up(spark)
     return docs

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from staleguard.llm.arrowtext import byte_pieces, mix, shingle_sets, texts_of
 from staleguard.llm.shared import components, text_batches, written
+from staleguard.session import clean_up
 
 BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
@@ -235,6 +236,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     held = written(placed.join(texts, "id"), "held")  # the texts of group members only; all later reads take them from here
     settled = written(held.groupBy("root", "slice").applyInPandas(settle, "id long, root long, s int, label long"), "settled")
+    clean_up(df.sparkSession)
 
     # members of several slices' groups that aren't linked with the least one: against all other slices
     split = settled.filter("s > 1").select(F.col("root").alias("key"), F.col("id").alias("rep"), "label", F.col("root").alias("main"))

@@ -124,3 +124,14 @@ def test_edited_texts_and_ring(spark):
         assert got[i]["edited"] == own[:len(own) - n] + nxt[:n] and got[i]["n_chars"] == len(own)
     assert got[None]["edited"] == "free"
     assert fingerprint.edited_pairs(df.limit(0)).count() == 0
+
+
+def test_components_end_with_the_round_that_settles_them(spark, monkeypatch):
+    from staleguard.llm import shared
+    wrote, cleaned, written = [], [], shared.written
+    monkeypatch.setattr(shared, "written", lambda df, name: (wrote.append(name), written(df, name))[1])
+    monkeypatch.setattr(shared, "clean_up", lambda spark: cleaned.append(1))
+    star = spark.createDataFrame([(1, v) for v in range(2, 40)] + [(70, 60), (80, 70)], "a long, b long")
+    got = {r["id"]: r["root"] for r in shared.components(star).collect()}
+    assert got == {**{v: 1 for v in range(1, 40)}, 60: 60, 70: 60, 80: 60}
+    assert len(wrote) <= 3 and len(cleaned) == len(wrote) - 1  # the edges and their rounds; one more round before, and plans stayed

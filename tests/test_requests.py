@@ -26,3 +26,14 @@ def test_a_text_travels_once_per_pair_whatever_the_number_of_models(spark):
     plan = RQ.pair_requests(pairs, docs, "comparison/check_for_contradictions", ("m1", "m2"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate explode") < plan.index("Join")  # the models are told apart above the joins
     assert PR.get("comparison/check_for_contradictions")[1]
+
+
+def test_pairs_meet_answers_and_texts_once_for_all_models(spark):
+    from staleguard.operators import requests as RQ
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(1, 6)], "doc_id long, content string")
+    pairs = spark.createDataFrame([(1, 2), (1, 2), (1, 3), (2, 4), (4, 5), (1, 9), (None, 3)], "id1 long, id2 long")
+    done = spark.createDataFrame([(2, 1, "m1"), (2, 1, "m1"), (1, 3, "m1"), (3, 1, "m2"), (4, 2, None), (None, 3, "m1")], "id1 long, id2 long, model string")
+    out = RQ.pair_requests(pairs, docs, "comparison/check_for_contradictions", ("m1", "m2"), done).select("id1", "id2", "model")
+    assert sorted(map(tuple, out.collect())) == [(1, 2, "m2"), (1, 2, "m2"), (2, 4, "m1"), (2, 4, "m2"), (4, 5, "m1"), (4, 5, "m2")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and plan.index("Generate") < plan.index("Join")  # a row per model met both before

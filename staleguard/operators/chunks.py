@@ -24,17 +24,28 @@ def _chunk_count(text_col: str, size: int, overlap: int):
     return F.when(n <= size, F.lit(1)).otherwise(F.ceil((n - size) / F.lit(size - overlap)).cast("int") + 1)
 
 
+STRETCH = 16  # windows that are cut from one stretch of a text
+
+
 def fixed_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "content",
                  size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, first_id: str | None = None) -> DataFrame:
     """Windows of ``size`` characters every ``size - overlap`` characters, JVM-only.
 
     (doc_id, pos, text); the last window ends at or after the end of the text. With ``first_id``, a column of ``docs``, also chunk_id.
+    A substring walks its UTF-8 text from the start, so a text is first cut into stretches of ``STRETCH`` windows and these into windows:
+    the work on a text no longer grows with the square of its length.
     """
+    step = size - overlap
     ids = [F.col(first_id).alias("_o")] if first_id else []
-    ex = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"), *ids,
-                     F.posexplode(F.sequence(F.lit(0), _chunk_count(text_col, size, overlap) - 1)).alias("pos", "_i"))
     named = [(F.col("_o") + F.col("pos")).alias("chunk_id")] if first_id else []
-    return ex.select("doc_id", "pos", F.substring("_t", F.col("pos") * (size - overlap) + 1, size).alias("text"), *named)
+    kept = ["doc_id", *["_o"] * len(ids)]
+    whole = docs.select(F.col(id_col).alias("doc_id"), *ids, F.col(text_col).alias("_w"), _chunk_count(text_col, size, overlap).alias("_n")) \
+        .select(*kept, "_w", "_n", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / F.lit(STRETCH)).cast("int"))).alias("_s"))
+    part = whole.select(*kept, (F.col("_s") * STRETCH).alias("_at"), F.least(F.lit(STRETCH), F.col("_n") - F.col("_s") * STRETCH).alias("_m"),
+                        F.substring("_w", F.col("_s") * (STRETCH * step) + 1, F.lit((STRETCH - 1) * step + size)).alias("_t"))
+    ex = part.select(*kept, "_at", "_t", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("_i")) \
+        .select(*kept, (F.col("_at") + F.col("_i")).alias("pos"), F.substring("_t", F.col("_i") * step + 1, F.lit(size)).alias("text"))
+    return ex.select("doc_id", "pos", "text", *named)
 
 
 BROADCAST_DOCS = 1_000_000  # documents whose offsets (16 bytes each) are broadcast at most

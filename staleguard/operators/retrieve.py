@@ -17,6 +17,8 @@ def tokens(c):
 
 SEED_TOKENS, SEED_POSTINGS = 8, 64
 ORDER_SAMPLE = 16
+BROADCAST_QUERIES, BROADCAST_TOKENS = 10_000, 1_000_000  # queries, and tokens of all queries, that are broadcast at most
+BROADCAST_CONTEXT = 100_000  # context rows (ids and ranks) that are broadcast at most
 
 
 def _by_rarity(sets: DataFrame, id_col: str, words: DataFrame) -> DataFrame:
@@ -26,18 +28,22 @@ def _by_rarity(sets: DataFrame, id_col: str, words: DataFrame) -> DataFrame:
         .select(id_col, "n", F.col("_a.tid").alias("arr"))
 
 
-def _scored(pairs: DataFrame, qsets: DataFrame, csets: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, score) of the pairs (query_id, chunk_id, bound) that reach their bound: exact Jaccard on the full sets.
+def _overlap(j: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, score) of rows (query_id, nq, qa, chunk_id, nc, ca, bound) that reach their bound: exact Jaccard on the full sets.
 
-    The bound is tested without a quotient, so that the overlap is computed once a pair, and 1e-9 below it.
+    The bound is tested without a quotient, so that the overlap is computed once a row, and 1e-9 below it.
     """
-    j = pairs.join(csets.select("chunk_id", F.col("n").alias("nc"), F.col("arr").alias("ca")), "chunk_id") \
-        .join(qsets.select("query_id", F.col("n").alias("nq"), F.col("arr").alias("qa")), "query_id")
     s = F.size(F.array_intersect("ca", "qa")).cast("double")
     both = F.col("nq") + F.col("nc")
     return j.where(s * (1 + F.col("bound")) >= F.col("bound") * both - 1e-9).select("query_id", "chunk_id", (s / (both - s)).alias("score"))
 
 
+def _scored(pairs: DataFrame, qsets: DataFrame, csets: DataFrame) -> DataFrame:
+    """``_overlap`` of the pairs (query_id, chunk_id, bound)."""
+    return _overlap(pairs.join(csets.select("chunk_id", F.col("n").alias("nc"), F.col("arr").alias("ca")), "chunk_id")
+                    .join(qsets.select("query_id", F.col("n").alias("nq"), F.col("arr").alias("qa")), "query_id"))
+
+
 def lexical_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """Top-``k`` chunks per query by token Jaccard, ties by smaller ``chunk_id``; exact.
 
@@ -50,7 +56,8 @@ def lexical_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     2. Candidates: a query meets the postings of a token only while the tokens from there on could still reach the
        bound. At the first shared token, position i of the query and j of the chunk, the overlap is at
        most o = min(remaining query tokens, remaining chunk tokens), so a chunk whose o / (nq + nc - o) misses the bound
-       is dropped in the join. The commonest tokens fall out first, so hot posting lists are hardly met.
+       is dropped in the join. The commonest tokens fall out first, so hot posting lists are hardly met. Where the queries hold
+       at most ``BROADCAST_TOKENS`` tokens, these go to the chunks and a chunk is scored where it lies.
     3. Candidates are scored on the full sets and ranked; a query with fewer than ``k`` sharing chunks is filled up
        with the smallest other chunk ids at score 0.
 
@@ -75,13 +82,15 @@ def lexical_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     words = materialize(words)  # fixes the ids
     qsets = materialize(_by_rarity(qtok, "query_id", words))
     csets = materialize(_by_rarity(rows(sets(chunks, "chunk_id", "text"), "chunk_id"), "chunk_id", words))
+    few = qsets.count() <= BROADCAST_QUERIES and (qsets.agg(F.sum(F.size("arr"))).first()[0] or 0) <= BROADCAST_TOKENS
+    hint = F.broadcast if few else lambda df: df
     posts = csets.select("chunk_id", F.col("n").alias("nc"), F.size("arr").alias("mc"), F.posexplode("arr").alias("j", "tid"))
 
     shortest = Window.partitionBy("tid").orderBy("nc", "chunk_id")
-    heads = posts.select("tid", "nc", "chunk_id").withColumn("_r", F.row_number().over(shortest)) \
-        .where(F.col("_r") <= max(SEED_POSTINGS, k)).select("tid", "chunk_id")
     probes = qsets.select("query_id", F.explode(F.array_union(F.slice("arr", 1, SEED_TOKENS), F.slice("arr", -1, 1))).alias("tid"))
-    seeds = _scored(probes.join(heads, "tid").select("query_id", "chunk_id", F.lit(0.0).alias("bound")).distinct(), qsets, csets)
+    heads = posts.select("tid", "nc", "chunk_id").join(hint(probes.select("tid").distinct()), "tid", "left_semi") \
+        .withColumn("_r", F.row_number().over(shortest)).where(F.col("_r") <= max(SEED_POSTINGS, k)).select("tid", "chunk_id")
+    seeds = _scored(hint(probes.join(heads, "tid").select("query_id", "chunk_id", F.lit(0.0).alias("bound")).distinct()), qsets, csets)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     ranked = lambda df: df.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     bounds = ranked(seeds).groupBy("query_id").agg(F.count("*").alias("found"), F.min("score").alias("low")) \
@@ -92,10 +101,17 @@ def lexical_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
                                                    F.posexplode("arr").alias("i", "tid")) \
         .where((F.col("mq") - F.col("i")) / F.col("nq") >= F.col("bound"))
     o = F.least(F.col("mq") - F.col("i"), F.col("mc") - F.col("j"))
-    cand = prefix.join(posts, "tid").where(o / (F.col("nq") + F.col("nc") - o) >= F.col("bound")) \
-        .select("query_id", "chunk_id", "bound").distinct()
+    within = o / (F.col("nq") + F.col("nc") - o) >= F.col("bound")
+    if few:
+        # the chunks stay where they are: the queries' tokens and sets come to them, and what reaches its bound is all that is moved
+        sets_here = csets.where("chunk_id is not null").select("chunk_id", F.col("n").alias("nc"), F.size("arr").alias("mc"), F.col("arr").alias("ca"),
+                                                               F.posexplode("arr").alias("j", "tid"))
+        near = sets_here.join(F.broadcast(prefix), "tid").where(within)
+        scored = _overlap(near.join(F.broadcast(qsets.select("query_id", F.col("arr").alias("qa"))), "query_id")).distinct()
+    else:
+        scored = _scored(prefix.join(posts, "tid").where(within).select("query_id", "chunk_id", "bound").distinct(), qsets, csets)
     # what misses its bound can't be in the top k: about k rows a query are left to store
-    scored = materialize(_scored(cand, qsets, csets))
+    scored = materialize(scored)
 
     open_ = bounds.where("bound = 0").select("query_id")
     if open_.isEmpty():
@@ -144,7 +160,8 @@ def ordered_context(retrieved: DataFrame, chunks: DataFrame, with_dq: bool) -> D
     chunk id). Result: (query_id, position, chunk_id, text, outdated_by).
     """
     c = chunks.select("chunk_id", "text", "outdated_by", "creation_date")
-    j = retrieved.join(c, "chunk_id")
+    # few rows go to the chunks, so that the texts of all the others stay where they are
+    j = (F.broadcast(retrieved) if retrieved.count() <= BROADCAST_CONTEXT else retrieved).join(c, "chunk_id")
     if with_dq:
         arrival = F.when(F.col("round") == 0, F.col("rank")).otherwise(F.col("chunk_id"))
         order = [F.desc("creation_date"), F.col("round"), arrival]

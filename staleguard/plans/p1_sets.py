@@ -89,7 +89,7 @@ def prefix_filter(spark, d):
     docs = TD.documents(spark, d)
     a = docs.where(~F.col("doc_id").cast("string").startswith("3")).select(F.lit("doc").alias("what"),
                                                                              F.col("doc_id").alias("id"))
-    c = TD.conflicts(TD.with_text_lineage(docs))
+    c = TD.conflicts(docs)
     b = c.where(F.col("id1").cast("string").startswith("1") | F.col("id2").cast("string").startswith("1")) \
         .select(F.lit("pair").alias("what"), F.col("id1").alias("id"))
     return a.unionByName(b)

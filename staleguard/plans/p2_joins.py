@@ -79,7 +79,7 @@ SELECT c.id1, c.id2, md5(a.content) AS text1_md5, md5(b.content) AS text2_md5
 FROM conflicts c JOIN docs a ON a.doc_id = c.id1 JOIN docs b ON b.doc_id = c.id2""")
 def pair_texts(spark, d):
     docs = TD.documents(spark, d)
-    c = TD.conflicts(TD.with_text_lineage(docs))
+    c = TD.conflicts(docs)
     return RS.pair_texts(c, docs, "doc_id", "content").select(
         "id1", "id2", F.md5("text1").alias("text1_md5"), F.md5("text2").alias("text2_md5"))
 
@@ -171,6 +171,6 @@ def doc_query_map(spark, d):
 SELECT doc_id, kind FROM docs WHERE doc_id IN (SELECT id2 FROM conflicts)""")
 def semi_lookup(spark, d):
     docs = TD.documents(spark, d)
-    ids = TD.conflicts(TD.with_text_lineage(docs)).select(F.col("id2").alias("doc_id"))
+    ids = TD.conflicts(docs).select(F.col("id2").alias("doc_id"))
     return RS.lookup_ids(docs, ids, "doc_id").select("doc_id", "kind")
 

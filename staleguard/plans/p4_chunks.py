@@ -47,7 +47,7 @@ def chunk_table(spark, d):
 
 def conflict_table(spark, d):
     docs = TD.documents(spark, d)
-    return TD.conflicts(TD.with_text_lineage(docs)).withColumn("ord", F.struct("id1", "id2"))
+    return TD.conflicts(docs).withColumn("ord", F.struct("id1", "id2"))
 
 
 def flagged_chunks(spark, d):

@@ -54,8 +54,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
                     kind.alias("kind")).withColumn("creation_date", _date_col(F.col("kind")))
 
 
-def with_text_lineage(docs: DataFrame) -> DataFrame:
-    """Add ``original_doc_ids``: [] for originals, [min id with the same text] for copies.
+def with_text_lineage(docs: DataFrame, *kept) -> DataFrame:
+    """Add ``original_doc_ids``: [] for originals, [min id with the same text] for copies; of ``docs`` the id and ``kept``, by default all columns.
 
     Copies are found on (id, SHA-256 of the text) rows alone: the aggregate is partial per partition, so a huge group
     of copies costs one row per partition, and the join back moves no text. The texts then meet their lineage by
@@ -63,7 +63,7 @@ def with_text_lineage(docs: DataFrame) -> DataFrame:
     """
     keyed = docs.select("doc_id", F.sha2(F.col("content"), 256).alias("_tk"))
     first = keyed.groupBy("_tk").agg(F.min("doc_id").alias("_orig"))
-    out = docs.join(keyed.join(first, "_tk").select("doc_id", "_orig"), "doc_id")
+    out = (docs.select("doc_id", *kept) if kept else docs).join(keyed.join(first, "_tk").select("doc_id", "_orig"), "doc_id")
     lineage = F.when(F.col("doc_id") == F.col("_orig"), F.array().cast("array<bigint>")) \
         .otherwise(F.array(F.col("_orig")))
     return out.withColumn("original_doc_ids", lineage).drop("_orig")
@@ -118,18 +118,18 @@ def last_line(c):
     return F.substring_index(T.py_strip(c), "\n", -1)
 
 
-def conflicts(docs_with_lineage: DataFrame) -> DataFrame:
+def conflicts(docs: DataFrame) -> DataFrame:
     """Conflict rows between each copy and its original.
 
     (id1 = original, id2 = copy, passage1 = first line of the original,
     passage2 = last line of the copy). Only linear pairs (copy, original) are
-    emitted, never all pairs inside a group of copies.
+    emitted, never all pairs inside a group of copies. The lines are cut before
+    the documents meet their lineage, so that no whole text is moved.
     """
-    copies = docs_with_lineage.where(F.size("original_doc_ids") > 0) \
-        .select(F.col("doc_id").alias("id2"), F.get(F.col("original_doc_ids"), 0).alias("id1"),
-                last_line(F.col("content")).alias("conflicting_passage_doc2"))
-    orig = docs_with_lineage.select(F.col("doc_id").alias("id1"),
-                                    first_line(F.col("content")).alias("conflicting_passage_doc1"))
+    lined = with_text_lineage(docs, last_line(F.col("content")).alias("conflicting_passage_doc2"), first_line(F.col("content")).alias("conflicting_passage_doc1"))
+    copies = lined.where(F.size("original_doc_ids") > 0) \
+        .select(F.col("doc_id").alias("id2"), F.get(F.col("original_doc_ids"), 0).alias("id1"), "conflicting_passage_doc2")
+    orig = lined.select(F.col("doc_id").alias("id1"), "conflicting_passage_doc1")
     return copies.join(orig, "id1", "inner").select(
         "id1", "id2", F.lit("fixture").alias("model"), "conflicting_passage_doc1", "conflicting_passage_doc2")
 

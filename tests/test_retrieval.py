@@ -154,3 +154,52 @@ def test_topk_nearest_multi_pass(spark, monkeypatch):
     monkeypatch.setattr(W, "MAX_QUERY_VECTORS", 2)
     many = sorted((r.query_id, r["rank"], r.id) for r in W.topk_nearest(df, "id", "e", q, 3).collect())
     assert one == many and len(one) == 15
+
+
+def test_lexical_topk_is_the_same_with_and_without_broadcast_queries(spark, monkeypatch):
+    """Few query tokens go to the chunks, which are scored where they lie; many meet them in shuffles."""
+    rng = np.random.default_rng(9)
+    vocab = np.array([f"w{i}" for i in range(60)])
+    p = 1 / np.arange(1, 61)
+    text = lambda n: " ".join(rng.choice(vocab, size=n, p=p / p.sum()))
+    chunks = [(i, text(int(rng.integers(1, 25)))) for i in range(150)] + [(200, ""), (201, None)]
+    queries = [(j, text(8)) for j in range(12)] + [(20, "w0"), (21, "absent"), (22, None)]
+    cdf = spark.createDataFrame(chunks, "chunk_id long, text string").repartition(3)
+    qdf = spark.createDataFrame(queries, "query_id long, content string")
+    want = _brute_topk(queries, chunks, 4)
+    for most in (RT.BROADCAST_TOKENS, 0):
+        monkeypatch.setattr(RT, "BROADCAST_TOKENS", most)
+        got = sorted(tuple(r) for r in RT.lexical_topk(qdf, cdf, 4).collect())
+        assert [g[:3] for g in got] == [w[:3] for w in want], most
+        assert all(abs(g[3] - w[3]) < 1e-12 for g, w in zip(got, want))
+
+
+def test_ordered_context_is_the_same_with_and_without_broadcast_rows(spark, monkeypatch):
+    chunks = spark.createDataFrame([(i, f"t{i}", [], f"20{10 + i}-01-01") for i in range(6)],
+                                   "chunk_id long, text string, outdated_by array<long>, creation_date string")
+    got = spark.createDataFrame([(1, 1, 4, 0), (1, 2, 2, 0), (2, 1, 4, 0), (2, 2, 99, 0)], "query_id long, rank int, chunk_id long, round int")
+    for most in (RT.BROADCAST_CONTEXT, 0):
+        monkeypatch.setattr(RT, "BROADCAST_CONTEXT", most)
+        rows = sorted((r.query_id, r.position, r.text) for r in RT.ordered_context(got, chunks, False).collect())
+        assert rows == [(1, 1, "t4"), (1, 2, "t2"), (2, 1, "t4")]
+
+
+def test_chunks_are_cut_from_stretches(spark, monkeypatch):
+    """Windows are cut from stretches of a text, and none differs from the window of the whole text."""
+    from staleguard.operators import chunks as CH
+    monkeypatch.setattr(CH, "STRETCH", 3)
+    texts = [(n, "".join(chr(97 + (i * 7 + n) % 26) if i % 5 else "é𝄞"[i % 2] for i in range(n))) for n in (0, 1, 9, 10, 11, 16, 17, 28, 29, 30, 34, 35, 100)]
+    docs = spark.createDataFrame(texts + [(500, None)], "doc_id long, content string")
+    got = sorted((r.doc_id, r.pos, r.text) for r in CH.fixed_chunks(docs, size=10, overlap=4).collect())
+    count = lambda n: 1 if n <= 10 else -(-(n - 10) // 6) + 1
+    assert got == sorted((d, k, t[6 * k:6 * k + 10]) for d, t in texts for k in range(count(len(t))))
+    first = docs.selectExpr("doc_id", "content", "doc_id * 1000 AS o")
+    assert sorted((r.doc_id, r.chunk_id) for r in CH.fixed_chunks(first, size=10, overlap=4, first_id="o").collect()) == [(d, 1000 * d + k) for d, k, _ in got]
+
+
+def test_conflicts_of_documents(spark):
+    """First and last lines are cut before the documents meet their lineage."""
+    from staleguard.sources import testdata as TD
+    docs = spark.createDataFrame([(3, "a\nb"), (1, "a\nb"), (2, " x\ny\nz "), (5, " x\ny\nz "), (4, None), (6, "alone")], "doc_id long, content string")
+    c = TD.conflicts(docs)
+    assert sorted((r.id1, r.id2, r.conflicting_passage_doc1, r.conflicting_passage_doc2) for r in c.collect()) == [(1, 3, "a", "b"), (2, 5, "x", "z")]

@@ -22,10 +22,9 @@ BROADCAST_CONTEXT = 100_000  # context rows (ids and ranks) that are broadcast a
 
 
 def _by_rarity(sets: DataFrame, id_col: str, words: DataFrame) -> DataFrame:
-    """(id, n, arr): ``n`` tokens a row of (id, n, token) names, ``arr`` the ids of those in ``words``, rarest first."""
+    """(id, n, arr): ``n`` tokens a row of (id, n, token) names, ``arr`` the ids of those in ``words``, rarest first (as the ids are given)."""
     j = sets.join(words, "token")
-    return j.groupBy(id_col).agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "tid"))).alias("_a")) \
-        .select(id_col, "n", F.col("_a.tid").alias("arr"))
+    return j.groupBy(id_col).agg(F.first("n").alias("n"), F.sort_array(F.collect_list("tid")).alias("arr"))
 
 
 def _overlap(j: DataFrame) -> DataFrame:
@@ -78,8 +77,8 @@ def lexical_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     sampled = chunks.where(F.pmod(F.xxhash64(F.col("chunk_id").cast("long")), F.lit(ORDER_SAMPLE)) == 0)
     freq = rows(sets(sampled, "chunk_id", "text"), "chunk_id").groupBy("token").agg(F.count("*").alias("df"))
     words = qtok.select("token").distinct().join(freq, "token", "left") \
-        .select("token", F.coalesce("df", F.lit(0)).alias("df"), F.monotonically_increasing_id().alias("tid"))
-    words = materialize(words)  # fixes the ids
+        .orderBy(F.coalesce("df", F.lit(0)), "token").select("token", F.monotonically_increasing_id().alias("tid"))
+    words = materialize(words)  # fixes the ids, which rise with the frequency
     qsets = materialize(_by_rarity(qtok, "query_id", words))
     csets = materialize(_by_rarity(rows(sets(chunks, "chunk_id", "text"), "chunk_id"), "chunk_id", words))
     few = qsets.count() <= BROADCAST_QUERIES and (qsets.agg(F.sum(F.size("arr"))).first()[0] or 0) <= BROADCAST_TOKENS

@@ -47,13 +47,14 @@ def symmetric_difference(a: DataFrame, b: DataFrame, a_tag: str, b_tag: str) ->
 
 
 def with_ground_truth(pairs: DataFrame, docs: DataFrame, id_col: str = "doc_id",
-                      orig_col: str = "original_doc_ids") -> DataFrame:
+                      orig_col: str = "original_doc_ids", few: bool = False) -> DataFrame:
     """Add ``ground_truth``: the two documents are lineage-related.
 
-    Two equi-joins on the document id; no per-row lookup.
+    Two equi-joins on the document id; no per-row lookup. ``few`` documents are broadcast, so that the pairs aren't moved.
     """
-    a = docs.select(F.col(id_col).alias("id1"), F.col(orig_col).alias("_o1"))
-    b = docs.select(F.col(id_col).alias("id2"), F.col(orig_col).alias("_o2"))
+    side = F.broadcast if few else lambda df: df
+    a = side(docs.select(F.col(id_col).alias("id1"), F.col(orig_col).alias("_o1")))
+    b = side(docs.select(F.col(id_col).alias("id2"), F.col(orig_col).alias("_o2")))
     j = pairs.join(a, "id1").join(b, "id2")
     return j.withColumn("ground_truth", A.related_pair("id1", "_o1", "id2", "_o2")).drop("_o1", "_o2")
 

@@ -12,6 +12,7 @@ from staleguard.functions import json as J
 from staleguard.functions import text as T
 from staleguard.operators import lineage as LN
 from staleguard.operators import requests as RQ
+from staleguard.operators import resume as RS
 from staleguard.plans import sqlutil as S
 from staleguard.plans.p0_pairs import _PAIRS_SQL, THRESHOLD
 from staleguard.plans.p2_joins import _TRUTH_SQL, _vec_pairs
@@ -23,6 +24,7 @@ from staleguard.sources import prompts as PR
 from staleguard.sources import testdata as TD
 
 MODELS = ("m1", "m2")
+FEW = 400_000  # documents whose lineage, about 100 bytes each, is broadcast
 
 
 def _flag(model_col, a, b, cut="8"):
@@ -40,15 +42,21 @@ def _flag(model_col, a, b, cut="8"):
 SELECT model, round(avg(CAST(conflicts = expected AS DOUBLE)), 6) AS accuracy, count(*) AS count FROM v
 GROUP BY model""")
 def pair_check(spark, d):
-    """K9: related pairs -> requests (both texts rendered) -> responses -> verdicts -> accuracy per model."""
-    docs = TD.documents(spark, d)
-    vl = TD.with_vector_lineage(TD.vectors(spark, d))
+    """K9: related pairs -> requests (both texts rendered) -> responses -> verdicts -> accuracy per model.
+
+    Pairs are found, requests answered and verdicts counted on the way: where no id comes twice, which two aggregates tell, no table
+    of pairs or requests is written.
+    """
+    vecs = TD.vectors(spark, d)
+    docs = RS.lookup_ids(TD.documents(spark, d), vecs.select(F.col("vec_id").alias("doc_id")), "doc_id")
+    vl = TD.with_vector_lineage(vecs)
+    ids = [df.groupBy(c).count().agg(F.max("count"), F.count("*")).first() for df, c in ((vecs, "vec_id"), (docs, "doc_id"))]  # two numbers each
     pairs = _vec_pairs(spark, d).select("id1", "id2")
     flag = _flag(F.col("model"), "id1", "id2")
-    reqs, responses = RQ.answered(RQ.pair_requests(pairs, docs, "comparison/check_for_contradictions", MODELS),
-                                  F.to_json(F.struct(flag.alias("contradictory_info_found"))))
+    reqs, responses = RQ.answered(RQ.pair_requests(pairs, docs, "comparison/check_for_contradictions", MODELS, digest=True),
+                                  F.to_json(F.struct(flag.alias("contradictory_info_found"))), once=all((most or 0) <= 1 for most, _ in ids))
     verdicts = RQ.verdict_rows(RQ.decode_responses(reqs, responses, "check"))
-    truth = LN.with_ground_truth(verdicts, vl)
+    truth = LN.with_ground_truth(verdicts, vl, few=ids[0][1] <= FEW)
     return truth.groupBy("model").agg(
         r6(F.avg((F.col("conflicts") == F.col("ground_truth")).cast("double"))).alias("accuracy"),
         F.count("*").alias("count"))
